@@ -13,38 +13,43 @@ def hot_groups(df: DataFrame, group: str | list[str], at_least: int, most: int =
     are never more than `most` of them and they may be broadcast."""
     names = [group] if isinstance(group, str) else group
     sizes = df.groupBy(*names).agg(F.count(F.lit(1)).alias("group_rows"))
-    total = df.count()
-    limit = max(at_least, math.ceil(total / most))
+    limit = max(at_least, math.ceil(df.count() / most))
     return sizes.where(F.col("group_rows") > limit), limit
 
 
-def pairs_within(df: DataFrame, group: str, key: str, differ: str | None = None, chunk: int = 4000) -> DataFrame:
-    """(left_key, right_key): all pairs of different keys of a group, smaller key first; with `differ`, only of rows that differ in that column.
+def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = 4000, maybe_hot: Column | None = None) -> DataFrame:
+    """Joins the rows of each group with each other: columns `l` and `r`, structs of all columns of `df`. Every pair of two
+    different rows comes out at least in one order; the caller keeps the order and the pairs wanted.
 
     A group of more than `chunk` rows (or a 2000th of all rows) is cut by a hash of the key into chunks; each pair of chunks is
-    a join key of its own, so no task ever holds a group. Rows with a null group make no pairs.
+    a join key of its own, so no task ever holds a group. Rows with a null in `group` meet nothing. `maybe_hot`: a condition
+    that all rows of groups larger than `chunk` fulfil, to look for those among fewer rows.
     """
-    columns = [group, key] + ([differ] if differ else [])
-    rows = df.select(*columns).where(F.col(group).isNotNull())
-    hot, limit = hot_groups(rows, group, chunk)
+    rows = df
+    for name in group:
+        rows = rows.where(F.col(name).isNotNull())
+    hot, limit = hot_groups(rows.where(maybe_hot) if maybe_hot is not None else rows, group, chunk)
     parts = F.coalesce(F.ceil(F.col("group_rows") / F.lit(limit)), F.lit(1)).cast("int")
-    placed = rows.join(F.broadcast(hot), group, "left").withColumn("parts", parts)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("group_rows")
-
-    def side(name: str, meets: Column) -> DataFrame:
-        cells = placed.withColumn("meets", F.explode(meets))
-        low, high = F.least("part", "meets"), F.greatest("part", "meets")
-        return cells.select(
-            F.col(group).alias("g"), low.alias("low"), high.alias("high"), F.col("part").alias(f"{name}_part"), F.col(key).alias(f"{name}_key"),
-            *([F.col(differ).alias(f"{name}_differ")] if differ else []),
-        )
-
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    left, right = side("left", every), side("right", every)
-    both = left.join(right, ["g", "low", "high"])
-    wanted = F.col("left_key") < F.col("right_key")
+    placed = rows.join(F.broadcast(hot), group, "left").withColumn("__parts", parts).drop("group_rows")
+    part = F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")
+    cells = placed.withColumn("__part", part).withColumn("__meets", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    side = cells.select(
+        *group, F.least("__part", "__meets").alias("__low"), F.greatest("__part", "__meets").alias("__high"), "__part",
+        F.struct(*df.columns).alias("row"),
+    )
+    on = [*group, "__low", "__high"]
+    left, right = side.alias("a"), side.alias("b")
+    both = left.join(right, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
     # a cell of two different chunks holds both chunks on either side: only rows of different chunks are its own
-    wanted &= (F.col("low") == F.col("high")) | (F.col("left_part") != F.col("right_part"))
+    own = (F.col("a.__low") == F.col("a.__high")) | (F.col("a.__part") != F.col("b.__part"))
+    return both.where(own).select(F.col("a.row").alias("l"), F.col("b.row").alias("r"))
+
+
+def pairs_within(df: DataFrame, group: str, key: str, differ: str | None = None, chunk: int = 4000) -> DataFrame:
+    """(left_key, right_key): all pairs of different keys of a group, smaller key first; with `differ`, only of rows that differ
+    in that column. Rows with a null group make no pairs."""
+    met = meet_within(df.select(group, key, *([differ] if differ else [])), [group], key, chunk)
+    wanted = F.col(f"l.{key}") < F.col(f"r.{key}")
     if differ:
-        wanted &= F.col("left_differ") != F.col("right_differ")
-    return both.where(wanted).select("left_key", "right_key")
+        wanted &= F.col(f"l.{differ}") != F.col(f"r.{differ}")
+    return met.where(wanted).select(F.col(f"l.{key}").alias("left_key"), F.col(f"r.{key}").alias("right_key"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmaru.llm import characters, ledger, ranking
+from hanmaru.llm import characters, encodings, ledger, ranking, similar_sets
+from hanmaru.operators.packed import split_packed
 from hanmaru.session import scratch_path, write_through
 from hanmaru.sources.tables import table
 
@@ -35,7 +36,7 @@ WITH keyed AS (
   SELECT ingredient_id, list_sort(list_filter(list_transform(
       regexp_split_to_array(lower(nfc_normalize(translate(raw_ingredient, '"""
     + FULL_WIDTH + "', '" + PLAIN
-    + r"""'))), '[,;/|()\[\]{}<>、､〈〉《》「」『』【】〔〕
+    + r"""'))), '[,;/|()\[\]{}<>、､〈〉《》「」『』【】〔〕
 ]'),
       lambda v: regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(\p{Nd})\.(\p{Nd})', '' || chr(57344) || '', 'g'),
         '(\p{Nd})\.(\p{Nd})', '' || chr(57344) || '', 'g'), '[^\p{L}\p{N}\p{M}' || chr(57344) || ']', '', 'g'), chr(57344), '.', 'g')),
@@ -75,8 +76,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of products with largely the same ingredients, and pairs of cached similarities with largely the same shared names."""
+    fields = table(spark, sf_dir, "catalog_product_master", "report_no", "raw_ingredients").where(F.col("raw_ingredients") != "")
+    packed = split_packed(fields, "raw_ingredients", "vals").select(F.lit("catalog").alias("scope"), F.col("report_no").alias("key"), F.array_join("vals", "\u0001").alias("v"))
+    plain = characters.canonical_text(packed, "v", "v")
+    catalog = plain.select("scope", "key", F.split(F.regexp_replace(F.lower("v"), r"[\s\p{Z}]+", ""), "\u0001").alias("tokens"))
+    shared = F.col("shared_ingredients_json")
+    names = F.from_json(shared, "array<string>")
+    bare = F.array_distinct(F.filter(F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"[\s\p{Z}]+", "")), lambda x: x != ""))
+    cache = (
+        table(spark, sf_dir, "product_similarity_explanation_cache", "base_product_id", "target_product_id", "shared_ingredients_json")
+        .where(F.length(shared) - F.length(F.replace(shared, F.lit('"'), F.lit(""))) >= 12)  # six strings have twelve quotes
+        .select(F.lit("cache").alias("scope"), F.concat_ws("|", "base_product_id", "target_product_id").alias("key"), bare.alias("tokens"))
+        .where(F.size("tokens") >= 6)
+    )
+    return similar_sets.similar_pairs(catalog.unionByName(cache), 0.7)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text read in a wrong encoding."""
+    return encodings.garbled_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")[0]
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with their original text, as far as it can be had."""
+    return encodings.restored(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 def oracle_sql() -> dict[str, str]:
