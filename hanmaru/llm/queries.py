@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmaru.llm import characters, encodings, ledger, ranking, similar_sets
+from hanmaru.llm import characters, encodings, ledger, naming, ranking, similar_sets
 from hanmaru.operators.packed import split_packed
 from hanmaru.session import scratch_path, write_through
 from hanmaru.sources.tables import table
@@ -26,6 +26,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.surplus_copies(book.read(), keyed).select(F.col("kept").alias("kept_ingredient_id"), F.col("copy").alias("copy_ingredient_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name typed into the match cache with the entry of the reference list it stands for."""
+    listed = table(spark, sf_dir, "functional_category_map", "functional_ingredient_name", "notes").distinct().collect()  # the fixed list
+    entries = sorted((r.functional_ingredient_name, r.notes) for r in listed if r.functional_ingredient_name)
+    rows = table(spark, sf_dir, "ingredient_match_cache_v2", "ingredient_id", "raw_ingredient", "matched_standard_name")
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("raw_ingredient", "matched_standard_name")])).alias("f")
+    typed = rows.select("ingredient_id", fields).select("ingredient_id", "f.field_name", "f.value").where(F.col("value") != "")
+    mapped = naming.map_names(typed.select("value"), entries)
+    return typed.join(mapped, "value").select("ingredient_id", "field_name", F.col("entry").alias("functional_ingredient_name")).distinct()
+
+
 #: Full-width forms with the ordinary ones, for SQL's translate.
 FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
 PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
@@ -105,7 +116,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 def oracle_sql() -> dict[str, str]:

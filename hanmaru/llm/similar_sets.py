@@ -58,7 +58,7 @@ def _cells(ordered: DataFrame, pivot_sizes: list[int], threshold: float, radius:
     return out.withColumn("cells", F.concat(F.array("home"), visits, outer)).drop("dist", "d0")
 
 
-def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 32, radius: float = 0.55, hot_share: int = 10_000, chunk: int = 4000) -> DataFrame:
+def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 16, radius: float = 0.55, hot_share: int = 10_000, chunk: int = 4000) -> DataFrame:
     """(left_id, right_id): all pairs of distinct sets (scope, set_id, tokens) of one scope with Jaccard similarity >= threshold."""
     r = 1 - threshold
     if radius + r >= 1:
@@ -72,7 +72,7 @@ def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 32, r
     for _, i, tokens in chosen:
         sizes[i] = len(tokens)
     ordered = _ordered_with_pivots(sets, pivot_rows, hot_share)
-    celled = _cells(ordered, sizes, threshold, radius)
+    celled = write_through(_cells(ordered, sizes, threshold, radius), "cells")  # read three times below
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
     lists = celled.select("scope", "set_id", "n", "home", "cells", F.transform("ranked", lambda x: x["token"]).alias("tokens"), F.slice("ranked", F.lit(1), prefix).alias("head"))
     placed = lists.select("scope", "set_id", "n", "home", "tokens", F.size("head").alias("p"), F.explode("cells").alias("cell"), "head")
