@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hanmaru.llm import characters, encodings, ledger, naming, ranking, similar_sets
+from hanmaru.llm import characters, encodings, ledger, mixing, naming, packing, ranking, similar_sets
 from hanmaru.operators.packed import split_packed
 from hanmaru.session import scratch_path, write_through
 from hanmaru.sources.tables import table
@@ -105,6 +105,36 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets.similar_pairs(catalog.unionByName(cache), 0.7)
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    rows = table(spark, sf_dir, "pack_capacity").collect()  # a fixed table of a few rows
+    return sorted((r.pack_name, r.capacity_tokens) for r in rows if r.capacity_tokens)
+
+
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _capacities(spark, sf_dir))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(write_through(p7_packs(spark, sf_dir), "packs"), _capacities(spark, sf_dir))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float, int]]:
+    rows = table(spark, sf_dir, "source_mix_target").collect()  # a fixed table of a few rows
+    return sorted((r.plan_name, r.source, r.target_share, r.max_repeats) for r in rows)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of each plan, piece by piece."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source", _targets(spark, sf_dir))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all tokens each source reached, and how often a document was used at most."""
+    return mixing.share_report(write_through(p8_mix(spark, sf_dir), "mix"), "doc_id", _targets(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text read in a wrong encoding."""
     return encodings.garbled_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")[0]
@@ -116,7 +146,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p9_found": p9_found, "p9_restored": p9_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 
 
 def oracle_sql() -> dict[str, str]:
