@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hanmaru.plans import packed_values
+from hanmaru.plans import matching, packed_values, similarity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found}
-SQL: dict[str, str] = {"p5_found": packed_values.P5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found} | similarity.QUERIES | matching.QUERIES
+SQL: dict[str, str] = {"p5_found": packed_values.P5_SQL} | similarity.SQL | matching.SQL
