@@ -108,7 +108,21 @@ def slips(a: str, b: str, limit: int = 1) -> int:
     return min(last[-1], limit + 1)
 
 
+#: Comparisons already made by this process; endings recur in name after name.
+_COMPARED: dict[tuple[str, str], int] = {}
+
+
 def spelled_alike(a: str, b: str) -> int:
+    """How alike two spellings are, remembered: see `_compare`."""
+    found = _COMPARED.get((a, b))
+    if found is None:
+        if len(_COMPARED) > 500_000:
+            _COMPARED.clear()
+        found = _COMPARED[a, b] = _compare(a, b)
+    return found
+
+
+def _compare(a: str, b: str) -> int:
     """0 if equal, 1 within one slip, else 2. Digits and the Latin letters in Hangul names must agree; so must names of vitamins in
     Latin letters, where one letter makes another vitamin, and Latin names of less than six letters."""
     if a == b:
@@ -340,7 +354,8 @@ def map_names(values: DataFrame, entries: list[tuple[str, str | None]], threshol
     spark = values.sparkSession
     distinct = values.where(F.col("value").isNotNull()).select("value").distinct()
     named = write_through(distinct.select("value", F.posexplode_outer(names_of(F.col("value"))).alias("pos", "name")), "names")
-    names = named.where(F.col("name").isNotNull()).select("name").distinct()
+    # reading a name takes a millisecond of Python: the names, small as they are, are spread over all cores
+    names = named.where(F.col("name").isNotNull()).select("name").distinct().repartition(4 * spark.sparkContext.defaultParallelism)
     read = write_through(names.mapInPandas(_read_names, READING_SCHEMA), "readings")
     rows = [(i, *r, pairs_of_letters(r[1], r[2])) for i, r in enumerate(reference_readings(entries))]
     reference = spark.createDataFrame(rows, "id long, entry string, kind string, ref_stem string, ref_part string, several int, tokens array<string>")
