@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,14 +48,11 @@ def strip_brackets(text: Column) -> Column:
 
 
 def strip_suffixes(key: Column, suffixes: list[str], least: int = 2, rounds: int = 4) -> Column:
-    """Endings taken off again and again, as long as `least` characters stay before them; in each round the first of `suffixes` that
-    fits is taken. `rounds` bounds the depth."""
+    """Endings taken off again and again, the longest that leaves `least` characters before it; `rounds` bounds the depth."""
+    endings = "|".join(sorted(map(re.escape, suffixes), key=len, reverse=True))
     out = key
     for _ in range(rounds):
-        step = F.when(F.lit(False), out)
-        for s in suffixes:
-            step = step.when(F.endswith(out, F.lit(s)) & (F.length(out) >= len(s) + least), F.substring(out, F.lit(1), F.length(out) - len(s)))
-        out = step.otherwise(out)
+        out = F.regexp_replace(out, f"^(.{{{least},}}?)(?:{endings})$", "$1")
     return out
 
 
