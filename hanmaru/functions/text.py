@@ -92,7 +92,7 @@ def signature(*parts: Column) -> Column:
 
 def clean_array(items: Column) -> Column:
     """Trimmed items without empty ones and nulls, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def json_names(text: Column) -> Column:
