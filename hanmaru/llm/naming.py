@@ -135,10 +135,12 @@ def _compare(a: str, b: str) -> int:
         return 2
     if slips(letters(a), letters(b)) <= 1:
         return 1
-    # a syllable doubled, dropped or exchanged with its neighbour; changed into another one it is another name
-    if len(a) != len(b):
+    # a syllable of `a` doubled, dropped or exchanged with its neighbour; one added or changed makes another name
+    if len(a) == len(b) + 1:
+        return 1 if any(a[i] == a[i - 1] and a[:i] + a[i + 1 :] == b for i in range(1, len(a))) else 2
+    if len(a) == len(b) - 1:
         return 1 if slips(a, b) <= 1 else 2
-    return 1 if sorted(a) == sorted(b) and slips(a, b) <= 1 else 2
+    return 1 if len(a) == len(b) and sorted(a) == sorted(b) and slips(a, b) <= 1 else 2
 
 
 @dataclass(frozen=True)
@@ -335,7 +337,7 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 def names_of(value: Column) -> Column:
     """The names in a free-entered value: its parts without quotes, bullets, amounts, shares, numbers and batch codes."""
     full = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    plain = F.translate(value, full + "　 ", "".join(map(chr, range(0x21, 0x7F))) + "  ")
+    plain = F.translate(value, full + "\u3000\u00a0", "".join(map(chr, range(0x21, 0x7F))) + "  ")
     plain = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])(\p{Nd}{1,3}),(?=\p{Nd}{3}(?!\p{Nd}))", "$1")
     parts = F.split(plain, r"[,;/|()\[\]{}、\n\r]+")
     parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[^\p{L}\p{N}%.]+", " ")))

@@ -15,14 +15,12 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, subgrou
     item first, by the bytes of its string. The repeats of an item always meet in one subgroup, so the ranks are exact.
     An empty table gives an empty result; -0.0 and 0.0 are equal.
     """
-    value = F.col(score).cast("double")
-    rows = (
-        df.select(F.col(group).alias("group"), F.col(item).alias("item"), (value + F.lit(0.0)).alias("score"))
-        .where(F.col("group").isNotNull() & F.col("item").isNotNull() & value.isNotNull() & ~F.isnan(value))
-        .withColumn("sub", F.pmod(F.xxhash64("item"), F.lit(subgroups)).cast("int"))
-    )
-    best = rows.groupBy("group", "sub", "item").agg(F.max("score").alias("score"))
-    order = (F.desc("score"), F.asc("item"))
-    kept = best.withColumn("r", F.row_number().over(Window.partitionBy("group", "sub").orderBy(*order))).where(F.col("r") <= n).drop("r")
-    ranked = kept.withColumn("rank_no", F.row_number().over(Window.partitionBy("group").orderBy(*order))).where(F.col("rank_no") <= n)
-    return ranked.select(F.col("group").alias(group), F.col("item").alias(item), F.col("score").alias(score), F.col("rank_no").cast("int").alias("rank_no"))
+    value = F.col(score).cast("double") + F.lit(0.0)
+    fits = F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    rows = df.where(fits).select(F.col(group).alias("__g"), F.col(item).alias("__i"), value.alias("__s"))
+    rows = rows.withColumn("__sub", F.pmod(F.xxhash64("__i"), F.lit(subgroups)).cast("int"))
+    best = rows.groupBy("__g", "__sub", "__i").agg(F.max("__s").alias("__s"))
+    order = (F.desc("__s"), F.asc("__i"))
+    kept = best.withColumn("r", F.row_number().over(Window.partitionBy("__g", "__sub").orderBy(*order))).where(F.col("r") <= n).drop("r")
+    ranked = kept.withColumn("rank_no", F.row_number().over(Window.partitionBy("__g").orderBy(*order))).where(F.col("rank_no") <= n)
+    return ranked.select(F.col("__g").alias(group), F.col("__i").alias(item), F.col("__s").alias(score), F.col("rank_no").cast("int").alias("rank_no"))
