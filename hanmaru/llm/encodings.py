@@ -100,7 +100,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
     """(word, original, ambiguous): the garbled ones among the words (word, docs) of a corpus, each with the most frequent word it
     can be a form of. A word counts as garbled if a word in more documents has it as a form. `ambiguous`: characters were
     lost (U+FFFD) and several originals are possible, so the original cannot be had."""
-    forms = words.mapInArrow(_generate, "word string, original string, original_docs bigint")
+    # an original is in more documents than its garbled form, so in two at least: the long tail of single words is no original
+    forms = words.where(F.col("docs") > 1).mapInArrow(_generate, "word string, original string, original_docs bigint")
     met = forms.join(words, "word").where(F.col("original_docs") > F.col("docs"))
     best = met.groupBy("word").agg(F.max(F.struct("original_docs", "original")).alias("best"), F.count_distinct("original").alias("originals"))
     return best.select("word", F.col("best.original").alias("original"), ((F.col("originals") > 1) & F.col("word").contains("�")).alias("ambiguous"))
