@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hanmaru.llm.pairing import spread
 from hanmaru.llm.tokens import token_sizes
 from hanmaru.session import write_through
 
@@ -128,7 +129,7 @@ def blocks_of(sized: DataFrame, key: str, source: str, block_tokens: int, rows:
     """(source, block, key, token_from, tokens): the pieces of documents in the blocks of each source's stream. Offsets are summed
     per bucket of documents and then over buckets, so that no window holds a source."""
     buckets = max(1, -(-rows // BUCKET_DOCS))
-    placed = sized.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    placed = spread(sized, key, buckets, "bucket")
     sums = placed.groupBy(source, "bucket").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy(source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(source, "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hanmaru.llm.pairing import spread
 from hanmaru.llm.tokens import VOCABULARY_SIZE, token_sizes
 from hanmaru.session import write_through
 
@@ -135,7 +136,7 @@ def pack_documents(docs: DataFrame, key: str, text: str, capacities: list[tuple[
 
     A container is (pack_name, shard, container) and never holds more than its capacity. A document is cut only if it is
     longer than the capacity: into full containers and a rest that is packed as an item. Documents without tokens (null or
-    empty text) and null keys are left out; equal documents are items of their own. Ids need not be unique. Statistics of
+    empty text) and null keys are left out; equal documents are items of their own, and so are rows with equal keys. Statistics of
     BM25 come from all documents; the frequencies are as many as the vocabulary has tokens, whatever the corpus.
     """
     sized = write_through(token_sizes(docs.withColumnRenamed(key, "doc_id"), "doc_id", text, bags=True), "token-bags")
@@ -148,7 +149,7 @@ def pack_documents(docs: DataFrame, key: str, text: str, capacities: list[tuple[
         df[row.t] = row.n
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
     shards = max(1, -(-total // shard_tokens))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    placed = spread(sized, "doc_id", shards, "shard")
     schema = f"pack_name string, shard int, container bigint, position bigint, doc_id {dict(sized.dtypes)['doc_id']}, token_from bigint, tokens bigint"
     return placed.groupBy("shard").applyInPandas(_pack(capacities, idf, total / count), schema).withColumnRenamed("doc_id", key)
 

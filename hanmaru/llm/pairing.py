@@ -17,6 +17,16 @@ def hot_groups(df: DataFrame, group: str | list[str], at_least: int, most: int =
     return sizes.where(F.col("group_rows") > limit), limit
 
 
+def spread(df: DataFrame, key: str, parts: int, into: str) -> DataFrame:
+    """Adds `into`, a part from 0 to parts - 1 by a hash of the key. The rows of a key met more often than 1000 times (or a 2000th of all
+    rows) are spread by their place in the table as well, so no part holds a hot key; read such a table from files, as
+    places in it must stay when a task is repeated."""
+    hot, _ = hot_groups(df.select(key), key, 1000)
+    marked = df.join(F.broadcast(hot), key, "left")
+    place = F.when(F.col("group_rows").isNotNull(), F.monotonically_increasing_id())
+    return marked.withColumn(into, F.pmod(F.xxhash64(key, place), F.lit(parts)).cast("int")).drop("group_rows")
+
+
 def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = 4000, maybe_hot: Column | None = None) -> DataFrame:
     """Joins the rows of each group with each other: columns `l` and `r`, structs of all columns of `df`. Every pair of two
     different rows comes out at least in one order; the caller keeps the order and the pairs wanted.

@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(F.col("ingredient_id").isNotNull()).select(F.col("ingredient_id").alias("record_id"), ledger.canonical_key(F.col("raw_ingredient")).alias("key"), "created_at"),
         "keys",
     )
-    book = ledger.CopyLedger(spark, scratch_path(spark, "ledger"))
+    book = ledger.CopyLedger(spark, scratch_path(spark, "ledger"), buckets=max(16, -(-keyed.count() // 1_000_000)))
     for i, batch in enumerate(ledger.batches_by_time(keyed, "created_at", 3)):
         book.apply(batch.select("record_id", "key"), f"arrival-{i}")
     return ledger.surplus_copies(book.read(), keyed).select(F.col("kept").alias("kept_ingredient_id"), F.col("copy").alias("copy_ingredient_id"))
