@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hanmaru.plans import matching, packed_values, similarity, tables
+from hanmaru.plans import matching, packed_values, profiles, similarity, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found} | similarity.QUERIES | matching.QUERIES | tables.QUERIES
-SQL: dict[str, str] = {"p5_found": packed_values.P5_SQL} | similarity.SQL | matching.SQL | tables.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found} | similarity.QUERIES | matching.QUERIES | tables.QUERIES | profiles.QUERIES
+SQL: dict[str, str] = {"p5_found": packed_values.P5_SQL} | similarity.SQL | matching.SQL | tables.SQL | profiles.SQL
