@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hanmaru.llm import characters, encodings, ledger, mixing, naming, packing, ranking, similar_sets
 from hanmaru.operators.packed import split_packed
+from hanmaru.plans.packed_values import P5_SQL
 from hanmaru.session import scratch_path, write_through
 from hanmaru.sources.tables import table
 
@@ -87,6 +88,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+P4_SQL = f"""
+WITH f AS (
+  SELECT DISTINCT 'catalog_product_master' AS table_name, report_no, raw_ingredients AS t FROM catalog_product_master WHERE raw_ingredients <> '' AND report_no IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'uploaded_product_master', report_no, ocr_raw_text FROM uploaded_product_master WHERE ocr_raw_text <> '' AND report_no IS NOT NULL),
+c AS (SELECT table_name, report_no, t, {characters.canonical_sql("t")} AS r FROM f)
+SELECT DISTINCT a.table_name, a.report_no AS left_report_no, b.report_no AS right_report_no
+FROM c a JOIN c b ON a.table_name = b.table_name AND a.r = b.r AND a.t <> b.t AND a.report_no < b.report_no
+"""
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of products with largely the same ingredients, and pairs of cached similarities with largely the same shared names."""
     fields = table(spark, sf_dir, "catalog_product_master", "report_no", "raw_ingredients").where(F.col("raw_ingredients") != "")
@@ -105,6 +117,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets.similar_pairs(catalog.unionByName(cache), 0.7)
 
 
+P6_SQL = rf"""
+WITH vals AS ({P5_SQL}),
+catalog AS (
+  SELECT DISTINCT 'catalog' AS scope, report_no AS key, regexp_replace(lower({characters.canonical_sql("value_text")}), '[\s\p{{Z}}]+', '', 'g') AS v
+  FROM vals WHERE table_name = 'catalog_product_master' AND report_no IS NOT NULL),
+names AS (
+  SELECT base_product_id || '|' || target_product_id AS key, unnest(CAST(CASE WHEN json_valid(shared_ingredients_json) THEN shared_ingredients_json END AS VARCHAR[])) AS v
+  FROM product_similarity_explanation_cache),
+cache AS (SELECT DISTINCT 'cache' AS scope, key, regexp_replace(lower(v), '[\s\p{{Z}}]+', '', 'g') AS v FROM names WHERE v IS NOT NULL),
+large AS (SELECT key FROM cache WHERE v <> '' GROUP BY 1 HAVING count(*) >= 6),
+s AS (SELECT * FROM catalog UNION ALL SELECT c.* FROM cache c JOIN large l ON c.key = l.key WHERE v <> ''),
+n AS (SELECT scope, key, count(*) AS n FROM s GROUP BY 1, 2),
+m AS (SELECT a.scope, a.key AS left_key, b.key AS right_key, count(*) AS i FROM s a JOIN s b ON a.scope = b.scope AND a.v = b.v AND a.key < b.key GROUP BY 1, 2, 3)
+SELECT m.scope, left_key, right_key FROM m JOIN n x ON x.scope = m.scope AND x.key = left_key JOIN n y ON y.scope = m.scope AND y.key = right_key
+WHERE 10 * i >= 7 * (x.n + y.n - i)
+"""
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     rows = table(spark, sf_dir, "pack_capacity").collect()  # a fixed table of a few rows
     return sorted((r.pack_name, r.capacity_tokens) for r in rows if r.capacity_tokens)
@@ -150,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
