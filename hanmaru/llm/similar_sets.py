@@ -22,17 +22,21 @@ from hanmaru.llm.pairing import meet_within, pairs_within
 from hanmaru.session import write_through
 
 OUTER = -1
+#: Up to so many frequent tokens are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 EPS = 1e-9
 
 
-def _ordered_with_pivots(sets: DataFrame, pivots: DataFrame, hot_share: int) -> DataFrame:
-    """Each distinct set with its tokens rarest first and, with repeats, the pivots that hold its tokens."""
+def _ordered_with_pivots(sets: DataFrame, pivots: DataFrame, hot_share: int, chunk: int) -> DataFrame:
+    """Each distinct set with its tokens rarest first and, with repeats, the pivots that hold its tokens. Frequencies are told apart only
+    for tokens in more than a `hot_share`-th of the places or in more sets than half a chunk; all others count as rare."""
     tokens = sets.select("scope", "set_id", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("freq"))
     total = tokens.count()
-    hot = counts.where(F.col("freq") > max(2, total // hot_share))  # at most hot_share rows, by count
+    hot = write_through(counts.where(F.col("freq") > max(2, min(total // hot_share, chunk // 2))), "hot-tokens")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     at = pivots.select("scope", "pivot", F.explode("tokens").alias("token")).groupBy("scope", "token").agg(F.collect_list("pivot").alias("pivots"))
-    known = tokens.join(F.broadcast(hot), ["scope", "token"], "left").join(F.broadcast(at), ["scope", "token"], "left")
+    known = tokens.join(hot, ["scope", "token"], "left").join(F.broadcast(at), ["scope", "token"], "left")
     return known.groupBy("scope", "set_id").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token"))).alias("ranked"),
         F.flatten(F.collect_list("pivots")).alias("near"),
@@ -71,7 +75,7 @@ def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 16, r
     sizes = [0] * len(sample)
     for _, i, tokens in chosen:
         sizes[i] = len(tokens)
-    ordered = _ordered_with_pivots(sets, pivot_rows, hot_share)
+    ordered = _ordered_with_pivots(sets, pivot_rows, hot_share, chunk)
     celled = write_through(_cells(ordered, sizes, threshold, radius), "cells")  # read three times below
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
     lists = celled.select("scope", "set_id", "n", "home", "cells", F.transform("ranked", lambda x: x["token"]).alias("tokens"), F.slice("ranked", F.lit(1), prefix).alias("head"))
@@ -79,7 +83,7 @@ def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 16, r
     entries = placed.select("scope", "cell", F.posexplode("head").alias("pos", "entry"), "set_id", "n", "home", "tokens", "p").select(
         "scope", "cell", F.col("entry.token").alias("token"), F.col("entry.freq").alias("freq"), "pos", "set_id", "n", "home", "tokens", "p"
     )
-    # only frequent tokens can make a large group
+    # only tokens whose frequency is known can make a group larger than a chunk
     met = meet_within(entries, ["scope", "cell", "token"], "set_id", chunk, F.col("freq") > 0)
     least = F.ceil((F.col("l.n") + F.col("r.n")) * F.lit(threshold / (1 + threshold)) - F.lit(EPS))
     possible = (
