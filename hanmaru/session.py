@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,13 +50,8 @@ def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder of any Hadoop file system."""
+def clean_scratch(spark: SparkSession) -> None:
+    """Removes what `write_through` and the ledgers of queries left in the shared folder; results read from it are gone afterwards."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hanmaru")
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def local_path(path: str) -> str:
-    """A file URL as a path of the local file system."""
-    return path.removeprefix("file://") if path.startswith("file:///") else os.fspath(path)

@@ -46,3 +46,12 @@ def test_sinks(spark, tmp_path):
     assert files.first_existing(spark, str(tmp_path / "no"), str(tmp_path / "t")) == str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
         files.first_existing(spark, str(tmp_path / "no"))
+
+
+def test_write_through_and_clean(spark):
+    from hanmaru.session import clean_scratch, write_through
+
+    df = write_through(spark.range(5).toDF("i"), "numbers")
+    assert df.count() == 5 and "hanmaru/numbers" in df.inputFiles()[0]
+    clean_scratch(spark)
+    assert write_through(spark.range(3).toDF("i"), "numbers").count() == 3
