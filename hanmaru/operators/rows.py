@@ -14,15 +14,18 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def dedupe_with_dropped(df: DataFrame, keys: list[str], order: list[Column], keep: str = "last") -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): one row per key, the first or the last in the given order, and every other row. Rows with a null in
-    a key are never duplicates."""
+    """(kept, dropped): one row per key, the first or the last in the given order (ties: by the other columns), and every other row.
+    Rows with a null in a key are never duplicates. Aggregates only: equal rows are counted first, and no key is sorted."""
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    sides = [o.desc() if keep == "last" else o.asc() for o in order]
-    numbered = df.where(complete).withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*sides)))
-    kept = numbered.where("__rn = 1").drop("__rn").unionByName(df.where(~complete))
-    return kept, numbered.where("__rn > 1").drop("__rn")
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *rest)
+    counted = df.where(complete).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__row", row)
+    best = counted.groupBy(*keys).agg((F.max if keep == "last" else F.min)("__row").alias("__best"))
+    kept = best.select(*[F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns]).unionByName(df.where(~complete))
+    surplus = counted.join(best, keys).withColumn("__n", F.col("__n") - (F.col("__row") == F.col("__best")).cast("int")).where("__n > 0")
+    return kept, surplus.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*df.columns)
 
 
 def replace_keys(base: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:

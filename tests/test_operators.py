@@ -13,6 +13,10 @@ def test_dedupe_keeps_incomplete_keys(spark):
     kept, dropped = rows.dedupe_with_dropped(df, ["k"], [F.col("t")])
     assert sorted(r.v for r in kept.collect()) == ["w", "y", "z"]
     assert [r.v for r in dropped.collect()] == ["x"]
+    twice = df.unionByName(df.where("k = 'a'"))
+    kept, dropped = rows.dedupe_with_dropped(twice, ["k"], [F.col("t")])
+    assert sorted(r.v for r in kept.collect()) == ["w", "y", "z"]
+    assert sorted(r.v for r in dropped.collect()) == ["x", "x", "y"]
     kept, _ = rows.dedupe_with_dropped(df, ["k"], [F.col("t")], keep="first")
     assert sorted(r.v for r in kept.collect()) == ["w", "x", "z"]
 
