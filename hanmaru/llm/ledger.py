@@ -78,8 +78,7 @@ class CopyLedger:
         fs.rename(new, manifest)
 
     def _read(self, versions: dict[str, str]) -> DataFrame:
-        paths = [f"{self.path}/{version}/bucket={bucket}" for bucket, version in versions.items()]
-        if not paths:
+        if not versions:
             return self.spark.createDataFrame([], LEDGER)
         frames: dict[str, list[str]] = {}
         for bucket, version in versions.items():
