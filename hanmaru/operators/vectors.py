@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def max_merge(rows: DataFrame, owner: str, item: str, weight: Column) -> DataFrame:
-    """(owner, item, weight): the highest weight of every item of an owner; weights of 0 and below, and null keys, are no entries."""
+    """(owner, item, weight): the highest weight of every item of an owner; weights of 0 and below, and null keys, are no entries. The rows are
+    placed by owner, so that what follows per owner (sums, arg max, joins back) needs no further exchange."""
     return (
         rows.select(F.col(owner).alias("owner"), F.col(item).alias("item"), weight.cast("double").alias("weight"))
         .where(F.col("owner").isNotNull() & F.col("item").isNotNull() & (F.col("weight") > 0))
-        .groupBy("owner", "item").agg(F.max("weight").alias("weight"))
+        .repartition("owner").groupBy("owner", "item").agg(F.max("weight").alias("weight"))
     )
 
 
@@ -32,34 +33,34 @@ def cap_share(vectors: DataFrame, capped: Column, share: float) -> DataFrame:
     return vectors.join(sums.select("owner", factor.alias("f")), "owner").select("owner", "item", F.when(capped, F.col("weight") * F.col("f")).otherwise(F.col("weight")).alias("weight"))
 
 
-def shared_items(left: DataFrame, right: DataFrame, block: str | None, df_share: float | None, once: bool = False) -> DataFrame:
-    """Entries of two vector tables that meet on the item (and on `block`), different owners only: the inverted-index join. Items in more
-    than `df_share` of all owners are left out where a cutoff is given; that is part of the measure, not of the plan. With `once` only the
+def shared_items(vectors: DataFrame, block: str | None, df_share: float | None, once: bool = False) -> DataFrame:
+    """Entries of vectors that meet on the item (and on `block`), different owners only: the inverted-index join. Items in more than
+    `df_share` of all owners are left out where a cutoff is given; that is part of the measure, not of the plan. With `once` only the
     smaller owner of a pair is the base."""
     if df_share is not None:
-        owners = left.agg(F.count_distinct("owner")).first()[0]  # one number
-        rare = left.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max(1, math.floor(df_share * owners))).select("item")
-        left = left.join(rare, "item", "left_semi")
+        owners = vectors.agg(F.count_distinct("owner")).first()[0]  # one number
+        rare = vectors.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max(1, math.floor(df_share * owners))).select("item")
+        vectors = vectors.join(rare, "item", "left_semi")
     keys = ["item"] + ([block] if block else [])
-    a, b = left.alias("a"), right.alias("b")
+    a, b = vectors.alias("a"), vectors.alias("b")
     pair = F.col("a.owner") < F.col("b.owner") if once else F.col("a.owner") != F.col("b.owner")
     met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(pair)
-    return met.select(F.col("a.owner").alias("base_id"), F.col("b.owner").alias("target_id"), F.col("a.item").alias("item"), F.col("a.weight").alias("bw"), F.col("b.weight").alias("tw"))
+    totals = [F.col("a.total").alias("bt"), F.col("b.total").alias("tt")] if "total" in vectors.columns else []
+    return met.select(F.col("a.owner").alias("base_id"), F.col("b.owner").alias("target_id"), F.col("a.item").alias("item"), F.col("a.weight").alias("bw"), F.col("b.weight").alias("tw"), *totals)
 
 
 def weighted_jaccard(vectors: DataFrame, block: str | None = None, df_share: float | None = None) -> DataFrame:
     """(base_id, target_id, score, shared): sum of minima over sum of maxima of the weights, for all pairs of owners that share an item
     (within a block). The sum of maxima over the union of keys is that over the shared ones plus what either owner has besides, so no
-    outer join is needed: one shuffle for the pairs, and two lookups of totals. The measure is symmetric, so every pair is computed once and
-    given out both ways."""
+    outer join is needed. Every entry carries its owner's total into the join, so the pairs are shuffled once, to be summed up, and
+    never again to look anything up. The measure is symmetric: every pair is computed once and given out both ways."""
     totals = vectors.groupBy("owner").agg(F.sum("weight").alias("total"))
-    met = shared_items(vectors, vectors, block, df_share, once=True)
+    met = shared_items(vectors.join(totals, "owner"), block, df_share, once=True)
     pairs = met.groupBy("base_id", "target_id").agg(
-        F.sum(F.least("bw", "tw")).alias("smin"), F.sum(F.greatest("bw", "tw")).alias("smax"), F.sum("bw").alias("sb"), F.sum("tw").alias("st"), F.count(F.lit(1)).alias("shared")
+        F.sum(F.least("bw", "tw")).alias("smin"), F.sum(F.greatest("bw", "tw") - F.col("bw") - F.col("tw")).alias("less"), F.max("bt").alias("tb"), F.max("tt").alias("tt"),
+        F.count(F.lit(1)).alias("shared"),
     )
-    tb, tt = totals.select(F.col("owner").alias("base_id"), F.col("total").alias("tb")), totals.select(F.col("owner").alias("target_id"), F.col("total").alias("tt"))
-    whole = F.col("smax") + (F.col("tb") - F.col("sb")) + (F.col("tt") - F.col("st"))
-    scored = pairs.join(tb, "base_id").join(tt, "target_id").select("base_id", "target_id", (F.col("smin") / whole).alias("score"), "shared")
+    scored = pairs.select("base_id", "target_id", (F.col("smin") / (F.col("less") + F.col("tb") + F.col("tt"))).alias("score"), "shared")
     ways = F.array(F.struct(F.col("base_id").alias("b"), F.col("target_id").alias("t")), F.struct(F.col("target_id").alias("b"), F.col("base_id").alias("t")))
     return scored.select(F.explode(ways).alias("w"), "score", "shared").select(F.col("w.b").alias("base_id"), F.col("w.t").alias("target_id"), "score", "shared")
 

@@ -114,9 +114,11 @@ def topk_similar(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
     """The 20 targets of each base with the highest sum of weight x idf over shared ingredients; frequent ones are left out."""
-    sem = semantic_of(spark, d)
-    met = vectors.shared_items(sem, sem, "main", 0.05).join(vectors.idf(vec(spark, d)), "item")
-    pool = met.groupBy("base_id", "target_id").agg(F.round(F.sum(F.col("tw") * F.col("idf")), 6).alias("pool_score"))
+    sem = semantic_of(spark, d).join(vectors.idf(vec(spark, d)), "item").withColumn("weight", F.col("weight") * F.col("idf"))
+    met = vectors.shared_items(sem, "main", 0.05, once=True)
+    sums = met.groupBy("base_id", "target_id").agg(F.sum("bw").alias("sb"), F.sum("tw").alias("st"))
+    ways = [F.struct(F.col(x).alias("base_id"), F.col(y).alias("target_id"), F.round(z, 6).alias("pool_score")) for x, y, z in (("base_id", "target_id", "st"), ("target_id", "base_id", "sb"))]
+    pool = sums.select(F.inline(F.array(*ways)))
     return vectors.top_pairs(pool, 20, F.desc("pool_score"), F.col("target_id"))
 
 
