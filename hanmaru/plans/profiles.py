@@ -167,7 +167,7 @@ SELECT owner AS product_id, item AS ingredient, CASE WHEN count_if(role = 'prima
     "profile_confidence": _with(VEC, IMAP, CAT, MAIN)
     + """, x AS (SELECT a.owner, CASE WHEN coalesce(round(b.score, 9), 0) > 0 THEN round(a.score, 9) / round(b.score, 9) ELSE 9.99 END AS ratio
   FROM ranked a LEFT JOIN ranked b ON a.owner = b.owner AND b.rn = 2 WHERE a.rn = 1)
-SELECT owner AS product_id, round(ratio, 6) AS ratio, round(greatest(0.1, least(0.99, 0.45 + CASE WHEN ratio >= 1.8 THEN 0.28 WHEN ratio >= 1.5 THEN 0.2 WHEN ratio >= 1.2 THEN 0.1 ELSE -0.05 END)), 4) AS confidence FROM x""",
+SELECT owner AS product_id, round(ratio, 6) AS ratio, CAST(round(greatest(0.1, least(0.99, 0.45 + CASE WHEN ratio >= 1.8 THEN 0.28 WHEN ratio >= 1.5 THEN 0.2 WHEN ratio >= 1.2 THEN 0.1 ELSE -0.05 END)), 4) AS DOUBLE) AS confidence FROM x""",
     "reason_ingredients": _CORE
     + """, met AS (
   SELECT t.base_id, t.target_id, a.item AS ingredient, CAST(least(a.weight, b.weight) AS DOUBLE) AS share,
