@@ -7,6 +7,8 @@ the pieces together again. All of it is built-in SQL (`regexp_extract_all` and `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
+#: Pieces folded at a time.
+CHUNK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 FIELDS = ("vals", "raw", "lit", "mixed", "nlit", "depth", "quote", "closed", "under")
 
 
@@ -92,7 +103,17 @@ def _fold(pieces: Column, quotes: bool, brackets: bool) -> Column:
     def finish(s: Column) -> Column:
         return F.struct(values(s).alias("vals"), (s["quote"] != "").alias("open_quote"), (s["depth"] > 0).alias("open_bracket"), s["under"].alias("under"))
 
-    return F.aggregate(pieces, empty, step, finish)
+    def fold_chunk(s: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, state(s, vals=F.array().cast("array<string>")), step)
+        return _let(done, lambda d: state(d, vals=F.concat(s["vals"], d["vals"])))
+
+    def whole(p: Column) -> Column:
+        count = F.ceil(F.size(p) / F.lit(CHUNK)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(p, i * CHUNK + 1, CHUNK))
+        return F.aggregate(chunks, empty, fold_chunk, finish)
+
+    # appending to an array copies it: long fields are folded chunk by chunk, so that only chunks are copied piece by piece
+    return _let(pieces, lambda p: F.when(F.size(p) <= CHUNK, F.aggregate(p, empty, step, finish)).otherwise(whole(p)))
 
 
 def split_packed(df: DataFrame, column: str, into: str = "packed_values") -> DataFrame:
