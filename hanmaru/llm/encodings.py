@@ -1,8 +1,9 @@
 """Garbled text from wrong character encoding.
 
-The words of all documents are counted once. For every distinct word its garbled forms under all encoding chains are
-generated; a hash join of these forms with the words themselves tells which words of the corpus are garbled forms of more
-frequent ones, and which original each stands for. Documents then meet that table by their words.
+The words of all distinct texts are counted once. For every distinct word its garbled forms under all encoding chains are
+generated; a hash join of these forms with the words themselves tells which words of the corpus are forms of others. Which side of
+such a pair is the garbled one is told by the two words (`evidence`); only where they do not tell, by the number of distinct texts
+either is in. Documents then meet that table by their words.
 
 Words are what stands between ASCII white space (no chain makes such characters out of others), with every run of digits
 written as one 0, and besides these the runs of non-ASCII characters within them, for scripts without spaces.
@@ -11,7 +12,9 @@ written as one 0, and besides these the runs of non-ASCII characters within them
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +59,8 @@ def garbled_forms(word: str) -> set[str]:
             if read == written:
                 continue
             form = DECODERS[read](raw)
+            if read == "utf-8" and "�" not in form:  # bytes of another encoding are not UTF-8 by chance: this is a repair
+                continue
             if written in ONE_BYTE and read in ONE_BYTE and len(NON_ASCII.findall(form)) < 2:
                 continue
             out.add(form)
@@ -71,6 +76,94 @@ def garbled_forms(word: str) -> set[str]:
     return {f for f in out if NON_ASCII.search(f)}
 
 
+#: Non-ASCII marks of ordinary text; those that open stand before a word, those that close after it.
+USUAL = frozenset("’‘“”„…–—·•°×℃%‰™®©№±÷²³、。「」『』【】〈〉《》〔〕・ー～　\u00a0\u202f«»¿¡")
+OPENS, CLOSES = frozenset("«¿¡"), frozenset("»")
+#: Characters of the same word that ordinary text does not mix are of different groups here.
+SCRIPTS = (("LATIN", "L"), ("CYRILLIC", "Y"), ("GREEK", "G"), ("HIRAGANA", "K"), ("KATAKANA", "K"), ("HANGUL", "H"), ("CJK", "C"))
+SPELLED = frozenset("HKYG")
+TOGETHER = frozenset({"aL", "aH", "aC", "aK", "CK", "CH"})
+
+
+def _listed(char: str, *encodings: str) -> bool:
+    for e in encodings:
+        try:
+            raw = char.encode(e)
+        except UnicodeEncodeError:
+            continue
+        # other syllables than the common ones are spelled with eight bytes; the common half of GB 2312, JIS and Big5 stands before these lead bytes
+        if e == "euc_kr" and len(raw) == 2 or e != "euc_kr" and raw[0] < {"gb2312": 0xD8, "euc_jp": 0xD0, "big5": 0xC9}[e]:
+            return True
+    return False
+
+
+@lru_cache(maxsize=100_000)
+def _char(char: str) -> tuple[str, int, str]:
+    """(group, oddness, case) of a character. Groups: a ASCII letter, a script's letter, or empty for what is no letter."""
+    case = "u" if char.isupper() else "l" if char.islower() else ""
+    if char < "\x80":
+        return ("a" if char.isalpha() else ""), 6 if unicodedata.category(char) == "Cc" else 0, case
+    category = unicodedata.category(char)
+    if char == "�" or category in ("Cc", "Cn", "Co", "Cs"):
+        return "", 6, ""
+    if char in USUAL or 0xFF01 <= ord(char) <= 0xFF5E or "\u2190" <= char <= "\u21ff" or "\u25a0" <= char <= "\u27bf":
+        return "", 0, ""
+    if not char.isalpha():
+        return "", 2, ""
+    name = unicodedata.name(char, "")
+    group = next((g for start, g in SCRIPTS if name.startswith(start)), "O")
+    if group == "H":
+        return group, 0 if "ㄱ" <= char <= "ㅣ" or "가" <= char <= "힣" and _listed(char, "euc_kr") else 2, case
+    if group == "C":
+        return group, 0 if _listed(char, "gb2312", "euc_jp", "big5") else 2, case
+    if name.startswith("HALFWIDTH") or group == "O":
+        return ("K" if group == "O" and "KATAKANA" in name else group), 2, case
+    return group, 1 if group == "L" and char > "ÿ" else 0, case
+
+
+@lru_cache(maxsize=20_000)
+def oddness(word: str) -> int:
+    """How little a word looks like text as people write it: lost, control and private characters count 6; signs that are no usual marks,
+    rare syllables and ideographs, letters of scripts that are not mixed side by side, a capital after a small letter and a mark
+    on the wrong side of a letter and East Asian letters within an ASCII word count 2; letters beyond Latin-1 and words in capitals, 1; accented letters in a row, 1 and 2."""
+    total, group, case, last, special, caps, small, run, before = 0, "", "", "", False, 0, 0, 0, ""
+    for char in word:
+        g, odd, c = _char(char)
+        total += odd
+        special = char >= "\x80"
+        either = special or last >= "\x80"
+        if either and g and group and g != group and g + group not in TOGETHER and group + g not in TOGETHER:
+            total += 2
+        elif either and c == "u" and case == "l":
+            total += 2
+        elif char in OPENS and (group or last >= "\x80") or g and last in CLOSES:
+            total += 2
+        if g in ("H", "C", "K"):
+            before = before if group in ("H", "C", "K") else group
+        elif g == "a" and before == "a" and group in ("H", "C", "K"):
+            total += 2
+        run = run + 1 if g == "L" else 0
+        total += min(max(run - 1, 0), 2)
+        caps, small = caps + (special and c == "u"), small + (c == "l")
+        group, case, last = g, c, char
+    return total + (caps > 1 and not small)
+
+
+def evidence(form: str, original: str) -> int:
+    """How much more likely `form` is garbled `original` than the other way round, 0 if the two words do not tell. Bytes of one character
+    read as several make more characters; that several make one, and the right one, does not happen by mistake."""
+    more, less = len(NON_ASCII.findall(form)), len(NON_ASCII.findall(original))
+    return oddness(form) - oddness(original) + 2 * ((more > less) - (more < less))
+
+
+def hint(form: str, original: str) -> int:
+    """For words that do not tell: 1 if letters or syllables became ideographs throughout, or the way cannot be gone backwards."""
+    f, o = {_char(c)[0] for c in form}, {_char(c)[0] for c in original}
+    if "C" in f | o and ("C" in f) != ("C" in o) and not (f if "C" in f else o) & SPELLED:
+        return 1 if "C" in f else -1
+    return int(original not in garbled_forms(form))
+
+
 def words_of(text: Column) -> Column:
     """The distinct words with non-ASCII characters: whole words as `w:...`, runs of non-ASCII characters as `r:...`."""
     whole = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w.rlike(r"[^\x00-\x7F]"))
@@ -92,18 +185,33 @@ def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(forms), 50_000):
             part = slice(i, i + 50_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(forms[part], pa.string()), pa.array(originals[part], pa.string()), pa.array(counts[part], pa.int64())], names=["word", "original", "original_docs"]
+                [pa.array(forms[part], pa.string()), pa.array(originals[part], pa.string()), pa.array(counts[part], pa.int64())], names=["word", "original", "original_texts"]
             )
 
 
+def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs that met, those whose word is the garbled side. Where the words do not tell, the one in fewer distinct texts is."""
+    for batch in batches:
+        found = []
+        for word, original, original_texts, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            e = evidence(word[2:], original[2:]) if word != original else -1
+            found.append(e or int(original_texts > texts or original_texts == texts and hint(word[2:], original[2:]) > 0))
+        out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int32())], names=["word", "original", "original_texts", "evidence"])
+        yield out.filter(pa.array([e > 0 for e in found], pa.bool_()))
+
+
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(word, original, ambiguous): the garbled ones among the words (word, docs) of a corpus, each with the most frequent word it
-    can be a form of. A word counts as garbled if a word in more documents has it as a form. `ambiguous`: characters were
-    lost (U+FFFD) and several originals are possible, so the original cannot be had."""
-    # an original is in more documents than its garbled form, so in two at least: the long tail of single words is no original
-    forms = words.where(F.col("docs") > 1).mapInArrow(_generate, "word string, original string, original_docs bigint")
-    met = forms.join(words, "word").where(F.col("original_docs") > F.col("docs"))
-    best = met.groupBy("word").agg(F.max(F.struct("original_docs", "original")).alias("best"), F.count_distinct("original").alias("originals"))
+    """(word, original, ambiguous): the garbled ones among the words (word, texts) of a corpus, each with the original the evidence is
+    strongest for, of equal ones one that is no form itself, then that in most texts. `ambiguous`: characters were lost (U+FFFD) and several originals are possible, so
+    the original cannot be had."""
+    schema = "word string, original string, original_texts bigint"
+    forms = words.mapInArrow(_generate, schema)
+    met = write_through(
+        forms.join(words, "word").select("word", "original", "original_texts", "texts").mapInArrow(_directed, f"{schema}, evidence int"), "directed"
+    )
+    forms_too = met.select(F.col("word").alias("original")).distinct().withColumn("form_too", F.lit(1))
+    ranked = met.join(forms_too, "original", "left").withColumn("sound", F.col("form_too").isNull())
+    best = ranked.groupBy("word").agg(F.max(F.struct("evidence", "sound", "original_texts", "original")).alias("best"), F.count_distinct("original").alias("originals"))
     return best.select("word", F.col("best.original").alias("original"), ((F.col("originals") > 1) & F.col("word").contains("�")).alias("ambiguous"))
 
 
@@ -117,7 +225,8 @@ def garbled_documents(docs: DataFrame, key: str, text: str) -> tuple[DataFrame,
     Null keys and null or empty texts are no documents; equal texts are found alike; nothing is found in an empty table.
     """
     rows = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key), F.explode(words_of(F.col(text))).alias("word"))
-    words = write_through(rows.groupBy("word").agg(F.count(F.lit(1)).alias("docs")), "words")
+    once = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text")).distinct()
+    words = write_through(once.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "words")
     table = write_through(garbled_words(words), "garbled-words")
     return _meet(rows, table.select("word"), "left_semi").select(key).distinct(), table
 

@@ -52,3 +52,21 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encodings.garbled_documents(df, "doc_id", "text")[0].count() == 0
     assert encodings.restored(df, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("cp949", "latin-1"), ("cp949", "gbk"), ("utf-8", "cp949")])
+@pytest.mark.parametrize("copies", [1, 50])
+def test_direction_does_not_follow_counts(spark, written, read, copies):
+    clean = KOREAN[1]
+    bad = garble(clean, written, read)
+    rows = [(0, clean), (1, KOREAN[0])] + [(100 + i, bad) for i in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()} == set(range(100, 100 + copies))
+    got = {r.restored_text for r in encodings.restored(df, "doc_id", "text").collect()}
+    assert len(got) == 1 and ("�" in bad or got == {clean})
+
+
+def test_clean_vietnamese_is_no_form_of_its_garbled_words(spark):
+    clean = "Hàm lượng đo được là 24.9%."
+    df = spark.createDataFrame([(0, clean)] + [(i, garble(clean, "utf-8", "cp1252")) for i in range(1, 5)], "doc_id long, text string")
+    assert {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()} == {1, 2, 3, 4}
