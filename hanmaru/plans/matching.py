@@ -59,13 +59,21 @@ def hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
     return matching.merge_candidates("name_key", "entry", 3, lexical=lexical, prefix=_prefix(names, _entries(spark, d)))
 
 
-def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names and entries with the same first letters whose matching ratio is 0.78 or more."""
-    names = _names(spark, d).where(F.length("name_key") >= 3).select("name_key")
-    met = names.distinct().join(matching.small(_entries(spark, d)), F.substring("name_key", 1, 2) == F.substring("entry_key", 1, 2))
+def fuzzy_pairs(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """(name_key, entry, ratio): names and entries whose matching ratio is 0.78 or more. Twice the matched characters over both lengths is the
+    ratio, and no more can match than the characters of either that the other has, so the join drops only pairs below it."""
+    n, e = F.length("name_key"), F.length("entry_key")
+    common = F.least(n - F.length(F.expr("translate(name_key, entry_key, '')")), e - F.length(F.expr("translate(entry_key, name_key, '')")))
+    least = 0.7799995 * (n + e)  # what rounds to 0.78
+    met = names.distinct().join(matching.small(entries), (2 * F.least(n, e) >= least) & (2 * common >= least))
     return met.withColumn("ratio", F.round(text.matching_ratio(F.col("name_key"), F.col("entry_key")), 6)).where(F.col("ratio") >= 0.78).select("name_key", "entry", "ratio")
 
 
+def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names and entries whose matching ratio is 0.78 or more."""
+    return fuzzy_pairs(_names(spark, d).where(F.length("name_key") >= 3).select("name_key"), _entries(spark, d))
+
+
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 20."""
     rows = table(spark, d, "embeddings", "vec_id", "embedding")

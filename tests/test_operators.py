@@ -114,3 +114,16 @@ def test_text(spark):
         F.round(text.matching_ratio(F.col("p"), F.col("q")), 3).alias("m"), text.contains_any(F.col("p"), ["BC", "cd e", "bcd"]).alias("c"), text.count_phrase(F.col("l")).alias("ph"),
     ).first()
     assert (r.s, r.n, r.l, r.m, r.c) == ("가나", "Ab\n", ["b", "a"], 0.75, True)
+
+
+def test_fuzzy_pairs_lose_none(spark):
+    import difflib
+
+    from hanmaru.plans.matching import fuzzy_pairs
+
+    names = ["옹겅퀴오일", "이동덩굴잎오일", "유기농새모래덩굴뿌리추출분말", "엉겅퀴오일", "비타민c", "cvitamin", "aabbaabb"]
+    entries = ["엉겅퀴오일", "인동덩굴잎오일", "새모래덩굴뿌리추출분말", "비타민", "vitaminc", "abababab"]
+    got = fuzzy_pairs(spark.createDataFrame([(n,) for n in names], "name_key string"), spark.createDataFrame([(e, e) for e in entries], "entry string, entry_key string"))
+    wanted = {(n, e) for n in names for e in entries if round(difflib.SequenceMatcher(None, n, e).ratio(), 6) >= 0.78}
+    assert {(r.name_key, r.entry) for r in got.collect()} == wanted
+    assert ("옹겅퀴오일", "엉겅퀴오일") in wanted
