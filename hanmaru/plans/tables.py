@@ -304,10 +304,10 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs scored by boosted trees that learned low substitutability, counted by label. Few trees: the query shows the operator."""
+    """Pairs scored by boosted trees that learned low substitutability, counted by label."""
     r = table(spark, d, CACHE)
     features = learn.weighted_labels(learn.pair_features(r), F.col("substitutability") == "low")
-    model = learn.train(features, trees=5, depth=4)
+    model = learn.train(features)
     return learn.predict(model, features, 0.5).groupBy("quality_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weak_probability"), 6).alias("mean_probability"))
 
 

@@ -127,3 +127,14 @@ def test_fuzzy_pairs_lose_none(spark):
     wanted = {(n, e) for n in names for e in entries if round(difflib.SequenceMatcher(None, n, e).ratio(), 6) >= 0.78}
     assert {(r.name_key, r.entry) for r in got.collect()} == wanted
     assert ("옹겅퀴오일", "엉겅퀴오일") in wanted
+
+
+def test_quality_model_trains_with_the_defaults(spark, small, monkeypatch):
+    from hanmaru.operators import learn
+    from hanmaru.plans import tables
+
+    given = []
+    monkeypatch.setattr(learn, "train", lambda rows, **options: given.append(options))
+    monkeypatch.setattr(learn, "predict", lambda model, rows, threshold: rows.selectExpr("'good' AS quality_label", "0.0 AS weak_probability"))
+    tables.quality_model(spark, small)
+    assert given == [{}]
