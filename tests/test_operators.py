@@ -138,3 +138,11 @@ def test_quality_model_trains_with_the_defaults(spark, small, monkeypatch):
     monkeypatch.setattr(learn, "predict", lambda model, rows, threshold: rows.selectExpr("'good' AS quality_label", "0.0 AS weak_probability"))
     tables.quality_model(spark, small)
     assert given == [{}]
+
+
+def test_nearest_keeps_ties_of_the_final_order(spark):
+    from hanmaru.operators.matching import nearest
+
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 4e-4]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>").coalesce(1)
+    got = nearest(rows.where("vec_id = 0"), rows, "vec_id", "embedding", 1).collect()
+    assert [(r.neighbour_id, r.cosine) for r in got] == [(1, 1.0)]
