@@ -27,18 +27,31 @@ def build_session(app: str = "hanmaru", cores: str = "*", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one is made only where that is unset and the session is local,
+    as in tests; a cluster without the setting is an error, as its executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="hanmaru-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder below the shared one that holds what this application leaves there; it goes when the driver ends."""
+    root = f"{shared_dir(spark)}/hanmaru/{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.mkdirs(target):
+        fs.deleteOnExit(target)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/hanmaru/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -51,7 +64,6 @@ def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Removes what `write_through` and the ledgers of queries left in the shared folder; results read from it are gone afterwards."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hanmaru")
+    """Removes at once what `write_through` and the ledgers of queries left in the shared folder; results read from it are gone afterwards."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

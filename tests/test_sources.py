@@ -52,6 +52,16 @@ def test_write_through_and_clean(spark):
     from hanmaru.session import clean_scratch, write_through
 
     df = write_through(spark.range(5).toDF("i"), "numbers")
-    assert df.count() == 5 and "hanmaru/numbers" in df.inputFiles()[0]
+    assert df.count() == 5 and f"{spark.sparkContext.applicationId}/numbers" in df.inputFiles()[0]
     clean_scratch(spark)
     assert write_through(spark.range(3).toDF("i"), "numbers").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from hanmaru.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
