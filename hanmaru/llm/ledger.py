@@ -1,9 +1,11 @@
 """Duplicates hidden by formatting differences, kept as an incremental ledger of canonical keys.
 
-The ledger is a folder of Parquet buckets with a small manifest that names the version of each bucket. A batch is aggregated
-to one row per key (partial aggregation before its only shuffle), joined by a full outer join with just the buckets it
-touches, and those buckets are written anew; then the manifest is replaced. A lost executor costs a recomputation, a lost
-driver leaves the old manifest valid, and a batch identifier met again changes nothing.
+The ledger is a folder of runs, each a set of Parquet buckets by a hash of the key, with a small manifest that names the runs and
+the number of buckets. A batch is aggregated to one row per key (partial aggregation before its only shuffle). It is joined by a
+full outer join, bucket by bucket, with the runs that are not much larger than itself, and becomes a run with them; larger runs
+stay as they are. So a small batch does not rewrite a large ledger: every row is written again about as often as the ledger
+doubles. Then the manifest is replaced. A lost executor costs a recomputation, a lost driver leaves the old manifest valid, and a
+batch identifier met again changes nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from hanmaru.llm.pairing import hot_groups
+from hanmaru.llm.pairing import look_up
 
 LEDGER = StructType(
     [StructField("key", StringType()), StructField("copies", LongType()), StructField("kept", StringType()), StructField("bucket", IntegerType())]
@@ -42,11 +44,25 @@ def canonical_key(text: Column) -> Column:
     return F.md5(F.array_join(sorted_parts, "\n"))
 
 
+#: A run is merged with a new one of at least its rows divided by this.
+MERGE_RATIO = 3
+#: Keys with more copies than this are looked up apart from the others.
+HOT_COPIES = 10_000
+
+
 class CopyLedger:
-    """Counts of canonical keys with the earliest representative, kept in `path` over any number of batches."""
+    """Counts of canonical keys with the earliest representative, kept in `path` over any number of batches.
+
+    The number of buckets is fixed by the first batch and stands in the manifest; opening the ledger with another number raises
+    ValueError, as keys would be looked for in the wrong buckets. Without a number the manifest's counts (16 for a new ledger).
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        kept = self.manifest()["buckets"]
+        if kept and buckets and kept != buckets:
+            raise ValueError(f"the ledger has {kept} buckets, not {buckets}")
+        self.buckets = kept or buckets or 16
 
     def _fs(self) -> tuple:
         jvm = self.spark.sparkContext._jvm
@@ -54,7 +70,7 @@ class CopyLedger:
         return jvm, manifest.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), manifest
 
     def manifest(self) -> dict:
-        """{"batches": applied batch ids, "buckets": {bucket: version}}"""
+        """{"batches": applied batch ids, "buckets": their number, "runs": [{"name", "rows"}] largest first, "stale": runs replaced by the last batch}"""
         jvm, fs, manifest = self._fs()
         old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json.old")
         for path in (manifest, old):
@@ -64,7 +80,7 @@ class CopyLedger:
                     return json.loads(str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
                 finally:
                     stream.close()
-        return {"batches": [], "buckets": {}}
+        return {"batches": [], "buckets": 0, "runs": [], "stale": []}
 
     def _replace_manifest(self, content: dict) -> None:
         jvm, fs, manifest = self._fs()
@@ -77,62 +93,68 @@ class CopyLedger:
             fs.rename(manifest, old)
         fs.rename(new, manifest)
 
-    def _read(self, versions: dict[str, str]) -> DataFrame:
-        if not versions:
-            return self.spark.createDataFrame([], LEDGER)
-        frames: dict[str, list[str]] = {}
-        for bucket, version in versions.items():
-            frames.setdefault(version, []).append(bucket)
-        parts = [
-            self.spark.read.schema(LEDGER).parquet(f"{self.path}/{version}").where(F.col("bucket").isin([int(b) for b in buckets]))
-            for version, buckets in frames.items()
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(f"{self.path}/{name}")
 
     def read(self) -> DataFrame:
-        """The whole ledger: key, copies, kept, bucket."""
-        return self._read(self.manifest()["buckets"])
+        """The whole ledger: key, copies, kept, bucket. It may be read until the second batch after."""
+        runs = self.manifest()["runs"]
+        if not runs:
+            return self.spark.createDataFrame([], LEDGER)
+        out = self._run(runs[0]["name"])
+        for run in runs[1:]:
+            out = out.unionByName(self._run(run["name"]))
+        if len(runs) == 1:
+            return out
+        return out.groupBy("bucket", "key").agg(F.sum("copies").alias("copies"), F.min("kept").alias("kept")).select("key", "copies", "kept", "bucket")
+
+    def _remove(self, names: list[str]) -> None:
+        jvm, fs, _ = self._fs()
+        for name in names:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
     def apply(self, batch: DataFrame, batch_id: str) -> None:
         """Adds a batch of (record_id, key) rows; null keys are no records. A batch id already applied is skipped."""
         content = self.manifest()
         if batch_id in content["batches"]:
             return
-        counts = (
+        number = len(content["batches"])
+        new = (
             batch.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.col("record_id").cast("string")).alias("kept"))
             .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
         )
-        version = f"v{len(content['batches']):06d}"
-        if content["buckets"]:
-            touched = {str(r.bucket) for r in counts.select("bucket").distinct().collect()}  # at most `buckets` rows
-            old = self._read({b: v for b, v in content["buckets"].items() if b in touched})
-            merged = old.alias("o").join(counts.alias("n"), ["bucket", "key"], "full_outer").select(
+        keys = self._write(new, f"run-{number:06d}-0")
+        runs, stale = list(content["runs"]), []
+        name = f"run-{number:06d}-0"
+        while runs and runs[-1]["rows"] <= MERGE_RATIO * keys:
+            old = runs.pop()
+            merged = self._run(old["name"]).alias("o").join(self._run(name).alias("n"), ["bucket", "key"], "full_outer").select(
                 "key",
                 (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"),
                 F.least("o.kept", "n.kept").alias("kept"),
                 "bucket",
             )
-        else:
-            merged = counts.select("key", "copies", "kept", "bucket")
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{version}")
-        written = {str(r.bucket) for r in self.spark.read.schema(LEDGER).parquet(f"{self.path}/{version}").select("bucket").distinct().collect()}
-        self._replace_manifest({"batches": [*content["batches"], batch_id], "buckets": content["buckets"] | dict.fromkeys(sorted(written), version)})
+            stale += [old["name"], name]
+            name = f"run-{number:06d}-{len(stale)}"
+            keys = self._write(merged, name)
+        self._replace_manifest({"batches": [*content["batches"], batch_id], "buckets": self.buckets, "runs": [*runs, {"name": name, "rows": keys}], "stale": stale})
+        self._remove(content["stale"])
+
+    def _write(self, rows: DataFrame, name: str) -> int:
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return self._run(name).count()
 
 
 def surplus_copies(ledger: DataFrame, records: DataFrame) -> DataFrame:
-    """(kept, copy): every record that is not the kept one of its key. Keys with more than a 2000th of all records are answered by
-    a broadcast of at most 2000 rows, so that no task of the shuffled join holds such a key."""
-    several = ledger.where(F.col("copies") > 1).select("key", "kept")
+    """(kept, copy): every record that is not the kept one of its key. Keys with more than `HOT_COPIES` copies are looked up apart,
+    by broadcast or salted, so that no task of the shuffled join holds such a key."""
+    several = ledger.where(F.col("copies") > 1)
     keyed = records.where(F.col("key").isNotNull()).select(F.col("record_id").cast("string").alias("copy"), "key")
-    hot, _ = hot_groups(keyed, "key", 10_000)
-    hot_kept = several.join(F.broadcast(hot.select("key")), "key")
-    marked = keyed.join(F.broadcast(hot_kept.withColumnRenamed("kept", "hot_kept")), "key", "left")
+    hot = several.where(F.col("copies") > HOT_COPIES).select("key", F.col("kept").alias("hot_kept"))
+    marked = look_up(keyed, hot, ["key"], F.col("copy"))
     out = marked.where(F.col("hot_kept").isNotNull()).select(F.col("hot_kept").alias("kept"), "copy")
-    rest = marked.where(F.col("hot_kept").isNull()).select("copy", "key").join(several, "key").select("kept", "copy")
-    return out.unionByName(rest).where("kept <> copy").distinct()
+    rest = marked.where(F.col("hot_kept").isNull()).select("copy", "key").join(several.where(F.col("copies") <= HOT_COPIES).select("key", "kept"), "key")
+    return out.unionByName(rest.select("kept", "copy")).where("kept <> copy").distinct()
 
 
 def batches_by_time(df: DataFrame, time: str, batches: int) -> list[DataFrame]:

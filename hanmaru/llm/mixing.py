@@ -11,6 +11,7 @@ number brings the tokens.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,15 +57,70 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: numpy draws hypergeometric numbers for populations below this.
+NUMPY_MOST = 1_000_000_000
+
+
+def _stirling(n: float) -> float:
+    """ln n! without its leading terms (n + 1/2) ln n - n + ln(2 pi) / 2."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - 1 / (1260 * n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without loss of digits where the two are close."""
+    v = (x - mean) / (x + mean)
+    if abs(v) >= 0.1:
+        return (x * math.log(x / mean) if x else 0.0) + mean - x
+    total, power, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        step = power / (2 * k + 1)
+        if total + step == total:
+            return total
+        total, k = total + step, k + 1
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """ln of the probability of x among n at p, by its saddle point: as exact for 10^15 as for 10."""
+    if x in (0, n):
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    return _stirling(n) - _stirling(x) - _stirling(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) - 0.5 * math.log(2 * math.pi * x * (n - x) / n)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` drawn from good + bad are good, for populations of any size: ratio of uniforms with the exact probabilities."""
+    n = good + bad
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    p, mean = take / n, take * good / n
+    spread_ = math.sqrt(mean * (bad / n) * ((n - take) / max(n - 1, 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread_ + 3 - 2 * math.sqrt(3 / math.e)
+
+    def log_probability(x: int) -> float:
+        return _log_binomial(x, good, p) + _log_binomial(take - x, bad, p)
+
+    top = log_probability(min(high, max(low, (take + 1) * (good + 1) // (n + 2))))
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= x <= high and 2 * math.log(u) <= log_probability(x) - top:
+            return x
+
+
 def _half(rng: np.random.Generator, totals: list[int], take: int) -> list[int]:
     """How many of `take` slots drawn from all slots each source gets."""
     out, left = [], sum(totals)
     for have in totals:
         left -= have
-        if have >= 1_000_000_000 or left >= 1_000_000_000:  # beyond numpy's range: the mean, rounded within what is possible
-            got = min(have, take, max(take - left, round(take * have / (have + left))))
+        if not take or not have + left:
+            got = 0
+        elif max(have, left) < NUMPY_MOST:
+            got = int(rng.hypergeometric(have, left, take))
         else:
-            got = int(rng.hypergeometric(have, left, take)) if have + left and take else 0
+            got = hypergeometric(rng, have, left, take)
         out.append(got)
         take -= got
     return out
@@ -97,10 +153,11 @@ class Plan:
 
 def slots_of(shares: list[float], repeats: list[int], tokens: list[int], blocks: list[int]) -> list[int]:
     """The slots of each source in the largest mix that keeps all shares and repeats. Shares are of tokens: the last block of a
-    source is shorter than the others, so a slot of a source stands for its mean block."""
-    wanted = [(r * t / s) for s, r, t in zip(shares, repeats, tokens, strict=True) if s > 0]
+    source is shorter than the others, so a slot of a source stands for its mean block. A source without tokens, or one that may
+    not be used at all, gets none; the others keep their shares towards each other."""
+    wanted = [(r * t / s) for s, r, t in zip(shares, repeats, tokens, strict=True) if s > 0 and t and r > 0]
     total = min(wanted, default=0.0)
-    return [min(round(s * total * b / t), r * b) if t else 0 for s, r, t, b in zip(shares, repeats, tokens, blocks, strict=True)]
+    return [min(round(s * total * b / t), r * b) if t and r > 0 else 0 for s, r, t, b in zip(shares, repeats, tokens, blocks, strict=True)]
 
 
 def _draw(plans: dict[str, Plan], shard_slots: int, seed: int):  # noqa: ANN202
@@ -147,9 +204,11 @@ def mix_sources(docs: DataFrame, key: str, text: str, source: str, targets: list
 
     `targets`: (plan, source, target share, most repeats). The mix is the largest one in which every source has its share of the
     slots and no block is used more often than its source may be repeated; a repeat uses every block once. Shares of a plan that do
-    not add up to 1 are scaled. A plan with a source that has no documents cannot be met and gives nothing; documents without a
-    source, of other sources, or without tokens are in no plan.
+    not add up to 1 are scaled. A source of a plan that has no documents gets no slots: the mix is made of the others, which keep
+    their shares towards each other, and `share_report` says that the source reached 0. Targets with a null in them and
+    documents without a source, of other sources, or without tokens are in no plan.
     """
+    targets = [t for t in targets if None not in t]
     spark = docs.sparkSession
     wanted = sorted({t[1] for t in targets})
     chosen = docs.where(F.col(source).isin(wanted)).select(F.col(key).alias("item"), F.col(source).alias("source"), F.col(text).alias("text"))

@@ -41,8 +41,7 @@ def _tokenise(folder: str, vocabulary: str, bags: bool):  # noqa: ANN202
             ranks = {b64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for frame in frames:
-            # a very long stretch without a break is encoded in pieces, as merging it in one go takes its square in time
-            ids = [coder.encode_ordinary(t) if len(t) < 100_000 else [i for k in range(0, len(t), 100_000) for i in coder.encode_ordinary(t[k : k + 100_000])] for t in frame["text"]]
+            ids = [coder.encode_ordinary(t) for t in frame["text"]]
             out = frame.drop(columns=["text"]).assign(n_tokens=[len(x) for x in ids])
             if bags:
                 pairs = [np.unique(np.asarray(x, dtype=np.int32), return_counts=True) for x in ids]

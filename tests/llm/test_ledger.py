@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from hanmaru.llm import ledger
@@ -63,3 +64,26 @@ def test_batches_by_time(spark):
     parts = ledger.batches_by_time(df, "t", 3)
     assert [sorted(r.i for r in p.collect()) for p in parts] == [[1, 2], [3], [4]]
     assert len(ledger.batches_by_time(df.where("i = 1"), "t", 3)) == 1
+
+
+def test_number_of_buckets_is_kept(spark, tmp_path):
+    path = str(tmp_path / "l")
+    ledger.CopyLedger(spark, path, buckets=16).apply(make(spark, ["a", "b", "a "]), "0")
+    with pytest.raises(ValueError, match="16 buckets, not 17"):
+        ledger.CopyLedger(spark, path, buckets=17)
+    book = ledger.CopyLedger(spark, path)
+    book.apply(make(spark, ["A", "c"]), "1")
+    assert sorted(r.copies for r in book.read().collect()) == [1, 1, 3]
+
+
+def test_small_batches_leave_large_runs_and_stale_runs_go(spark, tmp_path):
+    book = ledger.CopyLedger(spark, str(tmp_path / "l"), buckets=2)
+    book.apply(make(spark, [f"x{i}" for i in range(200)]), "0")
+    first = book.manifest()["runs"][0]["name"]
+    for n in range(4):
+        book.apply(make(spark, [f"X{n}", "y"]), str(n + 1))
+    content = book.manifest()
+    assert [r["name"] for r in content["runs"]][0] == first and len(content["runs"]) == 2
+    assert {p.name for p in (tmp_path / "l").iterdir() if p.is_dir()} == {r["name"] for r in content["runs"]} | set(content["stale"])
+    got = sorted(r.copies for r in book.read().collect())
+    assert (len(got), got[-5:]) == (201, [2, 2, 2, 2, 4])

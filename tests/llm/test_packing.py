@@ -67,5 +67,12 @@ def test_unused_against_brute_force():
         left.discard(item)
 
 
+def test_long_texts_count_as_the_tokenizer_says(spark):
+    texts = ["비타민 칼슘 ab  12\n" * 17_001, "가나다" * 90_001, " " * 100_001 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.n_tokens for r in tokens.token_sizes(df, "k", "text").collect()}
+    assert got == {i: len(tokens.encoding().encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
 def test_empty(spark):
     assert packing.pack_documents(docs(spark).where("false"), "k", "text", CAPACITIES).count() == 0
