@@ -11,6 +11,7 @@ written as one 0, and besides these the runs of non-ASCII characters within them
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,26 +21,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hanmaru.llm.pairing import look_up
 from hanmaru.session import write_through
 
 #: Encodings texts were written in, encodings they are wrongly read in, and readings that are repeated.
 WRITTEN = ("utf-8", "cp949", "cp932", "euc_jp", "gb18030", "big5", "cp1251", "koi8-r", "cp1252")
 READ = ("latin-1", "cp1252", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850", "cp949", "cp932", "euc_jp", "gbk", "big5", "utf-8")
 REPEATED = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")
-ONE_BYTE = frozenset({"latin-1", "cp1252", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437", "cp850"})
 
 NON_ASCII = re.compile(r"[^\x00-\x7F]")
 #: A run of non-ASCII characters counts as a word of its own from this length; shorter ones also arise by chance.
 LEAST_RUN = 4
-#: Up to so many rows the table of garbled words is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: An exchange of one letter for another between one-byte encodings is told from two ordinary words from this evidence on.
+LEAST_EVIDENCE = 2
 
 
 def _decoder(encoding: str):  # noqa: ANN202
     """Bytes to text as careless programs do: windows code pages pass undefined bytes through, others put U+FFFD."""
     if encoding.startswith("cp125"):
-        table = [bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256)]
-        return lambda raw: "".join([table[b] for b in raw])
+        table = "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256))
+        return lambda raw: codecs.charmap_decode(raw, "strict", table)[0]
     return lambda raw: raw.decode(encoding, "replace")
 
 
@@ -47,8 +48,7 @@ DECODERS = {e: _decoder(e) for e in (*READ, *REPEATED)}
 
 
 def garbled_forms(word: str) -> set[str]:
-    """All forms of a word under the encoding chains, without the word itself and without forms that are no evidence: those
-    without non-ASCII characters, and single letters exchanged for others between one-byte encodings."""
+    """All forms of a word under the encoding chains, without the word itself and without forms in ASCII, which tell nothing."""
     out: set[str] = set()
     for written in WRITTEN:
         try:
@@ -61,8 +61,6 @@ def garbled_forms(word: str) -> set[str]:
             form = DECODERS[read](raw)
             if read == "utf-8" and "�" not in form:  # bytes of another encoding are not UTF-8 by chance: this is a repair
                 continue
-            if written in ONE_BYTE and read in ONE_BYTE and len(NON_ASCII.findall(form)) < 2:
-                continue
             out.add(form)
     once = word.encode("utf-8", "surrogatepass")
     for first in REPEATED:
@@ -79,6 +77,8 @@ def garbled_forms(word: str) -> set[str]:
 #: Non-ASCII marks of ordinary text; those that open stand before a word, those that close after it.
 USUAL = frozenset("’‘“”„…–—·•°×℃%‰™®©№±÷²³、。「」『』【】〈〉《》〔〕・ー～　\u00a0\u202f«»¿¡")
 OPENS, CLOSES = frozenset("«¿¡"), frozenset("»")
+#: Marks that do not stand between two Latin letters.
+APART = frozenset("²³±®©™×÷°")
 #: Characters of the same word that ordinary text does not mix are of different groups here.
 SCRIPTS = (("LATIN", "L"), ("CYRILLIC", "Y"), ("GREEK", "G"), ("HIRAGANA", "K"), ("KATAKANA", "K"), ("HANGUL", "H"), ("CJK", "C"))
 SPELLED = frozenset("HKYG")
@@ -125,8 +125,8 @@ def _char(char: str) -> tuple[str, int, str]:
 def oddness(word: str) -> int:
     """How little a word looks like text as people write it: lost, control and private characters count 6; signs that are no usual marks,
     rare syllables and ideographs, letters of scripts that are not mixed side by side, a capital after a small letter and a mark
-    on the wrong side of a letter and East Asian letters within an ASCII word count 2; letters beyond Latin-1 and words in capitals, 1; accented letters in a row, 1 and 2."""
-    total, group, case, last, special, caps, small, run, before = 0, "", "", "", False, 0, 0, 0, ""
+    on the wrong side of a letter or, of some, between letters and East Asian letters within an ASCII word count 2; letters beyond Latin-1 and words in capitals, 1; accented letters in a row, 1 and 2."""
+    total, group, older, case, last, special, caps, small, run, before = 0, "", "", "", "", False, 0, 0, 0, ""
     for char in word:
         g, odd, c = _char(char)
         total += odd
@@ -138,6 +138,8 @@ def oddness(word: str) -> int:
             total += 2
         elif char in OPENS and (group or last >= "\x80") or g and last in CLOSES:
             total += 2
+        elif g in ("a", "L") and last in APART and older in ("a", "L"):
+            total += 2
         if g in ("H", "C", "K"):
             before = before if group in ("H", "C", "K") else group
         elif g == "a" and before == "a" and group in ("H", "C", "K"):
@@ -145,7 +147,7 @@ def oddness(word: str) -> int:
         run = run + 1 if g == "L" else 0
         total += min(max(run - 1, 0), 2)
         caps, small = caps + (special and c == "u"), small + (c == "l")
-        group, case, last = g, c, char
+        older, group, case, last = group, g, c, char
     return total + (caps > 1 and not small)
 
 
@@ -172,63 +174,79 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(whole, lambda w: F.concat(F.lit("w:"), w)), F.transform(runs, lambda w: F.concat(F.lit("r:"), w))))
 
 
+def letter_exchanged(form: str, original: str) -> bool:
+    """Whether the two differ in one non-ASCII character and have no other: what one-byte encodings make of a single accent. (Two
+    bytes read as one give an East Asian character.)"""
+    if len(form) != len(original) or len(NON_ASCII.findall(form)) != 1 or len(NON_ASCII.findall(original)) != 1:
+        return False
+    return [max(a, b) < "\u2e80" for a, b in zip(form, original, strict=True) if a != b] == [True]
+
+
+def _forms(word: str) -> set[str]:
+    """Forms of a word of the corpus (`w:...` or `r:...`) as such words."""
+    kind, text = word[:2], word[2:]
+    if kind == "w:":
+        return {kind + re.sub(r"[0-9]+", "0", f) for f in garbled_forms(text)}
+    return {kind + f for f in garbled_forms(text) if len(f) >= LEAST_RUN}
+
+
 def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        forms, originals, counts = [], [], []
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            kind, text = word[:2], word[2:]
-            for form in garbled_forms(text):
-                if kind == "w:" or len(form) >= LEAST_RUN:
-                    forms.append(kind + re.sub(r"[0-9]+", "0", form) if kind == "w:" else kind + form)
-                    originals.append(word)
-                    counts.append(n)
+        forms, sources = [], []
+        for word, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mine = _forms(word)
+            forms += mine
+            sources += [number] * len(mine)
         for i in range(0, len(forms), 50_000):
             part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(forms[part], pa.string()), pa.array(originals[part], pa.string()), pa.array(counts[part], pa.int64())], names=["word", "original", "original_texts"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(forms[part], pa.string()), pa.array(sources[part], pa.int64())], names=["form", "source"])
 
 
 def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs that met, those whose word is the garbled side. Where the words do not tell, the one in fewer distinct texts is."""
+    """Of the pairs that met by their hashes, those that are a form and its original, with the word as the garbled side. Where the words
+    do not tell, the one in fewer distinct texts is."""
     for batch in batches:
         found = []
         for word, original, original_texts, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            e = evidence(word[2:], original[2:]) if word != original else -1
-            found.append(e or int(original_texts > texts or original_texts == texts and hint(word[2:], original[2:]) > 0))
+            form, source = word[2:], original[2:]
+            e = evidence(form, source) if word != original and word in _forms(original) else -1
+            if e < LEAST_EVIDENCE and letter_exchanged(form, source):
+                e = -1
+            found.append(e or int(original_texts > texts or original_texts == texts and hint(form, source) > 0))
         out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int32())], names=["word", "original", "original_texts", "evidence"])
         yield out.filter(pa.array([e > 0 for e in found], pa.bool_()))
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """(word, original, ambiguous): the garbled ones among the words (word, texts) of a corpus, each with the original the evidence is
+    """(word, original, ambiguous): the garbled ones among the words (number, word, texts) of a corpus, each with the original the evidence is
     strongest for, of equal ones one that is no form itself, then that in most texts. `ambiguous`: characters were lost (U+FFFD) and several originals are possible, so
-    the original cannot be had."""
-    schema = "word string, original string, original_texts bigint"
-    forms = words.mapInArrow(_generate, schema)
-    met = write_through(
-        forms.join(words, "word").select("word", "original", "original_texts", "texts").mapInArrow(_directed, f"{schema}, evidence int"), "directed"
-    )
+    the original cannot be had. Forms and words meet by 64-bit hashes, so a form costs two numbers in the shuffle; what met is verified."""
+    hashed = words.withColumn("hash", F.xxhash64("word"))
+    forms = words.select("word", "number").mapInArrow(_generate, "form string, source bigint").select(F.xxhash64("form").alias("hash"), "source")
+    met = forms.join(hashed.select("hash", "word", "texts"), "hash").select("word", "texts", "source")
+    originals = words.select(F.col("number").alias("source"), F.col("word").alias("original"), F.col("texts").alias("original_texts"))
+    pairs = met.join(originals, "source").select("word", "original", "original_texts", "texts")
+    met = write_through(pairs.mapInArrow(_directed, "word string, original string, original_texts bigint, evidence int"), "directed")
     forms_too = met.select(F.col("word").alias("original")).distinct().withColumn("form_too", F.lit(1))
     ranked = met.join(forms_too, "original", "left").withColumn("sound", F.col("form_too").isNull())
     best = ranked.groupBy("word").agg(F.max(F.struct("evidence", "sound", "original_texts", "original")).alias("best"), F.count_distinct("original").alias("originals"))
     return best.select("word", F.col("best.original").alias("original"), ((F.col("originals") > 1) & F.col("word").contains("�")).alias("ambiguous"))
 
 
-def _meet(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "word", how)
-
-
 def garbled_documents(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The keys of the documents with at least one garbled word, and the table of garbled words of the corpus.
 
     Null keys and null or empty texts are no documents; equal texts are found alike; nothing is found in an empty table.
     """
-    rows = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key), F.explode(words_of(F.col(text))).alias("word"))
-    once = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text")).distinct()
-    words = write_through(once.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "words")
+    cut = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("key"), F.md5(F.col(text)).alias("digest"), words_of(F.col(text)).alias("words"))
+    rows = write_through(cut.withColumn("place", F.monotonically_increasing_id()), "document-words")  # texts are cut into words once
+    repeated = write_through(rows.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "repeated-texts")
+    once = look_up(rows, repeated, ["digest"], F.col("place")).where(F.col("first").isNull() | (F.col("first") == F.col("place")))
+    counts = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    words = write_through(counts.withColumn("number", F.monotonically_increasing_id()), "words")
     table = write_through(garbled_words(words), "garbled-words")
-    return _meet(rows, table.select("word"), "left_semi").select(key).distinct(), table
+    found = look_up(rows.select("key", "place", F.explode("words").alias("word")), table.select("word"), ["word"], F.col("place"), "left_semi")
+    return found.select(F.col("key").alias(key)).distinct(), table
 
 
 def restored(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -240,7 +258,10 @@ def restored(docs: DataFrame, key: str, text: str) -> DataFrame:
         .select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"([ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+)"), F.lit(1))).alias("pos", "piece"))
         .withColumn("word", F.concat(F.lit("w:"), F.regexp_replace("piece", "[0-9]+", "0")))
     )
-    met = _meet(pieces, table, "left")
+    # white space and other ASCII pieces, half of all, take no part in the join
+    plain_ascii = F.col("piece").rlike(r"^[\x00-\x7F]*$")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in table.dtypes if c != "word"]
+    met = look_up(pieces.where(~plain_ascii), table, ["word"], F.col(key)).unionByName(pieces.where(plain_ascii).select("*", *nothing))
     digits = F.regexp_extract_all("piece", F.lit("([0-9]+)"), F.lit(1))
     original = F.substring("original", 3, 1_000_000_000)
     plain = F.split(original, "[0-9]+", -1)

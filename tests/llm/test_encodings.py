@@ -36,7 +36,6 @@ def test_found_are_the_garbled(corpus):
     found = {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()}
     assert not found - bad.keys()
     missed = {i: bad[i] for i in bad.keys() - found}
-    # only single letters exchanged between one-byte encodings give no evidence
     assert not missed, missed
 
 
@@ -70,3 +69,23 @@ def test_clean_vietnamese_is_no_form_of_its_garbled_words(spark):
     clean = "Hàm lượng đo được là 24.9%."
     df = spark.createDataFrame([(0, clean)] + [(i, garble(clean, "utf-8", "cp1252")) for i in range(1, 5)], "doc_id long, text string")
     assert {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()} == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("read", ["mac_roman", "cp437", "cp1251", "cp850"])
+def test_single_accents_between_one_byte_encodings(spark, read):
+    texts = ["Le complément apporte du zinc.", "La dose journalière et la durée.", "Die Prüfung der Nährstoffe.", "Não há alteração de açúcar."]
+    bad = [garble(t, "cp1252", read) for t in texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()} == {100 + i for i, t in enumerate(bad) if t != texts[i]}
+
+
+def test_words_of_single_documents_are_originals(spark):
+    """Planted: every garbled word has its original in one document only."""
+    names = [f"{a}{b}풀{c}" for a in "가나다라마바사" for b in "노도로모보소" for c in "잎꽃"]
+    clean = [(i, f"원료 {n} 함유") for i, n in enumerate(names)]
+    bad = [(1000 + i, garble(f"{n} 12mg", "utf-8", read)) for i, (n, read) in enumerate(zip(names, ["latin-1", "cp1252", "cp949", "mac_roman"] * 50, strict=False))]
+    df = spark.createDataFrame(clean + bad, "doc_id long, text string")
+    found = {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()}
+    assert not found & {i for i, _ in clean}
+    assert len(found) >= 0.9 * len(bad)
