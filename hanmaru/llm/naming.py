@@ -1,6 +1,7 @@
 """Mapping free-entered names to a canonical list.
 
-A value is cut into parts, details (amounts, shares, numbers, batch codes) are stripped, and every distinct name left is read in
+What the domain's names are made of (preparations, plant parts, salts and the like) is a parameter, a `Lexicon`; without one, names
+are compared as they are. A value is cut into parts, details (amounts, shares, numbers, batch codes) are stripped, and every distinct name left is read in
 all ways it can be meant: with and without preparation and plant part, typed with the keyboard in the wrong mode, romanised, as a
 salt. Each reading is a set of letter pairs. A prefix-filter set-similarity join brings readings and list together: pairs are ordered
 by global rarity, only the rare prefix is joined, length and position bounds cut the candidates, Jaccard is verified exactly.
@@ -12,28 +13,62 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hanmaru.llm.pairing import BROADCAST_ROWS, hot_groups, look_up
 from hanmaru.session import write_through
 
-# Fixed values of the domain, in Korean and English: preparations, plant parts, qualities put before a name, salts.
-PREPARATIONS = (
-    "추출농축액", "추출분말", "추출물", "열수추출물", "주정추출물", "농축분말", "농축액", "건조분말", "효소분해물", "발효물", "배양물", "가수분해물",
-    "오일", "엑스", "추출", "분말", "파우더", "과립", "원말", "제제", "혼합제제", "혼합물", "사균", "생균", "고함량",
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What may stand in a name of a domain besides the thing it names. All of it is optional."""
+
+    preparations: tuple[str, ...] = ()  # endings that do not change what is meant
+    foreign_preparations: tuple[str, ...] = ()  # the same of names in Latin letters
+    qualities: tuple[str, ...] = ()  # beginnings that do not
+    parts: dict[str, str] = field(default_factory=dict)  # endings that do, if the list has several, with the foreign word
+    doubtful_parts: tuple[str, ...] = ()  # parts that may belong to the name itself
+    salts: tuple[str, ...] = ()  # beginnings before one of `bases`
+    bases: tuple[str, ...] = ()
+    foreign_words: dict[str, str] = field(default_factory=dict)  # names whose foreign word is not their romanisation
+    replaced_words: dict[str, str] = field(default_factory=dict)  # words within names in mixed letters
+    first_words: dict[str, str] = field(default_factory=dict)  # of the list, taken off: with the foreign word
+    first_word_aliases: tuple[str, ...] = ()  # as typed
+    variants: dict[str, str] = field(default_factory=dict)  # a letter and digit at the end, and the letter alone
+    abbreviations: dict[str, str] = field(default_factory=dict)  # beginnings of Latin names
+    lettered: tuple[str, ...] = ()  # beginnings of Latin names in which one letter makes another name
+    codes: str = r"(?!)"  # pattern of what is taken off the end of a part of a value
+    details: str = r"(?!)"  # pattern of parts of a value that are no names
+    foreign_name: str = r"(?!)()"  # pattern of the foreign name in an entry's notes
+
+
+# Fixed values of the domain, in Korean and English.
+SUPPLEMENTS = Lexicon(
+    preparations=(
+        "추출농축액", "추출분말", "추출물", "열수추출물", "주정추출물", "농축분말", "농축액", "건조분말", "효소분해물", "발효물", "배양물", "가수분해물",
+        "오일", "엑스", "추출", "분말", "파우더", "과립", "원말", "제제", "혼합제제", "혼합물", "사균", "생균", "고함량",
+    ),
+    foreign_preparations=("extractpowder", "extpwd", "extract", "ext", "concentratepowder", "concpwd", "concentrate", "conc", "hydrolysate", "ferment", "oil", "powder", "pwd"),
+    qualities=("건조", "동결건조", "저온압착", "유기농", "국내재배", "국내산", "식품용", "정제", "천연", "활성"),
+    parts={"씨앗": "seed", "열매": "fruit", "뿌리": "root", "줄기": "stem", "잎": "leaf", "꽃": "flower"},
+    doubtful_parts=("꽃",),
+    salts=("산화", "수산화", "구연산", "글루콘산", "탄산", "젖산", "황산", "염화", "인산", "푸마르산", "피콜린산"),
+    bases=("아연", "칼슘", "크롬", "마그네슘", "망간", "셀레늄", "몰리브덴", "요오드", "철", "구리", "칼륨"),
+    foreign_words={"칼슘": "calcium", "마그네슘": "magnesium", "아연": "zinc", "크롬": "chromium", "망간": "manganese", "셀레늄": "selenium", "몰리브덴": "molybdenum", "요오드": "iodine"},
+    replaced_words={"비타민": "vitamin"},
+    first_words={"락토바실러스": "lactobacillus"},
+    first_word_aliases=("락토바실러스", "락토바실루스", "락토바실리우스", "유산균", "lactobacillus"),
+    variants={"d2": "d", "d3": "d", "k1": "k", "k2": "k"},
+    abbreviations={"vit": "vitamin"},
+    lettered=("vit",),
+    codes=r"(?i)\s+[a-z]{2}\d{6}$",
+    details=r"\d{4}|^균주|^원료번호|수확$",
+    foreign_name=r"(?:EN|영문명)\s*:?\s*([A-Za-z][A-Za-z0-9 \-]*)",
 )
-QUALITIES = ("건조", "동결건조", "저온압착", "유기농", "국내재배", "국내산", "식품용", "정제", "천연", "활성")
-PARTS = {"씨앗": "seed", "열매": "fruit", "뿌리": "root", "줄기": "stem", "잎": "leaf", "꽃": "flower"}
-ENGLISH_PREPARATIONS = ("extractpowder", "extpwd", "extract", "ext", "concentratepowder", "concpwd", "concentrate", "conc", "hydrolysate", "ferment", "oil", "powder", "pwd")
-SALTS = ("산화", "수산화", "구연산", "글루콘산", "탄산", "젖산", "황산", "염화", "인산", "푸마르산", "피콜린산")
-MINERALS = ("아연", "칼슘", "크롬", "마그네슘", "망간", "셀레늄", "몰리브덴", "요오드", "철", "구리", "칼륨")
-MINERAL_ENGLISH = {"칼슘": "calcium", "마그네슘": "magnesium", "아연": "zinc", "크롬": "chromium", "망간": "manganese", "셀레늄": "selenium", "몰리브덴": "molybdenum", "요오드": "iodine"}
-GENERA = {"락토바실러스": "lactobacillus"}
-GENUS_ALIASES = ("락토바실러스", "락토바실루스", "락토바실리우스", "유산균", "lactobacillus")
-VITAMIN_FORMS = {"d2": "d", "d3": "d", "k1": "k", "k2": "k"}
 
 # The Korean keyboard: the key of every letter, and how Hangul syllables are built from letters.
 LEADS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -108,30 +143,16 @@ def slips(a: str, b: str, limit: int = 1) -> int:
     return min(last[-1], limit + 1)
 
 
-#: Comparisons already made by this process; endings recur in name after name.
-_COMPARED: dict[tuple[str, str], int] = {}
-
-
-def spelled_alike(a: str, b: str) -> int:
-    """How alike two spellings are, remembered: see `_compare`."""
-    found = _COMPARED.get((a, b))
-    if found is None:
-        if len(_COMPARED) > 500_000:
-            _COMPARED.clear()
-        found = _COMPARED[a, b] = _compare(a, b)
-    return found
-
-
-def _compare(a: str, b: str) -> int:
-    """0 if equal, 1 within one slip, else 2. Digits and the Latin letters in Hangul names must agree; so must names of vitamins in
-    Latin letters, where one letter makes another vitamin, and Latin names of less than six letters."""
+def spelled_alike(a: str, b: str, lettered: tuple[str, ...] = ()) -> int:
+    """0 if equal, 1 within one slip, else 2. Digits and the Latin letters in Hangul names must agree; so must Latin names that begin with
+    one of `lettered`, where one letter makes another name, and Latin names of less than six letters."""
     if a == b:
         return 0
     if re.sub(r"[^a-z0-9]", "", a) != re.sub(r"[^a-z0-9]", "", b) and re.search("[가-힣]", a + b):
         return 2
     if re.sub(r"\D", "", a) != re.sub(r"\D", "", b):
         return 2
-    if not re.search("[가-힣]", a + b) and (min(len(a), len(b)) < 6 or a.startswith("vit") or b.startswith("vit")):
+    if not re.search("[가-힣]", a + b) and (min(len(a), len(b)) < 6 or a.startswith(lettered) or b.startswith(lettered)):
         return 2
     if slips(letters(a), letters(b)) <= 1:
         return 1
@@ -153,155 +174,212 @@ class Reading:
     cost: int
 
 
-def _hangul_readings(name: str, kind: str = "h") -> set[Reading]:
-    out: set[Reading] = set()
-    start = {(name, 0)}
-    for alias in GENUS_ALIASES:
-        if name.startswith(alias) and len(name) > len(alias):
-            start.add((name[len(alias):], 0))
-        elif len(name) > len(alias) + 1 and len(alias) > 3:
-            for n in (len(alias) - 1, len(alias), len(alias) + 1):
-                if spelled_alike(name[:n], alias) == 1:
-                    start.add((name[n:], 1))
-    if re.match("l[가-힣]{2,}", name):
-        start.add((name[1:], 0))
-    seen, todo = set(), list(start)
-    while todo:
-        text, cost = todo.pop()
-        if (text, cost) in seen or len(text) < 2:
-            continue
-        seen.add((text, cost))
-        out.add(Reading(kind, text, "", cost))
-        for q in QUALITIES:
-            if text.startswith(q) and len(text) >= len(q) + 2:
-                todo.append((text[len(q):], cost))
-        trimmed = re.sub(r"[0-9]+호?$", "", text)
-        if trimmed != text and not re.search("[a-z][0-9]+$", text):
-            todo.append((trimmed, cost))
-        for p in PREPARATIONS:
-            if text.endswith(p):
-                todo.append((text[: -len(p)], cost))
-            elif cost == 0 and len(p) > 1:
-                for n in {len(p) - 1, len(p), len(p) + 1} - {0, 1}:
-                    if len(text) > n + 1 and spelled_alike(text[-n:], p) == 1:
+class Reader:
+    """Reads names with a lexicon. Endings recur in name after name, so what they are near to is remembered."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self.salted = {s + b: b for s in lexicon.salts for b in lexicon.bases}
+        self.longest = max(map(len, lexicon.preparations), default=0)
+        self.foreign_first = tuple(a for a in lexicon.first_word_aliases if a.isascii())
+        self.of_length = {n: tuple(p for p in lexicon.preparations if len(p) > 1 and abs(len(p) - n) <= 1) for n in range(2, self.longest + 2)}
+        self._compared: dict[tuple[str, str], int] = {}
+        self._near_endings: dict[str, bool] = {}
+
+    def alike(self, a: str, b: str) -> int:
+        """`spelled_alike`, remembered. One slip cannot change both ends of a word of three characters or more."""
+        if a[0] != b[0] and a[-1] != b[-1] and len(b) > 2:
+            return 2
+        found = self._compared.get((a, b))
+        if found is None:
+            if len(self._compared) > 500_000:
+                self._compared.clear()
+            found = self._compared[a, b] = spelled_alike(a, b, self.lexicon.lettered)
+        return found
+
+    def near_preparation(self, tail: str) -> bool:
+        """Whether `tail` without its first character is a preparation but for one slip; `tail` does not end with that preparation."""
+        found = self._near_endings.get(tail)
+        if found is None:
+            if len(self._near_endings) > 500_000:
+                self._near_endings.clear()
+            end = tail[1:]
+            found = self._near_endings[tail] = any(not tail.endswith(p) and self.alike(end, p) == 1 for p in self.of_length[len(end)])
+        return found
+
+    def hangul(self, name: str, kind: str = "h") -> set[Reading]:
+        lexicon = self.lexicon
+        out: set[Reading] = set()
+        start = {(name, 0)}
+        for alias in lexicon.first_word_aliases:
+            if name.startswith(alias) and len(name) > len(alias):
+                start.add((name[len(alias):], 0))
+            elif len(name) > len(alias) + 1 and len(alias) > 3:
+                for n in (len(alias) - 1, len(alias), len(alias) + 1):
+                    if self.alike(name[:n], alias) == 1:
+                        start.add((name[n:], 1))
+        if lexicon.first_word_aliases and re.match("l[가-힣]{2,}", name):
+            start.add((name[1:], 0))
+        seen, todo = set(), list(start)
+        while todo:
+            text, cost = todo.pop()
+            if (text, cost) in seen or len(text) < 2:
+                continue
+            seen.add((text, cost))
+            out.add(Reading(kind, text, "", cost))
+            for q in lexicon.qualities:
+                if text.startswith(q) and len(text) >= len(q) + 2:
+                    todo.append((text[len(q):], cost))
+            if text[-1] in "호0123456789":
+                trimmed = re.sub(r"[0-9]+호?$", "", text)
+                if trimmed != text and not re.search("[a-z][0-9]+$", text):
+                    todo.append((trimmed, cost))
+            for p in lexicon.preparations:
+                if text.endswith(p):
+                    todo.append((text[: -len(p)], cost))
+            if cost == 0:
+                for n in range(2, min(self.longest + 1, len(text) - 2) + 1):
+                    if self.near_preparation(text[-n - 1 :]):
                         todo.append((text[:-n], 1))
-        for part in PARTS:
-            if text.endswith(part) and len(text) >= len(part) + 2:
-                out.add(Reading(kind, text[: -len(part)], part, cost))
-            elif cost == 0 and len(part) > 1 and len(text) >= len(part) + 2:
-                for n in {len(part), len(part) + 1}:
-                    if spelled_alike(text[-n:], part) == 1:
-                        out.add(Reading(kind, text[:-n], part, 1))
-        for s in SALTS:
-            for m in MINERALS:
-                if text == s + m:
-                    out.add(Reading(kind, m, "", cost))
-        if v := re.fullmatch("(.*)([a-z][0-9])", text):
-            if v[2] in VITAMIN_FORMS:
-                out.add(Reading(kind, v[1] + VITAMIN_FORMS[v[2]], "", cost))
-    return out
-
-
-def _latin_readings(name: str) -> set[Reading]:
-    out, todo, seen = set(), [name], set()
-    if name.startswith("vit") and not name.startswith("vitamin"):
-        todo.append("vitamin" + name[3:])
-    for alias in ("lactobacillus",):
-        if name.startswith(alias):
-            todo.append(name[len(alias):])
-    while todo:
-        text = todo.pop()
-        if text in seen or len(text) < 3:
-            continue
-        seen.add(text)
-        out.add(Reading("l", text, "", 0))
-        if (v := re.fullmatch("(vitamin)([a-z][0-9])", text)) and v[2] in VITAMIN_FORMS:
-            out.add(Reading("l", v[1] + VITAMIN_FORMS[v[2]], "", 0))
-        for p in ENGLISH_PREPARATIONS:
-            if text.endswith(p) and len(text) >= len(p) + 3:
-                todo.append(text[: -len(p)])
-        for part, english in PARTS.items():
-            if text.endswith(english) and len(text) >= len(english) + 3:
-                out.add(Reading("l", text[: -len(english)], part, 0))
-    return out
-
-
-def readings(name: str) -> set[Reading]:
-    """All readings of a name."""
-    plain = unicodedata.normalize("NFKC", name)
-    joined = re.sub(r"[^a-z0-9가-힣]", "", plain.lower())
-    if not joined:
-        return set()
-    if re.search("[가-힣]", joined):
-        return _hangul_readings(joined)
-    out = _latin_readings(joined)
-    if re.fullmatch(r"\s*[A-Za-z]+\s*", plain):
-        if exact := typed_hangul(plain.strip()):
-            out |= _hangul_readings(exact)
-        if lost := typed_hangul(plain.strip().lower()):
-            out |= {Reading("k", letters(r.stem).translate(SHIFTED), r.part, r.cost) for r in _hangul_readings(lost)}
-    return out
-
-
-def pairs_of_letters(kind: str, stem: str) -> list[str]:
-    """The set a stem is compared by: its pairs of neighbouring letters, ends included."""
-    text = f"^{letters(stem)}$"
-    return sorted({f"{kind}:{a}{b}" for a, b in zip(text, text[1:], strict=False)})
-
-
-def reference_readings(entries: list[tuple[str, str | None]]) -> list[tuple[str, str, str, str, int]]:
-    """(entry, kind, stem, part, several) of every list entry; several: 1 if the list has more parts of the same stem."""
-    rows: set[tuple[str, str, str, str]] = set()
-    bare = {}
-    for name, _ in entries:
+            for part in lexicon.parts:
+                if text.endswith(part) and len(text) >= len(part) + 2:
+                    out.add(Reading(kind, text[: -len(part)], part, cost))
+                elif cost == 0 and len(part) > 1 and len(text) >= len(part) + 2:
+                    for n in (len(part), len(part) + 1):
+                        if self.alike(text[-n:], part) == 1:
+                            out.add(Reading(kind, text[:-n], part, 1))
+            if base := self.salted.get(text):
+                out.add(Reading(kind, base, "", cost))
+            if text[-2:] in lexicon.variants:
+                out.add(Reading(kind, text[:-2] + lexicon.variants[text[-2:]], "", cost))
+        return out
+
+    def latin(self, name: str) -> set[Reading]:
+        lexicon = self.lexicon
+        out, todo, seen = set(), [name], set()
+        for short, word in lexicon.abbreviations.items():
+            if name.startswith(short) and not name.startswith(word):
+                todo.append(word + name[len(short):])
+        for alias in self.foreign_first:
+            if name.startswith(alias):
+                todo.append(name[len(alias):])
+        while todo:
+            text = todo.pop()
+            if text in seen or len(text) < 3:
+                continue
+            seen.add(text)
+            out.add(Reading("l", text, "", 0))
+            if text[-2:] in lexicon.variants and text[:-2] in lexicon.abbreviations.values():
+                out.add(Reading("l", text[:-2] + lexicon.variants[text[-2:]], "", 0))
+            for p in lexicon.foreign_preparations:
+                if text.endswith(p) and len(text) >= len(p) + 3:
+                    todo.append(text[: -len(p)])
+            for part, foreign in lexicon.parts.items():
+                if text.endswith(foreign) and len(text) >= len(foreign) + 3:
+                    out.add(Reading("l", text[: -len(foreign)], part, 0))
+        return out
+
+    def readings(self, name: str) -> set[Reading]:
+        """All readings of a name."""
+        plain = unicodedata.normalize("NFKC", name)
+        joined = re.sub(r"[^a-z0-9가-힣]", "", plain.lower())
+        if not joined:
+            return set()
+        if re.search("[가-힣]", joined):
+            return self.hangul(joined)
+        out = self.latin(joined)
+        if re.fullmatch(r"\s*[A-Za-z]+\s*", plain):
+            if exact := typed_hangul(plain.strip()):
+                out |= self.hangul(exact)
+            if lost := typed_hangul(plain.strip().lower()):
+                out |= {Reading("k", letters(r.stem).translate(SHIFTED), r.part, r.cost) for r in self.hangul(lost)}
+        return out
+
+    def entry_parts(self, name: str) -> tuple[str, str, str]:
+        """(bare name, stem, part) of a list entry: without its first word and its preparation, and that cut into stem and part."""
         text = re.sub(r"[^a-z0-9가-힣]", "", name.lower())
-        for genus in GENERA:
-            if text.startswith(genus):
-                text = text[len(genus):]
-        for p in sorted(PREPARATIONS, key=len, reverse=True):
+        for first in self.lexicon.first_words:
+            if text.startswith(first):
+                text = text[len(first):]
+        for p in sorted(self.lexicon.preparations, key=len, reverse=True):
             if text.endswith(p) and len(text) > len(p) + 1:
                 text = text[: -len(p)]
                 break
-        bare[name] = text
-    splits = {n: next(((t[: -len(p)], p) for p in PARTS if t.endswith(p) and len(t) >= len(p) + 2), (t, "")) for n, t in bare.items()}
-    stems = [s for s, _ in splits.values()]
-    for name, notes in entries:
-        english = re.search(r"(?:EN|영문명)\s*:?\s*([A-Za-z][A-Za-z0-9 \-]*)", notes or "")
-        stem, part = splits[name]
-        whole = bare[name]
-        if part == "꽃" and stems.count(stem) < 2:
-            flower = "flower" in english[1] if english else None
-            forms = [(stem, part)] if flower else [(whole, "")] if flower is False else [(stem, part), (whole, "")]
+        stem, part = next(((text[: -len(p)], p) for p in self.lexicon.parts if text.endswith(p) and len(text) >= len(p) + 2), (text, ""))
+        return text, stem, part
+
+    def entry_readings(self, name: str, notes: str | None, bare: str, stem: str, part: str, siblings: int) -> set[tuple[str, str, str]]:
+        """(kind, stem, part) of a list entry; `siblings`: entries of the list with its stem."""
+        lexicon = self.lexicon
+        rows: set[tuple[str, str, str]] = set()
+        foreign = re.search(lexicon.foreign_name, notes or "")
+        if part in lexicon.doubtful_parts and siblings < 2:
+            said = lexicon.parts[part] in foreign[1] if foreign else None
+            forms = [(stem, part)] if said else [(bare, "")] if said is False else [(stem, part), (bare, "")]
         else:
             forms = [(stem, part)]
-        full = re.sub(r"[^a-z0-9가-힣]", "", name.lower())
         for s, p in forms:
-            rows.add((name, "h", s, p))
-            rows.add((name, "k", letters(s).translate(SHIFTED), p))
-            if not re.search("[a-z]", s):
-                rows.add((name, "l", MINERAL_ENGLISH.get(s, romanised(s)), p))
-            else:
-                rows.add((name, "l", s.replace("비타민", "vitamin"), p))
-        rows.add((name, "h", full, ""))
-        if english:
-            text = re.sub(r"[^a-z0-9]", "", english[1].lower())
-            rows.add((name, "l", text, ""))
-            for r in _latin_readings(text):
+            rows.add(("h", s, p))
+            rows.add(("k", letters(s).translate(SHIFTED), p))
+            latin = s
+            for word, other in lexicon.replaced_words.items():
+                latin = latin.replace(word, other)
+            rows.add(("l", latin if re.search("[a-z]", s) else lexicon.foreign_words.get(s, romanised(s)), p))
+        rows.add(("h", re.sub(r"[^a-z0-9가-힣]", "", name.lower()), ""))
+        if foreign:
+            text = re.sub(r"[^a-z0-9]", "", foreign[1].lower())
+            rows.add(("l", text, ""))
+            for r in self.latin(text):
                 if (r.part or forms[0][1]) == forms[0][1] and (r.part or not forms[0][1]):
-                    rows.add((name, "l", r.stem, r.part))
-    groups: dict[tuple[str, str], set[str]] = {}
-    for name, kind, stem, _ in rows:
-        groups.setdefault((kind, stem), set()).add(name)
-    return [(name, kind, stem, part, int(len(groups[kind, stem]) > 1)) for name, kind, stem, part in sorted(rows)]
+                    rows.add(("l", r.stem, r.part))
+        return rows
+
+
+def pairs_of_letters(kind: str, stem: str) -> list[str]:
+    """The set a stem is compared by: its pairs of neighbouring letters, ends included."""
+    text = f"^{letters(stem)}$"
+    return sorted({f"{kind}:{a}{b}" for a, b in zip(text, text[1:], strict=False)})
 
 
 READING_SCHEMA = "name string, kind string, stem string, part string, cost int, tokens array<string>"
 
 
-def _read_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = [(n, r.kind, r.stem, r.part, r.cost, pairs_of_letters(r.kind, r.stem)) for n in frame["name"] for r in readings(n)]
-        yield pd.DataFrame(rows, columns=["name", "kind", "stem", "part", "cost", "tokens"])
+def _read_names(lexicon: Lexicon):  # noqa: ANN202
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(lexicon)
+        for frame in frames:
+            rows = [(n, r.kind, r.stem, r.part, r.cost, pairs_of_letters(r.kind, r.stem)) for n in frame["name"] for r in reader.readings(n)]
+            yield pd.DataFrame(rows, columns=["name", "kind", "stem", "part", "cost", "tokens"])
+
+    return run
+
+
+def list_readings(entries: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(id, entry, kind, ref_stem, ref_part, tokens, several) of the list (name, notes); several: 1 if the list has more entries of the
+    same stem. Entries without a name are none; equal ones count once."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(lexicon)
+        for frame in frames:
+            rows = [(n, t, *reader.entry_parts(n)) for n, t in zip(frame["name"], frame["notes"], strict=True)]
+            yield pd.DataFrame(rows, columns=["name", "notes", "bare", "stem", "part"])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(lexicon)
+        for frame in frames:
+            rows = []
+            for name, notes, bare, stem, part, siblings in frame.itertuples(index=False):
+                rows += [(name, k, s, p, pairs_of_letters(k, s)) for k, s, p in sorted(reader.entry_readings(name, notes, bare, stem, part, siblings))]
+            yield pd.DataFrame(rows, columns=["entry", "kind", "ref_stem", "ref_part", "tokens"])
+
+    named = entries.select("name", "notes").where(F.col("name") != "").distinct()
+    parts = write_through(named.mapInPandas(cut, "name string, notes string, bare string, stem string, part string"), "list-parts")
+    siblings = parts.groupBy("stem").agg(F.count(F.lit(1)).alias("siblings"))
+    rows = parts.join(siblings, "stem").select("name", "notes", "bare", "stem", "part", "siblings")
+    rows = rows.mapInPandas(read, "entry string, kind string, ref_stem string, ref_part string, tokens array<string>").drop_duplicates(["entry", "kind", "ref_stem", "ref_part"])
+    rows = write_through(rows, "list-rows")
+    several = rows.groupBy("kind", "ref_stem").agg((F.count_distinct("entry") > 1).cast("int").alias("several"))
+    return write_through(rows.join(several, ["kind", "ref_stem"]).withColumn("id", F.monotonically_increasing_id()), "list-readings")
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -322,49 +400,50 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
     lengths = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(eps)
     position = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least
     met = a.join(b, F.col("a.token") == F.col("b.token")).where(lengths & position)
-    heads = F.array_intersect(F.slice("a.tokens", F.lit(1), F.col("a.p")), F.slice("b.tokens", F.lit(1), F.col("b.p")))
+    # a pair meets at every token its prefixes share: it counts at the first
+    before = F.arrays_overlap(F.slice("a.tokens", F.lit(1), F.col("a.pos")), F.slice("b.tokens", F.lit(1), F.col("b.pos")))
     shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
     return (
-        met.where(F.get(heads, F.lit(0)) == F.col("a.token")).withColumn("shared", shared).where(F.col("shared") >= least)
+        met.where(~before).withColumn("shared", shared).where(F.col("shared") >= least)
         .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("shared") / (F.col("a.n") + F.col("b.n") - F.col("shared"))).alias("jaccard"))
     )
 
 
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([spelled_alike(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
-def names_of(value: Column) -> Column:
-    """The names in a free-entered value: its parts without quotes, bullets, amounts, shares, numbers and batch codes."""
+def names_of(value: Column, lexicon: Lexicon) -> Column:
+    """The names in a free-entered value: its parts without quotes, bullets, amounts, shares, numbers and codes."""
     full = "".join(map(chr, range(0xFF01, 0xFF5F)))
     plain = F.translate(value, full + "\u3000\u00a0", "".join(map(chr, range(0x21, 0x7F))) + "  ")
     plain = F.regexp_replace(plain, r"(?<![\p{L}\p{N}])(\p{Nd}{1,3}),(?=\p{Nd}{3}(?!\p{Nd}))", "$1")
     parts = F.split(plain, r"[,;/|()\[\]{}、\n\r]+")
     parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"[^\p{L}\p{N}%.]+", " ")))
-    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?i)\s+[a-z]{2}\d{6}$|\s*\d[\d.]*\s*(mg|g|kg|mcg|ug|µg|ml|iu|cfu)$|\.", "")))
-    detail = r"(?i)^$|%|^\d|^제 ?\d|\d{4}|^균주|^원료번호|수확$|^[^\p{L}]*$"
+    parts = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, rf"{lexicon.codes}|(?i)\s*\d[\d.]*\s*(mg|g|kg|mcg|ug|µg|ml|iu|cfu)$|\.", "")))
+    detail = rf"^$|%|^\d|^제 ?\d|^[^\p{{L}}]*$|{lexicon.details}"
     return F.array_distinct(F.filter(parts, lambda p: ~p.rlike(detail)))
 
 
-def map_names(values: DataFrame, entries: list[tuple[str, str | None]], threshold: float = 0.34) -> DataFrame:
+def map_names(values: DataFrame, entries: DataFrame, lexicon: Lexicon = SUPPLEMENTS, threshold: float = 0.34) -> DataFrame:
     """(value, entry): each distinct value of `values` (column `value`) with the list entry it stands for, '' if it stands for none.
 
-    `entries`: (name, notes) of the list, which must be small enough to be held by the driver (its names are read there).
-    Among several names in a value the one spelled best counts, then the first; if two entries fit a name equally well, or the
-    list has several parts of a plant and the name says none of them, it stands for none. Null values are left out.
+    `entries`: the list (name, notes), of any size. Among several names in a value the one spelled best counts, then the first; if
+    two entries fit a name equally well, or the list has several parts of a plant and the name says none of them, it stands for
+    none. Null values are left out.
     """
-    spark = values.sparkSession
     distinct = values.where(F.col("value").isNotNull()).select("value").distinct()
-    named = write_through(distinct.select("value", F.posexplode_outer(names_of(F.col("value"))).alias("pos", "name")), "names")
-    # reading a name takes a millisecond of Python: the names, small as they are, are spread over all cores
-    names = named.where(F.col("name").isNotNull()).select("name").distinct().repartition(4 * spark.sparkContext.defaultParallelism)
-    read = write_through(names.mapInPandas(_read_names, READING_SCHEMA), "readings")
-    rows = [(i, *r, pairs_of_letters(r[1], r[2])) for i, r in enumerate(reference_readings(entries))]
-    reference = spark.createDataFrame(rows, "id long, entry string, kind string, ref_stem string, ref_part string, several int, tokens array<string>")
+    named = write_through(distinct.select("value", F.posexplode_outer(names_of(F.col("value"), lexicon)).alias("pos", "name")), "names")
+    # reading a name takes Python: the names, small as they are, are spread over all cores
+    names = named.where(F.col("name").isNotNull()).select("name").distinct().repartition(4 * values.sparkSession.sparkContext.defaultParallelism)
+    read = write_through(names.mapInPandas(_read_names(lexicon), READING_SCHEMA), "readings")
+    reference = list_readings(entries, lexicon)
+
+    def hashed(side: DataFrame) -> DataFrame:
+        return side.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+
     stems = read.select("kind", "stem", "tokens").distinct().withColumn("id", F.struct("kind", "stem"))
-    similar = similarity_join(stems.select("id", "tokens"), reference.select("id", "tokens"), threshold)
-    met = similar.join(F.broadcast(reference.drop("tokens", "kind")), F.col("right_id") == F.col("id"))  # the list is small by contract
-    alike = F.pandas_udf(_alike, "int")
+    similar = similarity_join(hashed(stems), hashed(reference), threshold)
+    listed = reference.select("id", "entry", "ref_stem", "ref_part", "several")
+    met = similar.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, F.col("right_id") == F.col("id"))
+    lettered = lexicon.lettered
+    alike = F.pandas_udf(lambda a, b: pd.Series([spelled_alike(x, y, lettered) for x, y in zip(a, b, strict=True)], dtype="int32"), "int", F.PandasUDFType.SCALAR)
     close = met.select(F.col("left_id.kind").alias("kind"), F.col("left_id.stem").alias("stem"), "entry", "ref_stem", "ref_part", "several", "jaccard").withColumn("slip", alike("stem", "ref_stem")).where("slip < 2")
     fits = read.select("name", "kind", "stem", "part", "cost").join(close, ["kind", "stem"]).where((F.col("several") == 0) | (F.col("part") == F.col("ref_part")))
     fits = fits.withColumn("total", F.col("cost") + F.col("slip")).where("total < 2")
@@ -373,6 +452,15 @@ def map_names(values: DataFrame, entries: list[tuple[str, str | None]], threshol
     first, second = F.col("all")[0], F.get("all", F.lit(1))
     chosen = chosen.where(second.isNull() | (second["rank"] != first["rank"])).select("name", first["entry"].alias("entry"), first["rank"]["total"].alias("total"))
     chosen = write_through(chosen, "mapped-names")
-    table = F.broadcast(chosen) if chosen.count() <= 200_000 else chosen
-    mapped = named.join(table, "name", "left")
+    mapped = look_up(named, chosen, ["name"], F.col("value"))
     return mapped.groupBy("value").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct("total", "pos", "entry"))).alias("m")).select("value", F.coalesce("m.entry", F.lit("")).alias("entry"))
+
+
+def with_entries(rows: DataFrame, mapped: DataFrame, value: str, key: str, hot_rows: int = 10_000) -> DataFrame:
+    """`rows` joined with their value's entry. Values typed in more than `hot_rows` rows are looked up apart, so that no task holds them all."""
+    mapped = write_through(mapped.withColumnRenamed("value", value), "mapped-values")
+    hot = hot_groups(rows.select(value), [value], hot_rows).select(value)
+    hot_entries = mapped.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, value, "left_semi").withColumnRenamed("entry", "hot_entry")
+    marked = look_up(rows, hot_entries, [value], F.col(key))
+    rest = marked.where(F.col("hot_entry").isNull()).drop("hot_entry").join(mapped, value)
+    return rest.unionByName(marked.where(F.col("hot_entry").isNotNull()).withColumnRenamed("hot_entry", "entry"))

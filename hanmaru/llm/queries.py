@@ -29,13 +29,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name typed into the match cache with the entry of the reference list it stands for."""
-    listed = table(spark, sf_dir, "functional_category_map", "functional_ingredient_name", "notes").distinct().collect()  # the fixed list
-    entries = sorted((r.functional_ingredient_name, r.notes) for r in listed if r.functional_ingredient_name)
+    entries = table(spark, sf_dir, "functional_category_map", F.col("functional_ingredient_name").alias("name"), "notes")
     rows = table(spark, sf_dir, "ingredient_match_cache_v2", "ingredient_id", "raw_ingredient", "matched_standard_name")
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("raw_ingredient", "matched_standard_name")])).alias("f")
     typed = rows.select("ingredient_id", fields).select("ingredient_id", "f.field_name", "f.value").where(F.col("value") != "")
     mapped = naming.map_names(typed.select("value"), entries)
-    return typed.join(mapped, "value").select("ingredient_id", "field_name", F.col("entry").alias("functional_ingredient_name")).distinct()
+    found = naming.with_entries(typed, mapped, "value", "ingredient_id")
+    return found.select("ingredient_id", "field_name", F.col("entry").alias("functional_ingredient_name")).distinct()
 
 
 #: Full-width forms with the ordinary ones, for SQL's translate.

@@ -16,17 +16,21 @@ CASES = {
 }
 
 
+def listed(spark, rows):
+    return spark.createDataFrame(rows, "name string, notes string").withColumn("kind", F.lit("clash"))
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(v,) for v in CASES] + [(None,), ("비타민B1",), ("비타민B1",)], "value string")
-    got = {r.value: r.entry for r in naming.map_names(df, LIST).collect()}
+    got = {r.value: r.entry for r in naming.map_names(df, listed(spark, LIST + [(None, "x"), ("", None), LIST[0]])).collect()}
     assert got.pop("비타민B1") == "비타민B1"
     assert got == CASES
 
 
 def test_no_values_and_no_list(spark):
     df = spark.createDataFrame([("비타민B1",)], "value string")
-    assert naming.map_names(df.where("false"), LIST).count() == 0
-    assert [r.entry for r in naming.map_names(df, []).collect()] == [""]
+    assert naming.map_names(df.where("false"), listed(spark, LIST)).count() == 0
+    assert [r.entry for r in naming.map_names(df, listed(spark, [])).collect()] == [""]
 
 
 @pytest.mark.parametrize("threshold", [0.34, 0.6, 0.9])
@@ -53,4 +57,18 @@ def test_letters_and_keyboard():
 
 def test_names_of(spark):
     df = spark.createDataFrame([("비타민C 1,000mg; 제2020-9529호",), ("총함량 83.0%, 2019년 수확 ｜ [*A b]",), (None,), ("",)], "v string")
-    assert [r[0] for r in df.select(naming.names_of(F.col("v"))).collect()] == [["비타민C"], ["A b"], None, []]
+    assert [r[0] for r in df.select(naming.names_of(F.col("v"), naming.SUPPLEMENTS)).collect()] == [["비타민C"], ["A b"], None, []]
+
+
+def test_another_domain_without_a_lexicon(spark):
+    cities = listed(spark, [("Rotterdam", None), ("Amsterdam", None), ("København", None), ("São Paulo", None), ("서울특별시", None), ("부산광역시", None), ("New York", None)])
+    typed = {"Roterdam": "Rotterdam", "AMSTERDAM ": "Amsterdam", "new-york": "New York", "서울특벌시": "서울특별시", "부산광역시 (해운대)": "부산광역시", "tjdnfxmrquftl": "서울특별시", "Berlin": "", "Amsterburg": ""}
+    df = spark.createDataFrame([(v,) for v in typed], "value string")
+    assert {r.value: r.entry for r in naming.map_names(df, cities, naming.Lexicon()).collect()} == typed
+
+
+def test_values_typed_often_are_looked_up_apart(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else f"v{i}") for i in range(60)] + [(99, None)], "id long, v string")
+    mapped = spark.createDataFrame([("a", "A")] + [(f"v{i}", "") for i in range(60)], "value string, entry string")
+    got = sorted((r.id, r.entry) for r in naming.with_entries(rows, mapped, "v", "id", hot_rows=10).collect())
+    assert got == [(i, "A" if i % 3 else "") for i in range(60)]
