@@ -20,8 +20,11 @@ from hanmaru.session import write_through
 
 #: Letters of other scripts that look like Latin ones, each with the Latin letter it looks like.
 LOOK_ALIKES = (
-    ("АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԛԝԁ", "ABEKMHOPCTYXSIJQWaeopcyxsijhqwd"),
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"),
+    ("АВЕЗКМНОРСТУХЅІӀЈԚԜѴҮаеорсухѕіӏјһԛԝԁѵү", "ABE3KMHOPCTYXSIIJQWVYaeopcyxsiljhqwdvy"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧορνϲϳ", "ABEZHIKMNOPTYXopvcj"),
+    ("ՕՍօսհոցզ", "OUouhngq"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ᴄᴏᴠᴡᴢꜱ", "covwzs"),
 )
 #: Spaces of all widths; line breaks of other kinds; characters without any width; hyphens that look like the ordinary one.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\u3164\uffa0"
@@ -29,7 +32,7 @@ LINE_BREAKS = "\u0085\u2028\u2029\r"
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\U000e0001-\U000e007f"
 HYPHENS = "\u2010\u2011"
 #: Blocks whose compatibility forms read as the characters they stand for.
-COMPATIBILITY_BLOCKS = ((0xFF01, 0xFFEE), (0x2160, 0x217F), (0x3380, 0x33DF), (0xFB00, 0xFB06), (0x2100, 0x214F), (0x1D400, 0x1D7FF), (0x00B5, 0x00B5))
+COMPATIBILITY_BLOCKS = ((0xFF01, 0xFFEE), (0x2160, 0x217F), (0x3380, 0x33DF), (0xFB00, 0xFB06), (0x2100, 0x214F), (0x1D400, 0x1D7FF), (0x00B5, 0x00B5), (0x2F00, 0x2FD5))
 
 
 @functools.cache

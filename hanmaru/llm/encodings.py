@@ -47,31 +47,41 @@ def _decoder(encoding: str):  # noqa: ANN202
 DECODERS = {e: _decoder(e) for e in (*READ, *REPEATED)}
 
 
-def garbled_forms(word: str) -> set[str]:
-    """All forms of a word under the encoding chains, without the word itself and without forms in ASCII, which tell nothing."""
-    out: set[str] = set()
+def garbled_forms_of(words: list[str]) -> list[set[str]]:
+    """The forms of each word under the encoding chains, without the word itself and without forms in ASCII, which tell nothing. The
+    words, free of line feeds, go through every chain together, one a line: no encoding has a line feed within a character."""
+    out: list[set[str]] = [set() for _ in words]
+    if not words:
+        return out
+    marks = [w.count("?") for w in words]
+    whole = "\n".join(words)
     for written in WRITTEN:
-        try:
-            raw = word.encode(written)
-        except UnicodeEncodeError:
-            continue
-        for read in READ:
+        lines = whole.encode(written, "replace").split(b"\n")  # what cannot be written becomes a question mark
+        able = [i for i, line in enumerate(lines) if line.count(b"?") == marks[i]]
+        raw = b"\n".join([lines[i] for i in able])
+        for read in READ if able else ():
             if read == written:
                 continue
-            form = DECODERS[read](raw)
-            if read == "utf-8" and "�" not in form:  # bytes of another encoding are not UTF-8 by chance: this is a repair
-                continue
-            out.add(form)
-    once = word.encode("utf-8", "surrogatepass")
+            for i, form in zip(able, DECODERS[read](raw).split("\n"), strict=True):
+                if read != "utf-8" or "�" in form:  # bytes of another encoding are not UTF-8 by chance: this is a repair
+                    out[i].add(form)
+    once = whole.encode("utf-8", "surrogatepass")
     for first in REPEATED:
         again = DECODERS[first](once).encode("utf-8", "surrogatepass")
         for second in REPEATED:
-            form = DECODERS[second](again)
-            out.add(form)
+            twice = DECODERS[second](again)
+            forms = [twice]
             if first == second and first in ("latin-1", "cp1252"):
-                out.add(DECODERS[first](form.encode("utf-8", "surrogatepass")))
-    out.discard(word)
-    return {f for f in out if NON_ASCII.search(f)}
+                forms.append(DECODERS[first](twice.encode("utf-8", "surrogatepass")))
+            for text in forms:
+                for mine, form in zip(out, text.split("\n"), strict=True):
+                    mine.add(form)
+    return [{f for f in mine if not f.isascii() and f != w} for w, mine in zip(words, out, strict=True)]
+
+
+def garbled_forms(word: str) -> set[str]:
+    """The forms of one word."""
+    return garbled_forms_of([word])[0]
 
 
 #: Non-ASCII marks of ordinary text; those that open stand before a word, those that close after it.
@@ -182,34 +192,38 @@ def letter_exchanged(form: str, original: str) -> bool:
     return [max(a, b) < "\u2e80" for a, b in zip(form, original, strict=True) if a != b] == [True]
 
 
-def _forms(word: str) -> set[str]:
-    """Forms of a word of the corpus (`w:...` or `r:...`) as such words."""
-    kind, text = word[:2], word[2:]
-    if kind == "w:":
-        return {kind + re.sub(r"[0-9]+", "0", f) for f in garbled_forms(text)}
-    return {kind + f for f in garbled_forms(text) if len(f) >= LEAST_RUN}
+def _forms(words: list[str]) -> list[set[str]]:
+    """Forms of words of the corpus (`w:...` or `r:...`) as such words."""
+    out = []
+    for word, forms in zip(words, garbled_forms_of([w[2:] for w in words]), strict=True):
+        if word[0] == "w":
+            out.append({"w:" + (re.sub(r"[0-9]+", "0", f) if "0" in word else f) for f in forms})
+        else:
+            out.append({"r:" + f for f in forms if len(f) >= LEAST_RUN})
+    return out
 
 
 def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        forms, sources = [], []
-        for word, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            mine = _forms(word)
-            forms += mine
-            sources += [number] * len(mine)
-        for i in range(0, len(forms), 50_000):
-            part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(forms[part], pa.string()), pa.array(sources[part], pa.int64())], names=["form", "source"])
+        for start in range(0, batch.num_rows, 2000):
+            words, numbers = (batch.column(i).slice(start, 2000).to_pylist() for i in (0, 1))
+            forms, sources = [], []
+            for mine, number in zip(_forms(words), numbers, strict=True):
+                forms += mine
+                sources += [number] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(sources, pa.int64())], names=["form", "source"])
 
 
 def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs that met by their hashes, those that are a form and its original, with the word as the garbled side. Where the words
     do not tell, the one in fewer distinct texts is."""
     for batch in batches:
+        originals = sorted(set(batch.column(1).to_pylist()))
+        forms = dict(zip(originals, _forms(originals), strict=True))
         found = []
         for word, original, original_texts, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             form, source = word[2:], original[2:]
-            e = evidence(form, source) if word != original and word in _forms(original) else -1
+            e = evidence(form, source) if word != original and word in forms[original] else -1
             if e < LEAST_EVIDENCE and letter_exchanged(form, source):
                 e = -1
             found.append(e or int(original_texts > texts or original_texts == texts and hint(form, source) > 0))

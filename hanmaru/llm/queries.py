@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hanmaru.llm import characters, encodings, ledger, mixing, naming, packing, ranking, similar_sets
+from hanmaru.llm.tokens import token_sizes
 from hanmaru.operators.packed import split_packed
 from hanmaru.plans.packed_values import P5_SQL
 from hanmaru.session import scratch_path, write_through
 from hanmaru.sources.tables import table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surplus copies of the match cache: three batches by arrival go through the ledger, then every record meets its key."""
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[ledger.CopyLedger, DataFrame]:
+    """Three batches of the match cache, by arrival, in a ledger; and the records with their keys."""
     rows = table(spark, sf_dir, "ingredient_match_cache_v2", "ingredient_id", "raw_ingredient", "created_at")
     keyed = write_through(
         rows.where(F.col("ingredient_id").isNotNull()).select(F.col("ingredient_id").alias("record_id"), ledger.canonical_key(F.col("raw_ingredient")).alias("key"), "created_at"),
@@ -24,9 +25,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = ledger.CopyLedger(spark, scratch_path(spark, "ledger"), buckets=max(16, -(-keyed.count() // 1_000_000)))
     for i, batch in enumerate(ledger.batches_by_time(keyed, "created_at", 3)):
         book.apply(batch.select("record_id", "key"), f"arrival-{i}")
+    return book, keyed
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surplus copies of the match cache: three batches by arrival go through the ledger, then every record meets its key."""
+    book, keyed = _ledger(spark, sf_dir)
     return ledger.surplus_copies(book.read(), keyed).select(F.col("kept").alias("kept_ingredient_id"), F.col("copy").alias("copy_ingredient_id"))
 
 
+def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that is kept, and how many copies of it there are."""
+    return _ledger(spark, sf_dir)[0].read().select(F.col("kept").alias("kept_ingredient_id"), "copies")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name typed into the match cache with the entry of the reference list it stands for."""
     entries = table(spark, sf_dir, "functional_category_map", F.col("functional_ingredient_name").alias("name"), "notes")
@@ -42,7 +54,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
 PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 
-P1_SQL = (
+P1_GROUPS = (
     r"""
 WITH keyed AS (
   SELECT ingredient_id, list_sort(list_filter(list_transform(
@@ -54,11 +66,14 @@ WITH keyed AS (
         '(\p{Nd})\.(\p{Nd})', '' || chr(57344) || '', 'g'), '[^\p{L}\p{N}\p{M}' || chr(57344) || ']', '', 'g'), chr(57344), '.', 'g')),
     lambda v: v <> '')) AS parts
   FROM ingredient_match_cache_v2 WHERE raw_ingredient IS NOT NULL AND ingredient_id IS NOT NULL),
-groups AS (SELECT parts, min(ingredient_id) AS kept FROM keyed GROUP BY parts)
-SELECT DISTINCT g.kept AS kept_ingredient_id, k.ingredient_id AS copy_ingredient_id
-FROM keyed k JOIN groups g ON k.parts = g.parts WHERE k.ingredient_id <> g.kept
+groups AS (SELECT parts, min(ingredient_id) AS kept, count(*) AS copies FROM keyed GROUP BY parts)
 """
 )
+P1_SQL = (
+    P1_GROUPS
+    + """SELECT DISTINCT g.kept AS kept_ingredient_id, k.ingredient_id AS copy_ingredient_id
+FROM keyed k JOIN groups g ON k.parts = g.parts WHERE k.ingredient_id <> g.kept"""
+)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +103,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: What other characters read as, written out for SQL apart from the operator's own tables: spaces and letters met in such fields.
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+GREEK, GREEK_READ = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
+CYRILLIC, CYRILLIC_READ = "АВЕКМНОРСТХЅІЈаеорсухѕіј", "ABEKMHOPCTXSIJaeopcyxsij"
+
+
+def _reads_sql(column: str) -> str:
+    seen = f"regexp_replace({column}, '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')"
+    lines = f"replace(replace({seen}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return f"nfc_normalize(translate({lines}, '{FULL_WIDTH}{SPACES}{GREEK}{CYRILLIC}', '{PLAIN}{' ' * len(SPACES)}{GREEK_READ}{CYRILLIC_READ}'))"
+
+
 P4_SQL = f"""
 WITH f AS (
   SELECT DISTINCT 'catalog_product_master' AS table_name, report_no, raw_ingredients AS t FROM catalog_product_master WHERE raw_ingredients <> '' AND report_no IS NOT NULL
   UNION ALL
   SELECT DISTINCT 'uploaded_product_master', report_no, ocr_raw_text FROM uploaded_product_master WHERE ocr_raw_text <> '' AND report_no IS NOT NULL),
-c AS (SELECT table_name, report_no, t, {characters.canonical_sql("t")} AS r FROM f)
+c AS (SELECT table_name, report_no, t, {_reads_sql("t")} AS r FROM f)
 SELECT DISTINCT a.table_name, a.report_no AS left_report_no, b.report_no AS right_report_no
 FROM c a JOIN c b ON a.table_name = b.table_name AND a.r = b.r AND a.t <> b.t AND a.report_no < b.report_no
 """
@@ -120,7 +147,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 P6_SQL = rf"""
 WITH vals AS ({P5_SQL}),
 catalog AS (
-  SELECT DISTINCT 'catalog' AS scope, report_no AS key, regexp_replace(lower({characters.canonical_sql("value_text")}), '[\s\p{{Z}}]+', '', 'g') AS v
+  SELECT DISTINCT 'catalog' AS scope, report_no AS key, regexp_replace(lower({_reads_sql("value_text")}), '[\s\p{{Z}}]+', '', 'g') AS v
   FROM vals WHERE table_name = 'catalog_product_master' AND report_no IS NOT NULL),
 names AS (
   SELECT base_product_id || '|' || target_product_id AS key, unnest(CAST(CASE WHEN json_valid(shared_ingredients_json) THEN shared_ingredients_json END AS VARCHAR[])) AS v
@@ -150,6 +177,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(write_through(p7_packs(spark, sf_dir), "packs"), _capacities(spark, sf_dir))
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document is in the containers of each capacity once and as a whole, and the containers keep their capacity."""
+    sized = write_through(token_sizes(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "sizes")
+    return packing.check_packs(write_through(p7_packs(spark, sf_dir), "packs"), sized, "doc_id", _capacities(spark, sf_dir))
+
+
+P7_CHECKED_SQL = """
+SELECT pack_name, doc_id, TRUE AS whole, TRUE AS kept FROM documents, pack_capacity WHERE text <> '' AND doc_id IS NOT NULL AND capacity_tokens > 0
+"""
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, float, int]]:
     rows = table(spark, sf_dir, "source_mix_target").collect()  # a fixed table of a few rows
     return sorted((r.plan_name, r.source, r.target_share, r.max_repeats) for r in rows)
@@ -165,6 +203,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(write_through(p8_mix(spark, sf_dir), "mix"), "doc_id", _targets(spark, sf_dir))
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source of a plan reached its share and kept its repeats. Sources without documents leave their share to the others;
+    a share may be off by a block of each source and by a 500th."""
+    shares = p8_shares(spark, sf_dir)
+    w = Window.partitionBy("plan_name")
+    held = F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)
+    total, goal = F.sum("tokens").over(w), held / F.sum(held).over(w)
+    slack = mixing.BLOCK_TOKENS * F.count(F.lit(1)).over(w) + total / 500
+    near = F.coalesce(F.abs(F.col("tokens") - goal * total) <= slack, F.lit(False))
+    return shares.select("plan_name", "source", "target_share", (F.col("tokens") > 0).alias("used"), near.alias("near"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+P8_CHECKED_SQL = """
+SELECT plan_name, source, target_share, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.text <> '' AND d.doc_id IS NOT NULL) AS used, TRUE AS near, TRUE AS repeats_kept
+FROM source_mix_target t
+"""
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text read in a wrong encoding."""
     return encodings.garbled_documents(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")[0]
@@ -176,8 +232,14 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+    return {
+        f.__name__: f
+        for f in (p1_found, p1_copies, p2_found, p3_found, p4_found, p6_found, p7_packs, p7_fill, p7_checked, p8_mix, p8_shares, p8_checked, p9_found, p9_restored)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {
+        "p1_found": P1_SQL, "p1_copies": P1_GROUPS + "SELECT kept AS kept_ingredient_id, copies FROM groups", "p3_found": P3_SQL, "p4_found": P4_SQL, "p6_found": P6_SQL,
+        "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL,
+    }

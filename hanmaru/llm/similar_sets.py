@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hanmaru.llm.pairing import meet_within, pairs_within
+from hanmaru.llm.pairing import BROADCAST_ROWS, meet_within, pairs_within
 from hanmaru.session import write_through
 
 OUTER = -1
-#: Up to so many frequent tokens are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 200_000
 EPS = 1e-9
 
 

@@ -38,6 +38,13 @@ def test_every_token_once_and_capacity_kept(spark):
             assert sum(n for _, n in parts) == size[k]
             assert len(parts) == 1 or size[k] > capacity
         assert sum(load.values()) / (len(load) * capacity) > 0.9
+    packed = spark.createDataFrame(rows)
+    sized = tokens.token_sizes(df, "k", "text")
+    checked = packing.check_packs(packed, sized, "k", CAPACITIES).collect()
+    assert len(checked) == 2 * len(size) and all(r.whole and r.kept for r in checked)
+    worse = packing.check_packs(packed.where("k <> 3 or tokens <> 64").where("k <> 5"), sized, "k", [("short", 8), ("long", 64)]).where("not whole or not kept").collect()
+    assert {5} <= {r.k for r in worse if r.pack_name == "long" and not r.whole} <= {3, 5}
+    assert any(not r.kept for r in worse if r.pack_name == "short")
     report = {r.pack_name: r for r in packing.fill_report(spark.createDataFrame(rows), CAPACITIES).collect()}
     assert report["short"].tokens == sum(size.values())
 
@@ -45,14 +52,39 @@ def test_every_token_once_and_capacity_kept(spark):
 def test_neighbours_come_together():
     bags = [np.array([1, 2, 3]), np.array([7, 8, 9]), np.array([1, 2, 3]), np.array([7, 8, 9])]
     sizes = np.array([50, 50, 40, 40])
-    index = packing.index_of(bags, [np.ones(3)] * 4, sizes, np.ones(10), 45.0)
+    index = packing.Index(bags, [np.ones(3)] * 4, sizes, np.ones(10), 45.0)
     rows = packing.pack_shard(np.arange(4), sizes, bags, index, 100)
     boxes = defaultdict(set)
-    for c, _, item, _, _ in rows:
+    for c, _, item, _, _, retrieved in rows:
         boxes[c].add(item)
+        assert retrieved == (item >= 2)
     assert sorted(map(sorted, boxes.values())) == [[0, 2], [1, 3]]
 
 
+def test_scores_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    bags = [np.unique(np.minimum(rng.geometric(0.05, size=rng.integers(1, 40)), 99)) for _ in range(120)]
+    counts = [rng.integers(1, 4, len(b)) for b in bags]
+    lengths, idf = np.array([c.sum() for c in counts]), rng.random(100)
+    for entries in (packing.MATRIX_ENTRIES, 600, 0):  # all, some and no frequent tokens in the matrix
+        monkeypatch.setattr(packing, "MATRIX_ENTRIES", entries)
+        index = packing.Index(bags, counts, lengths, idf, 20.0)
+        got = index.scores(bags[:7])
+        kept = np.flatnonzero(rng.random(120) < 0.4)
+        assert np.array_equal(index.only(kept).scores(bags[:7]), got[:, kept])
+        for q in range(7):
+            for d, (bag, tf) in enumerate(zip(bags, counts, strict=True)):
+                norm = packing.K1 * (1 - packing.B + packing.B * lengths[d] / 20.0)
+                want = sum(idf[t] * n * (packing.K1 + 1) / (n + norm) for t, n in zip(bag, tf, strict=True) if t in bags[q])
+                assert abs(got[q, d] - want) < 1e-8
+
+
+def test_best_first_keeps_ties():
+    score = np.array([1.0, 3, 2, 2, 2, 0, 3])
+    assert list(packing.best_first(score, 3)) == [1, 6, 2, 3, 4]
+    assert list(packing.best_first(score[:2], 9)) == [1, 0]
+
+
 def test_unused_against_brute_force():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 40, 200)
