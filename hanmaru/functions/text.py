@@ -36,9 +36,10 @@ def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition, without zero-width characters, line breaks as line feeds. ASCII and Hangul texts stay in the JVM's
-    fast path only as far as the result is concerned: they are unchanged."""
-    return F.regexp_replace(F.regexp_replace(_nfkc(text), r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", ""), r"\r\n?", "\n")
+    """Compatibility composition, without zero-width characters, line breaks as line feeds. ASCII and Hangul texts are in that form
+    already and do not leave the JVM."""
+    composed = F.when(text.rlike(r"^[\x00-\x7F가-힣]*$"), text).otherwise(_nfkc(text))
+    return F.regexp_replace(F.regexp_replace(composed, r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]", ""), r"\r\n?", "\n")
 
 
 def strip_brackets(text: Column) -> Column:
@@ -47,13 +48,13 @@ def strip_brackets(text: Column) -> Column:
     return squeeze(F.regexp_replace(bare, r"제\s*\d{4}-\d+\s*호|\d+(\.\d+)?\s*%", " "))
 
 
-def strip_suffixes(key: Column, suffixes: list[str], least: int = 2, rounds: int = 4) -> Column:
-    """Endings taken off again and again, the longest that leaves `least` characters before it; `rounds` bounds the depth."""
+def strip_suffixes(key: Column, suffixes: list[str], least: int = 2) -> Column:
+    """Endings taken off until none is left to take: each time the longest that leaves `least` characters before it. An ending has a
+    character at least, so as many rounds as the key has characters are enough; a key without an ending is not folded."""
     endings = "|".join(sorted(map(re.escape, suffixes), key=len, reverse=True))
-    out = key
-    for _ in range(rounds):
-        out = F.regexp_replace(out, f"^(.{{{least},}}?)(?:{endings})$", "$1")
-    return out
+    pattern = f"^(.{{{least},}}?)(?:{endings})$"
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
+    return F.when(key.rlike(pattern), F.aggregate(rounds, key, lambda k, _: F.regexp_replace(k, pattern, "$1"))).otherwise(key)
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]], default: Column) -> Column:
@@ -84,15 +85,20 @@ def matching_ratio(a: Column, b: Column) -> Column:
     return _ratio(a, b)
 
 
+def unordered(items: Column) -> Column:
+    """An array whose order is not to count, for `signature`: its distinct items, sorted."""
+    return F.array_sort(F.array_distinct(items))
+
+
 def signature(*parts: Column) -> Column:
-    """SHA-1 of the parts; nulls and empty texts differ, arrays count without order."""
-    fields = [F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]
-    return F.sha1(F.concat_ws("\u0001", *fields))
+    """SHA-1 of the parts as JSON; nulls and empty texts differ, and so do arrays of another order (see `unordered`)."""
+    return F.sha1(F.to_json(F.struct(*[F.coalesce(F.to_json(F.array(p)), F.lit("null")).alias(f"p{i}") for i, p in enumerate(parts)])))
 
 
-def clean_array(items: Column) -> Column:
-    """Trimmed items without empty ones and nulls, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+def clean_array(items: Column, first: int | None = None) -> Column:
+    """Trimmed items without empty ones and nulls, each once, in order; only the `first` of them if given."""
+    out = F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    return F.slice(out, 1, first) if first else out
 
 
 def json_names(text: Column) -> Column:
@@ -107,3 +113,68 @@ def count_phrase(names: Column, more: str = "외") -> Column:
         F.when(n == 0, "").when(n <= 2, F.array_join(names, ", "))
         .otherwise(F.concat(F.array_join(F.slice(names, 1, 2), ", "), F.lit(f" {more} "), (n - 2).cast("string")))
     )
+
+
+def plain_or_empty(text: Column) -> Column:
+    """Null-like texts (null, nan, none, null) as an empty text, others trimmed."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(F.lower(bare).isin("nan", "none", "null"), "").otherwise(bare)
+
+
+def truncated(text: Column, most: int, mark: str = "...") -> Column:
+    """At most `most` characters, the last of them the mark where something was cut."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - len(mark)), F.lit(mark)))
+
+
+def file_key(text: Column, most: int = 80) -> Column:
+    """A name fit for a file: letters, digits, points, dashes and underscores, runs of anything else one underscore."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9A-Za-z가-힣._-]+", "_"), "^_+|_+$", ""), 1, most)
+
+
+def number_of(*candidates: Column, identifier: Column) -> Column:
+    """The first candidate that is not empty, else what stands after `::` in the identifier, else the identifier."""
+    after = F.when(F.contains(identifier, F.lit("::")), F.split_part(identifier, F.lit("::"), F.lit(2))).otherwise(identifier)
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates], after)
+
+
+def tolerant_boolean(text: Column) -> Column:
+    """true for 1, true, yes, y and t, false for 0, false, no, n, f and nothing; null for anything else."""
+    bare = F.lower(F.trim(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.when(bare.isin("1", "1.0", "true", "yes", "y", "t"), True).when(bare.isin("0", "0.0", "false", "no", "n", "f", ""), False)
+
+
+def tolerant_list(text: Column) -> Column:
+    """A JSON array of names, or names between bars or commas, as an array of clean items."""
+    bare = F.coalesce(text, F.lit(""))
+    return clean_array(F.when(bare.rlike(r"^\s*\["), json_names(bare)).otherwise(F.split(bare, r"[|,]")))
+
+
+def one_of_or_like(text: Column, exact: list[str], anchored: list[str]) -> Column:
+    """Whether a folded text is one of the `exact` words or matches one of the patterns from its beginning to its end."""
+    plain = fold(text)
+    patterns = "|".join(f"(?:{p})" for p in anchored)
+    return plain.isin(exact) | (plain.rlike(f"^(?:{patterns})$") if anchored else F.lit(False))
+
+
+def is_amount(text: Column) -> Column:
+    """Whether a text is a number with a unit and nothing else."""
+    return fold(text).rlike(r"^\d[\d,]*(\.\d+)?\s*(mg|g|kg|mcg|ug|µg|μg|ml|l|iu|cfu|kcal|%)$")
+
+
+def is_short_key(text: Column, most: int = 4) -> Column:
+    """Whether a text has so few letters and digits that it is found within too many others."""
+    return F.length(key_of(text)) <= most
+
+
+def label_of(text: Column, names: dict[str, str]) -> Column:
+    """A label by the map of its other names, white space and case aside; labels not in the map stay."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    return F.coalesce(F.element_at(known, fold(text)), squeeze(text))
+
+
+def aliases_of(name: Column, suffixes: list[str]) -> Column:
+    """The keys a name may be looked up by: its own, that without brackets, those without endings, and those of what stands in brackets."""
+    inside = F.transform(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"[(\[（]([^()\[\]（）]*)[)\]）]"), F.lit(1)), lambda x: F.split(x, "[,;/|·]"))
+    bare = strip_brackets(F.coalesce(name, F.lit("")))
+    keys = F.concat(F.array(key_of(name), key_of(bare), strip_suffixes(key_of(name), suffixes), strip_suffixes(key_of(bare), suffixes)), F.transform(F.flatten(inside), key_of))
+    return F.array_distinct(F.filter(keys, lambda k: F.length(k) > 1))

@@ -7,10 +7,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanmaru.functions.text import json_names
+from hanmaru.session import write_through
 
 NUMERIC = (
     "similarity", "function_similarity", "core_match", "shared", "base_only", "target_only", "shared_categories", "different_categories",
@@ -65,6 +66,27 @@ def predict(model: PipelineModel, rows: DataFrame, threshold: float) -> DataFram
     return out.withColumn("quality_label", label).drop("features", "rawPrediction", "probability", "prediction", *[f"{c}_no" for c in NOMINAL])
 
 
+def best_threshold(rows: DataFrame, score: Column, positive: Column, floor: float, ranges: int = 1000) -> DataFrame:
+    """(threshold, tp, flagged, all_pos, precision, f1) of the threshold with the highest F1 among those whose precision is at least
+    `floor` (among all, if none is); of equal ones the highest. Every distinct score is a threshold, exactly: sums by distinct score
+    are cut into ranges, running sums are made within each and of the ranges' totals, so no window holds more than a range."""
+    counts = rows.select(score.alias("threshold"), F.coalesce(positive, F.lit(False)).cast("long").alias("p")).where(F.col("threshold").isNotNull())
+    counts = write_through(counts.groupBy("threshold").agg(F.sum("p").alias("pos"), F.count(F.lit(1)).alias("n")), "thresholds")
+    low, high = counts.agg(F.min("threshold"), F.max("threshold")).first()  # two numbers
+    width = ((high or 0.0) - (low or 0.0)) / ranges or 1.0
+    cut = counts.withColumn("r", F.floor((F.col("threshold") - F.lit(low or 0.0)) / width))
+    totals = cut.groupBy("r").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))
+    above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = totals.select("r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.sum("rp").over(everything).alias("all_pos"))  # as many rows as ranges
+    inside = Window.partitionBy("r").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.join(F.broadcast(before), "r").select("threshold", (F.sum("pos").over(inside) + F.col("bp")).alias("tp"), (F.sum("n").over(inside) + F.col("bn")).alias("flagged"), "all_pos")
+    f1 = F.round(2 * F.col("tp") / (F.col("flagged") + F.col("all_pos")), 9)
+    scored = run.withColumn("precision", F.round(F.col("tp") / F.col("flagged"), 9)).withColumn("f1", f1)
+    best = scored.orderBy((F.col("precision") >= floor).cast("int").desc(), F.desc("f1"), F.desc("threshold")).limit(1)
+    return best.select(F.round("threshold", 9).alias("threshold"), "tp", "flagged", "all_pos", "precision", "f1")
+
+
 def cross_validate(rows: DataFrame, folds: int = 5, **options: float) -> list[tuple[float, float]]:
     """(area under ROC, under precision-recall) of each fold; folds by a hash of the pair, so that a pair is always in the same."""
     fold = F.pmod(F.xxhash64(F.lit(1), "base_product_id", "target_product_id"), F.lit(folds))

@@ -34,9 +34,32 @@ def replace_keys(base: DataFrame, newer: DataFrame, keys: list[str]) -> DataFram
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: Column) -> DataFrame:
-    """Insert or update by key; of several changes to a key the one with the highest version wins. Columns that changes lack become null
-    in changed rows."""
-    return replace_keys(base, first_per_key(changes, keys, version.desc_nulls_last()), keys)
+    """Insert or update by key; of several changes to a key the one with the highest version wins. Columns that changes lack keep the
+    value of the base row, as in an update that does not name them; in new rows they are null."""
+    newest = first_per_key(changes, keys, version.desc_nulls_last())
+    lacking = [c for c in base.columns if c not in changes.columns]
+    if lacking:
+        newest = newest.join(base.select(*keys, *lacking).drop_duplicates(keys), keys, "left")
+    return replace_keys(base, newest.select(*base.columns), keys)
+
+
+def backfill(left: DataFrame, right: DataFrame, keys: list[str], texts: list[str], numbers: list[str]) -> DataFrame:
+    """Left rows whose empty texts and numbers not above 0 are filled from the right row of the same key, which must be one per key."""
+    other = right.select(*keys, *[F.col(c).alias(f"__{c}") for c in (*texts, *numbers)])
+    value = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"__{c}"), F.lit(""))) for c in texts}
+    value |= {c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.coalesce(F.col(f"__{c}"), F.col(c))) for c in numbers}
+    return left.join(other, keys, "left").select(*[value[c].alias(c) if c in value else F.col(c) for c in left.columns])
+
+
+def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """UPDATE ... SET ... WHERE: new values where the condition is true; where it is false or null rows stay. All values are computed
+    from the old row."""
+    return df.select(*[F.when(condition, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def delete_where(df: DataFrame, condition: Column) -> DataFrame:
+    """DELETE ... WHERE: rows for which the condition is true go."""
+    return df.where(~F.coalesce(condition, F.lit(False)))
 
 
 def invalidate(cache: DataFrame, ids: DataFrame, id_column: str, *columns: str) -> DataFrame:
@@ -81,9 +104,25 @@ def union_padded(*tagged: tuple[str, DataFrame]) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, size: int, seed: int, forced: list | None = None) -> DataFrame:
     """A sample of `size` rows: forced keys first, then up to `per_stratum` of every stratum, then any others, each in the order of a
-    seeded hash. The limit is the operator's purpose."""
-    rank = F.xxhash64(F.lit(seed), F.col(key))
+    seeded digest of the key. The limit is the operator's purpose."""
+    rank = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     is_forced = F.col(key).isin(forced or [])
     w = Window.partitionBy(stratum).orderBy(rank, key)
     tiered = df.withColumn("__tier", F.when(is_forced, 0).when(F.row_number().over(w) <= per_stratum, 1).otherwise(2))
     return tiered.orderBy("__tier", rank, key).limit(size).drop("__tier")
+
+
+def join_labels(labels: DataFrame, rows: DataFrame, group: str, item: str, rank: str) -> tuple[DataFrame, DataFrame]:
+    """(joined, errors): labels meet the rows of their group by the item's id, else, where they have none that is there, by the rank.
+    Errors (all label columns and `error`): labels that meet no row, and all but the first label of a row ('duplicate')."""
+    numbered = labels.withColumn("__label", F.monotonically_increasing_id())
+    target = rows.withColumn("__row", F.struct(*rows.columns)).select(F.col(group).alias("__g"), F.col(item).alias("__i"), F.col(rank).alias("__r"), "__row")
+    by_id = numbered.join(target.select("__g", "__i", F.col("__row").alias("__by_id")), (F.col(group) == F.col("__g")) & (F.col(item) == F.col("__i")), "left").drop("__g", "__i")
+    both = by_id.join(target.select("__g", "__r", F.col("__row").alias("__by_rank")), (F.col(group) == F.col("__g")) & (F.col(rank) == F.col("__r")) & F.col("__by_id").isNull(), "left").drop("__g", "__r")
+    met = both.withColumn("__row", F.coalesce("__by_id", "__by_rank")).drop("__by_id", "__by_rank")
+    first = met.where(F.col("__row").isNotNull()).groupBy("__row").agg(F.min("__label").alias("__first"))
+    marked = met.join(first, "__row", "left")
+    error = F.when(F.col("__row").isNull(), "missing").when(F.col("__label") != F.col("__first"), "duplicate")
+    marked = marked.withColumn("error", error)
+    joined = marked.where(F.col("error").isNull()).select(*[F.col(c) if c not in (item, rank) else F.col(f"__row.{c}").alias(c) for c in labels.columns], *[F.col(f"__row.{c}").alias(c) for c in rows.columns if c not in labels.columns])
+    return joined, marked.where(F.col("error").isNotNull()).select(*labels.columns, "error")

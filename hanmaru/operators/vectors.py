@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hanmaru.operators.skew import meet_within
+
 
 def max_merge(rows: DataFrame, owner: str, item: str, weight: Column) -> DataFrame:
     """(owner, item, weight): the highest weight of every item of an owner; weights of 0 and below, and null keys, are no entries. The rows are
@@ -33,20 +35,26 @@ def cap_share(vectors: DataFrame, capped: Column, share: float) -> DataFrame:
     return vectors.join(sums.select("owner", factor.alias("f")), "owner").select("owner", "item", F.when(capped, F.col("weight") * F.col("f")).otherwise(F.col("weight")).alias("weight"))
 
 
-def shared_items(vectors: DataFrame, block: str | None, df_share: float | None, once: bool = False) -> DataFrame:
+def frequent_dropped(vectors: DataFrame, df_share: float, keep: Column | None = None) -> DataFrame:
+    """Vectors without the items in more than `df_share` of all owners, entries that fulfil `keep` aside."""
+    owners = vectors.agg(F.count_distinct("owner")).first()[0]  # one number
+    rare = vectors.groupBy("item").agg((F.count(F.lit(1)) <= max(1, math.floor(df_share * owners))).alias("__rare"))
+    stays = F.col("__rare") | F.coalesce(keep, F.lit(False)) if keep is not None else F.col("__rare")
+    return vectors.join(rare, "item").where(stays).drop("__rare")
+
+
+def shared_items(vectors: DataFrame, block: str | None, df_share: float | None, once: bool = False, keep: Column | None = None) -> DataFrame:
     """Entries of vectors that meet on the item (and on `block`), different owners only: the inverted-index join. Items in more than
-    `df_share` of all owners are left out where a cutoff is given; that is part of the measure, not of the plan. With `once` only the
-    smaller owner of a pair is the base."""
+    `df_share` of all owners are left out where a cutoff is given, but for entries that fulfil `keep`; that is part of the measure, not
+    of the plan. With `once` only the smaller owner of a pair is the base. Owners of an item are cut into chunks that meet each other
+    in separate tasks, so no task holds all owners of a frequent item."""
     if df_share is not None:
-        owners = vectors.agg(F.count_distinct("owner")).first()[0]  # one number
-        rare = vectors.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max(1, math.floor(df_share * owners))).select("item")
-        vectors = vectors.join(rare, "item", "left_semi")
+        vectors = frequent_dropped(vectors, df_share, keep)
     keys = ["item"] + ([block] if block else [])
-    a, b = vectors.alias("a"), vectors.alias("b")
-    pair = F.col("a.owner") < F.col("b.owner") if once else F.col("a.owner") != F.col("b.owner")
-    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(pair)
-    totals = [F.col("a.total").alias("bt"), F.col("b.total").alias("tt")] if "total" in vectors.columns else []
-    return met.select(F.col("a.owner").alias("base_id"), F.col("b.owner").alias("target_id"), F.col("a.item").alias("item"), F.col("a.weight").alias("bw"), F.col("b.weight").alias("tw"), *totals)
+    met = meet_within(vectors, keys, "owner")
+    pair = F.col("l.owner") < F.col("r.owner") if once else F.col("l.owner") != F.col("r.owner")
+    totals = [F.col("l.total").alias("bt"), F.col("r.total").alias("tt")] if "total" in vectors.columns else []
+    return met.where(pair).select(F.col("l.owner").alias("base_id"), F.col("r.owner").alias("target_id"), F.col("l.item").alias("item"), F.col("l.weight").alias("bw"), F.col("r.weight").alias("tw"), *totals)
 
 
 def weighted_jaccard(vectors: DataFrame, block: str | None = None, df_share: float | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hanmaru.plans import matching, packed_values, profiles, similarity, tables
+from hanmaru.plans import matching, packed_values, profiles, records, similarity, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found} | similarity.QUERIES | matching.QUERIES | tables.QUERIES | profiles.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": packed_values.p5_found} | similarity.QUERIES | matching.QUERIES | tables.QUERIES | profiles.QUERIES | records.QUERIES
 #: Columns whose type in SQL (HUGEINT of count_if, BIGINT of row_number) is another than Spark's.
 TYPES = {
     "BIGINT": {
@@ -17,7 +17,7 @@ TYPES = {
         "event_props": ("no_k",), "measure_compare": ("both",), "pair_feature_sums": ("weak_core",),
     },
     "INTEGER": {
-        "topk_similar": ("rk",), "candidate_pool": ("rk",), "core_coverage": ("core", "shared_core"), "lexical_candidates": ("rk",), "hybrid_candidates": ("rk",), "embedding_topk": ("rk",),
+        "topk_similar": ("rk",), "candidate_pool": ("rk",), "candidate_pool_v1": ("rk",), "core_coverage": ("core", "shared_core"), "lexical_candidates": ("rk",), "hybrid_candidates": ("rk",), "embedding_topk": ("rk",),
         "reason_ingredients": ("rk",), "catalog_search_page": ("total_rows",),
     },
 }
@@ -29,4 +29,4 @@ def _typed(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
 
 
-SQL: dict[str, str] = {n: _typed(n, q) for n, q in ({"p5_found": packed_values.P5_SQL} | similarity.SQL | matching.SQL | tables.SQL | profiles.SQL).items()}
+SQL: dict[str, str] = {n: _typed(n, q) for n, q in ({"p5_found": packed_values.P5_SQL} | similarity.SQL | matching.SQL | tables.SQL | profiles.SQL | records.SQL).items()}

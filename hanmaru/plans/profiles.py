@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hanmaru.functions import text
-from hanmaru.operators import rows, vectors
-from hanmaru.plans.similarity import CAT, IMAP, MAIN, PAIRS, SEM, VEC, _with, imap, main_category_of, semantic_of, top_of, vec
+from hanmaru.operators import matching, rows, vectors
+from hanmaru.plans.matching import FOREIGN
+from hanmaru.plans.similarity import CAT, IMAP, MAIN, PAIRS, SEM, VEC, _with, imap, kept_semantic, main_category_of, top_of, vec
 from hanmaru.plans.tables import CACHE, INGREDIENTS, _key
 from hanmaru.sources.tables import table
 
@@ -36,7 +37,7 @@ def profile_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def reason_ingredients(spark: SparkSession, d: str) -> DataFrame:
     """The three shared ingredients that contribute most to each of the ten best pairs."""
-    sem = semantic_of(spark, d).select("owner", "item", "weight")
+    sem = kept_semantic(spark, d).select("owner", "item", "weight")
     top = top_of(spark, d).select("base_id", "target_id")
     a, b = sem.select(F.col("owner").alias("base_id"), "item", F.col("weight").alias("bw")), sem.select(F.col("owner").alias("target_id"), "item", F.col("weight").alias("tw"))
     met = top.join(a, "base_id").join(b, ["target_id", "item"])
@@ -47,7 +48,7 @@ def reason_ingredients(spark: SparkSession, d: str) -> DataFrame:
 
 def measure_compare(spark: SparkSession, d: str) -> DataFrame:
     """Per main category how many of the ten best pairs by plain overlap are also among the ten best by weights."""
-    sem = semantic_of(spark, d)
+    sem = kept_semantic(spark, d)
     plain = vectors.weighted_jaccard(sem.select("owner", "item", F.lit(1.0).alias("weight"), "main"), "main").withColumn("score", F.round("score", 6))
     plain = vectors.top_pairs(plain, 10, F.desc("score"), F.col("target_id")).select("base_id", "target_id", F.lit(1).alias("plain"))
     both = top_of(spark, d).select("base_id", "target_id", F.lit(1).alias("weighted")).join(plain, ["base_id", "target_id"], "full_outer")
@@ -69,16 +70,25 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 ASKED = "소담원 까마중 밸런스"
 
 
+def search_names(products: DataFrame, name: str, asked: str, limit: int) -> DataFrame:
+    """The `limit` best rows for a name asked for: equal keys first, then keys that contain it (shorter first), then those whose matching ratio
+    with it is 0.55 or more (the highest first); what only contains it is not rated again. The ratio is worked out only where the
+    letters both have allow it."""
+    sought = "".join(c for c in asked.lower() if c.isascii() and c.isalnum() or "가" <= c <= "힣")
+    key = text.key_of(F.col(name))
+    marked = products.withColumn("__k", key).withColumn("tier", F.when(F.col("__k") == sought, 0).when(F.contains("__k", F.lit(sought)), 1).otherwise(2))
+    n, m = F.length("__k"), len(sought)
+    common = F.least(n - F.length(F.translate("__k", sought, "")), F.lit(m) - F.length(F.expr(f"translate('{sought}', __k, '')")))
+    possible = (F.col("tier") < 2) | ((2 * F.least(n, F.lit(m)) >= 0.5499995 * (n + m)) & (2 * common >= 0.5499995 * (n + m)))
+    ratio = F.when(F.col("tier") < 2, 1.0).otherwise(F.round(text.matching_ratio(F.col("__k"), F.lit(sought)), 6))
+    found = marked.where(possible & (F.lit(m) > 0)).withColumn("ratio", ratio).where(F.col("ratio") >= 0.55)
+    return found.orderBy("tier", F.desc("ratio"), F.length("__k"), name, *[c for c in products.columns if c != name]).limit(limit).drop("__k")
+
+
 def product_search(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 best products for a name asked for: equal keys first, then keys that contain it (shorter first), then by matching letters pairs."""
+    """The 20 best products for a name asked for."""
     r = table(spark, d, "catalog_product_master", "report_no", "product_name").where(F.col("report_no").isNotNull()).distinct()
-    asked = "".join(ASKED.split())
-    key = text.key_of(F.col("product_name"))
-    grams = [asked[i : i + 2] for i in range(len(asked) - 1)]
-    common = sum((F.contains(key, F.lit(g)).cast("int") for g in grams[1:]), F.contains(key, F.lit(grams[0])).cast("int"))
-    tier = F.when(key == asked, 0).when(F.contains(key, F.lit(asked)), 1).when(common >= len(grams) // 2, 2)
-    found = r.select("report_no", "product_name", tier.alias("tier"), common.alias("common"), F.length(key).alias("len")).where("tier is not null")
-    return found.orderBy("tier", F.desc("common"), "len", "product_name", "report_no").limit(20).select("report_no", "product_name", "tier", "common")
+    return search_names(r, "product_name", ASKED, 20)
 
 
 def entry_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -125,12 +135,17 @@ def explanation_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Standard names and entries by shared words of their English names; words meet in an equi join."""
-    names = table(spark, d, INGREDIENTS, "matched_standard_name").where(F.col("matched_standard_name").rlike("^[A-Za-z ]+$")).select(F.lower("matched_standard_name").alias("name")).distinct()
-    entries = table(spark, d, "functional_category_map", "functional_ingredient_name", "notes").select(F.col("functional_ingredient_name").alias("entry"), F.lower(F.regexp_extract(F.coalesce("notes", F.lit("")), r"(?:EN|영문명):? ([A-Za-z][A-Za-z ]*)", 1)).alias("english")).where("english <> ''")
-    a = names.select("name", F.explode(F.array_distinct(F.split(F.trim("name"), " +"))).alias("w"))
-    b = entries.select("entry", F.explode(F.array_distinct(F.split(F.trim("english"), " +"))).alias("w"))
-    return a.join(b, "w").groupBy("name", "entry").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    """The retrieval score of every standard name and list entry that share anything: 12 for equal keys, 7 if one key of four or more letters is
+    within the other, 1.7 for every shared word of name and entry or its foreign name, 0.8 for the same four first letters. Words and
+    beginnings meet in equi joins, containment by the index of keys."""
+    names = table(spark, d, INGREDIENTS, "matched_standard_name").where(F.col("matched_standard_name") != "").select(F.lower("matched_standard_name").alias("name")).distinct().withColumn("name_key", text.key_of(F.col("name")))
+    e = table(spark, d, "functional_category_map", "functional_ingredient_name", "notes").select(F.col("functional_ingredient_name").alias("entry"), F.lower("functional_ingredient_name").alias("low"), F.lower(F.regexp_extract(F.coalesce("notes", F.lit("")), FOREIGN, 1)).alias("english"))
+    e = e.withColumn("entry_key", text.key_of(F.col("entry")))
+    words = lambda *cs: F.array_distinct(F.filter(F.split(F.concat_ws(" ", *cs), r"[^0-9a-z가-힣]+"), lambda w: F.length(w) > 1))
+    shared = names.select("name", F.explode(words("name")).alias("w")).join(matching.small(e.select("entry", F.explode(words("low", "english")).alias("w"))), "w").groupBy("name", "entry").agg((1.7 * F.count(F.lit(1))).alias("s"))
+    near = matching.contained(names, "name_key", e.select("entry", "entry_key"), "entry_key").select("name", "entry", F.when(F.col("name_key") == F.col("entry_key"), 12.0).otherwise(7.0).alias("s"))
+    first = names.where(F.length("name_key") >= 4).withColumn("h", F.substring("name_key", 1, 4)).join(matching.small(e.where(F.length("entry_key") >= 4).select("entry", F.substring("entry_key", 1, 4).alias("h"))), "h").select("name", "entry", F.lit(0.8).alias("s"))
+    return shared.unionByName(near).unionByName(first).groupBy("name", "entry").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
 def pair_feature_sums(spark: SparkSession, d: str) -> DataFrame:
@@ -153,8 +168,6 @@ QUERIES = {
 
 _CORE = _with(VEC, IMAP, CAT, MAIN, SEM, PAIRS)
 _JSON = "coalesce(CAST(CASE WHEN json_valid({0}) THEN {0} END AS VARCHAR[]), [])"
-_ASKED = "".join(ASKED.split())
-_GRAMS = " + ".join(f"CAST(contains(k, '{_ASKED[i : i + 2]}') AS INTEGER)" for i in range(len(_ASKED) - 1))
 _SCORE = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0.0 ELSE {0} END"
 
 SQL = {
@@ -185,10 +198,6 @@ SELECT n.main, CAST(sum(w) AS BIGINT) AS weighted, CAST(sum(p) AS BIGINT) AS pla
     "keyword_search": "WITH r AS (SELECT DISTINCT report_no, product_name, concat_ws(' ', product_name, company_name, raw_ingredients) AS h FROM catalog_product_master)\nSELECT DISTINCT report_no, product_name, hits FROM (SELECT *, "
     + " + ".join(f"CAST(contains(h, '{w}') AS INTEGER)" for w in WORDS)
     + " AS hits FROM r) WHERE hits > 0",
-    "product_search": f"""WITH r AS (SELECT DISTINCT report_no, product_name, {_key('product_name')} AS k FROM catalog_product_master WHERE report_no IS NOT NULL),
-s AS (SELECT report_no, product_name, k, {_GRAMS} AS common FROM r),
-t AS (SELECT *, CASE WHEN k = '{_ASKED}' THEN 0 WHEN contains(k, '{_ASKED}') THEN 1 WHEN common >= {(len(_ASKED) - 1) // 2} THEN 2 END AS tier FROM s)
-SELECT report_no, product_name, tier, common FROM t WHERE tier IS NOT NULL ORDER BY tier, common DESC, length(k), product_name, report_no LIMIT 20""",
     "entry_batches": """WITH n AS (SELECT functional_ingredient_name AS name, row_number() OVER (ORDER BY functional_ingredient_name) AS n FROM functional_category_map)
 SELECT CAST((n - 1) // 25 AS BIGINT) AS batch_no, count(*) AS items, printf('%03d-%03d', min(n), max(n)) AS label, string_agg(name, '|' ORDER BY name) AS names FROM n GROUP BY 1""",
     "upload_dedupe": """SELECT product_id, nullif(profile_signature, '') AS profile_signature FROM uploaded_product_master WHERE is_candidate_enabled
@@ -201,11 +210,13 @@ SELECT s.name_key, confidence, methods, raws FROM s LEFT JOIN f ON s.name_key =
     "upload_warnings": f"""SELECT quality_grade, warning, count(*) AS n FROM (SELECT quality_grade, unnest(list_distinct({_JSON.format('quality_warnings_json')})) AS warning FROM uploaded_product_master) GROUP BY 1, 2""",
     "explanation_fields": f"""SELECT json_extract_string(e, '$.top') AS top, count(*) AS pairs, CAST(sum(CAST(json_extract_string(e, '$.n') AS BIGINT)) AS BIGINT) AS n
 FROM (SELECT CASE WHEN json_valid(explanation_json) THEN explanation_json END AS e FROM {CACHE}) GROUP BY 1""",
-    "token_overlap": f"""WITH a AS (SELECT DISTINCT lower(matched_standard_name) AS name FROM {INGREDIENTS} WHERE regexp_full_match(matched_standard_name, '[A-Za-z ]+')),
-b AS (SELECT functional_ingredient_name AS entry, lower(regexp_extract(coalesce(notes, ''), '(?:EN|영문명):? ([A-Za-z][A-Za-z ]*)', 1)) AS english FROM functional_category_map),
-x AS (SELECT name, unnest(list_distinct(regexp_split_to_array(trim(name), ' +'))) AS w FROM a),
-y AS (SELECT entry, unnest(list_distinct(regexp_split_to_array(trim(english), ' +'))) AS w FROM b WHERE english <> '')
-SELECT name, entry, count(*) AS shared FROM x JOIN y ON x.w = y.w GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "token_overlap": f"""WITH a AS (SELECT DISTINCT lower(matched_standard_name) AS name, {_key('lower(matched_standard_name)')} AS k FROM {INGREDIENTS} WHERE matched_standard_name <> ''),
+b AS (SELECT functional_ingredient_name AS entry, {_key('functional_ingredient_name')} AS e, lower(functional_ingredient_name) || ' ' || lower(regexp_extract(coalesce(notes, ''), '{FOREIGN}', 1)) AS w FROM functional_category_map),
+x AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(name, '[^0-9a-z가-힣]+')), lambda w: length(w) > 1) AS ws FROM a),
+y AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(w, '[^0-9a-z가-힣]+')), lambda w: length(w) > 1) AS ws FROM b),
+s AS (SELECT name, entry, 1.7 * len(list_intersect(x.ws, y.ws)) + CASE WHEN k = e THEN 12 WHEN length(k) >= 4 AND length(e) >= 4 AND (contains(k, e) OR contains(e, k)) THEN 7 ELSE 0 END
+  + CASE WHEN length(k) >= 4 AND length(e) >= 4 AND left(k, 4) = left(e, 4) THEN 0.8 ELSE 0 END AS score FROM x, y)
+SELECT name, entry, CAST(round(score, 6) AS DOUBLE) AS score FROM s WHERE score > 0""",
     "pair_feature_sums": f"""WITH f AS (SELECT coalesce(substitutability, '-') AS u, {_SCORE.format('similarity_score')} AS s, {_SCORE.format('core_match_score')} AS c, len({_JSON.format('shared_ingredients_json')}) AS a,
   len({_JSON.format('base_only_ingredients_json')}) AS b, len({_JSON.format('target_only_ingredients_json')}) AS t FROM {CACHE})
 SELECT u AS substitutability, count(*) AS n, round(avg(s), 5) AS similarity, round(avg(a), 5) AS shared, round(avg(CASE WHEN a + b + t = 0 THEN 0 ELSE a / (a + b + t) END), 5) AS shared_share, count_if(c < 0.4) AS weak_core FROM f GROUP BY 1""",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hanmaru.operators import groups, vectors
+from hanmaru.operators.skew import meet_within
+from hanmaru.session import kept_for, write_through
 from hanmaru.sources.tables import table
 
 VEC = """vec AS (
@@ -66,12 +70,22 @@ def semantic_of(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("owner", "item", "main", "kind", weight.alias("weight"))
 
 
+def _sources(d: str) -> list[str]:
+    return [f"{d}/lineitem.parquet", f"{d}/part.parquet"]
+
+
+def kept_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """The semantic vectors, computed once for the files they are made of: the joins of all pairs read them more than once."""
+    return kept_for(spark, "semantic", _sources(d), lambda: semantic_of(spark, d))
+
+
 def scored_of(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.weighted_jaccard(semantic_of(spark, d), "main").withColumn("score", F.round("score", 6))
+    return vectors.weighted_jaccard(kept_semantic(spark, d), "main").withColumn("score", F.round("score", 6))
 
 
 def top_of(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return vectors.top_pairs(scored_of(spark, d), k, F.desc("score"), F.col("target_id"))
+    """The k best targets of every base, computed once for the files they are made of; all queries on best pairs read these."""
+    return kept_for(spark, f"best-{k}", _sources(d), lambda: vectors.top_pairs(scored_of(spark, d), k, F.desc("score"), F.col("target_id")))
 
 
 def vector_max_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +126,141 @@ def topk_similar(spark: SparkSession, d: str) -> DataFrame:
     return top_of(spark, d).select("base_id", "target_id", "score", "shared", "rk")
 
 
+def _filled(pool: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """(base_id, target_id, pool_score, rk): the k best targets of each base; where fewer share anything with it, products of the same main
+    category with the smallest ids follow with a score of 0. At most 2 k + 1 ids of a category can be wanted for that."""
+    best = vectors.top_pairs(pool, k, F.desc("pool_score"), F.col("target_id")).drop("rk")
+    few = owners.join(best.groupBy(F.col("base_id").alias("owner")).agg(F.count(F.lit(1)).alias("n")), "owner", "left").where(F.coalesce("n", F.lit(0)) < k)
+    seeds = owners.withColumn("i", F.row_number().over(Window.partitionBy("main").orderBy("owner"))).where(F.col("i") <= 2 * k + 1).select("main", F.col("owner").alias("target_id"))
+    fill = few.select(F.col("owner").alias("base_id"), "main").join(seeds, "main").where("base_id <> target_id").select("base_id", "target_id", F.lit(0.0).alias("pool_score"))
+    fill = fill.join(best.select("base_id", "target_id"), ["base_id", "target_id"], "left_anti")
+    return vectors.top_pairs(best.unionByName(fill), k, F.desc("pool_score"), F.col("target_id"))
+
+
 def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 targets of each base with the highest sum of weight x idf over shared ingredients; frequent ones are left out."""
-    sem = semantic_of(spark, d).join(vectors.idf(vec(spark, d)), "item").withColumn("weight", F.col("weight") * F.col("idf"))
-    met = vectors.shared_items(sem, "main", 0.05, once=True)
+    """The 20 targets of each base with the highest sum of weight x idf over shared ingredients, filled up with others of the main category.
+    Ingredients in more than 5 % of the products count only for products in which they weigh 0.7 or more."""
+    sem = kept_semantic(spark, d)
+    weighed = sem.join(vectors.idf(vec(spark, d)), "item").select("owner", "item", "main", F.col("weight").alias("plain"), (F.col("weight") * F.col("idf")).alias("weight"))
+    met = vectors.shared_items(write_through(weighed, "weighed"), "main", 0.05, once=True, keep=F.col("plain") >= 0.7)
     sums = met.groupBy("base_id", "target_id").agg(F.sum("bw").alias("sb"), F.sum("tw").alias("st"))
     ways = [F.struct(F.col(x).alias("base_id"), F.col(y).alias("target_id"), F.round(z, 6).alias("pool_score")) for x, y, z in (("base_id", "target_id", "st"), ("target_id", "base_id", "sb"))]
-    pool = sums.select(F.inline(F.array(*ways)))
-    return vectors.top_pairs(pool, 20, F.desc("pool_score"), F.col("target_id"))
+    return _filled(sums.select(F.inline(F.array(*ways))), sem.select("owner", "main").distinct(), 20)
+
+
+#: Fixed values of the first measure: what a role counts, the most an idf counts in it, what an ingredient of another category keeps, and
+#: the share of each component in the score; of the pool: what a shared ingredient counts by its role, and what is taken off.
+ROLES = ("primary", "secondary", "support")
+ROLE_FACTOR, IDF_CAP, OFF_CATEGORY = (1.2, 0.55, 0.2), (6.0, 3.5, 2.0), (0.75, 0.35, 0.5)
+SHARES, FAMILY_SHARE, NO_PRIMARY_CAP = (0.65, 0.20, 0.05), 0.10, 0.35
+HALF = 1e-9  # added before rounding, so that halves go up whatever their last binary digit
+POOL_WEIGHT, SUPPORT_ONLY, FAMILY_CONFLICT = (4.0, 1.2, 0.25), 2.0, 1.5
+
+
+def _by_role(role: Column, values: tuple[float, ...]) -> Column:
+    out = F.when(role == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(role == i, v)
+    return out
+
+
+def role_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(owner, item, main, role 0 to 2, family, idf, weight): effective weights of the first measure. The family of an ingredient is its
+    sub category."""
+    from hanmaru.plans.profiles import role_assignment
+
+    def build() -> DataFrame:
+        roles = role_assignment(spark, d).select(F.col("product_id").alias("owner"), F.col("ingredient").alias("item"), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int").alias("role"))
+        main = main_category_of(spark, d).select("owner", F.col("category").alias("main"))
+        rows = vec(spark, d).join(roles.withColumn("role", F.col("role") - 1), ["owner", "item"]).join(main, "owner").join(imap(spark, d).select("item", "category", F.col("sub").alias("family")), "item").join(vectors.idf(vec(spark, d)), "item")
+        off = F.when(F.col("category") == F.col("main"), 1.0).otherwise(_by_role(F.col("role"), OFF_CATEGORY))
+        weight = F.col("weight") * F.least("idf", _by_role(F.col("role"), IDF_CAP)) * _by_role(F.col("role"), ROLE_FACTOR) * off
+        return rows.select("owner", "item", "main", "role", "family", "idf", "df", weight.alias("weight"))
+
+    return kept_for(spark, "role-vectors", _sources(d), build)
+
+
+def pool_v1(spark: SparkSession, d: str) -> DataFrame:
+    """(base_id, target_id, pool_score, rk): the 20 targets with the highest sum of role weight x idf over shared ingredients, by the role in
+    the target. Ingredients in more than 5 % of the products count only as support. Pairs that share support only lose 2, pairs
+    without a primary family in common 1.5."""
+    def build() -> DataFrame:
+        v = role_vectors(spark, d)
+        owners = v.agg(F.count_distinct("owner")).first()[0]  # one number
+        counted = v.where((F.col("df") <= max(1, math.floor(0.05 * owners))) | (F.col("role") == 2)).select("owner", "item", "main", "role", (_by_role(F.col("role"), POOL_WEIGHT) * F.col("idf")).alias("weight"))
+        met = meet_within(counted, ["item", "main"], "owner").where("l.owner <> r.owner")
+        sums = met.groupBy(F.col("l.owner").alias("base_id"), F.col("r.owner").alias("target_id")).agg(F.sum("r.weight").alias("s"), F.min(F.least("l.role", "r.role")).alias("best"), F.min(F.greatest("l.role", "r.role")).alias("both"))
+        families = v.where("role = 0").groupBy("owner").agg(F.collect_set("family").alias("f"))
+        a, b = families.select(F.col("owner").alias("base_id"), F.col("f").alias("bf")), families.select(F.col("owner").alias("target_id"), F.col("f").alias("tf"))
+        joined = sums.join(a, "base_id", "left").join(b, "target_id", "left")
+        conflict = ~F.coalesce(F.arrays_overlap("bf", "tf"), F.lit(False))
+        score = F.col("s") - F.when(F.col("best") == 2, SUPPORT_ONLY).otherwise(0.0) - F.when(conflict, FAMILY_CONFLICT).otherwise(0.0)
+        return vectors.top_pairs(joined.select("base_id", "target_id", F.round(score, 6).alias("pool_score")), 20, F.desc("pool_score"), F.col("target_id"))
+
+    return kept_for(spark, "pool-v1", _sources(d), build)
+
+
+def candidate_pool_v1(spark: SparkSession, d: str) -> DataFrame:
+    return pool_v1(spark, d)
+
+
+def aligned(pairs: DataFrame, v: DataFrame, *first: str) -> DataFrame:
+    """(base_id, target_id, item, b, t, role, first...): the entries of both sides of each pair over the union of their items; b and t are
+    weights, 0 where a side lacks the item, role the strongest of both."""
+    sides = [
+        pairs.select("base_id", "target_id").join(v.select(F.col("owner").alias(side), "item", "role", *first, *[(F.col("weight") if side == s else F.lit(0.0)).alias(n) for s, n in (("base_id", "b"), ("target_id", "t"))]), side)
+        for side in ("base_id", "target_id")
+    ]
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy("base_id", "target_id", "item").agg(F.max("b").alias("b"), F.max("t").alias("t"), F.min("role").alias("role"), *[F.min(c).alias(c) for c in first])
+
+
+def weighted_jaccard_v1(spark: SparkSession, d: str) -> DataFrame:
+    """The first measure on the pairs of its pool: weighted Jaccard by component (the strongest role of an ingredient), 0.65 primary, 0.20
+    secondary, 0.05 support and 0.10 the families of the primary ones; at most 0.35 where no primary ingredient or family is shared."""
+    v = role_vectors(spark, d)
+    low = lambda r: F.sum(F.when(F.col("role") == r, F.least("b", "t")).otherwise(0.0))
+    high = lambda r: F.sum(F.when(F.col("role") == r, F.greatest("b", "t")).otherwise(0.0))
+    per = aligned(pool_v1(spark, d), v).groupBy("base_id", "target_id").agg(
+        *[F.coalesce(F.try_divide(low(r), high(r)), F.lit(0.0)).alias(n) for r, n in enumerate(ROLES)], F.count_if((F.col("b") > 0) & (F.col("t") > 0)).alias("shared")
+    )
+    families = v.where("role = 0").groupBy("owner").agg(F.collect_set("family").alias("f"))
+    a, b = families.select(F.col("owner").alias("base_id"), F.col("f").alias("bf")), families.select(F.col("owner").alias("target_id"), F.col("f").alias("tf"))
+    none = F.array().cast("array<string>")
+    per = per.join(a, "base_id", "left").join(b, "target_id", "left").withColumn("family", vectors.set_similarity(F.coalesce("bf", none), F.coalesce("tf", none)))
+    score = SHARES[0] * F.col("primary") + SHARES[1] * F.col("secondary") + FAMILY_SHARE * F.col("family") + SHARES[2] * F.col("support")
+    capped = F.when((F.col("primary") <= 0) & (F.col("family") <= 0), F.least(score, F.lit(NO_PRIMARY_CAP))).otherwise(score)
+    final = F.when(F.col("shared") == 0, 0.0).otherwise(capped)
+    return per.select("base_id", "target_id", *[F.round(F.col(c) + HALF, 6).alias(c) for c in (*ROLES, "family")], F.round(final + HALF, 6).alias("score"))
+
+
+def semantic_jaccard_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    """The measure by semantic weights on the ten best pairs, multiplied by how much of the base's core the target covers, then capped in
+    order, each cap only where the score is above it: 0.64 if only weak ingredients are shared and neither side has a core; 0.64 if no
+    core ingredient is shared, all shared are weak, at most two, and fewer than three of the base are left; 0.64 if one core ingredient
+    is shared, two in all at most, and three or more of the base are left; 0.64 if no core ingredient is shared, two in all at most,
+    and three or more are left; 0.97 if the two are equal and weigh 1.5 or less. `caps` names those that took hold."""
+    sem = kept_semantic(spark, d).select("owner", "item", F.lit(0).alias("role"), "weight")
+    b, t = F.col("b"), F.col("t")
+    both, core_b, core_t = (b > 0) & (t > 0), b >= 0.7, t >= 0.7
+    a = aligned(top_of(spark, d), sem).groupBy("base_id", "target_id").agg(
+        (F.sum(F.least("b", "t")) / F.sum(F.greatest("b", "t"))).alias("raw"), F.count_if(core_b).alias("core"), F.count_if(core_t).alias("core_t"), F.count_if(core_b & core_t).alias("shared_core"),
+        F.count_if(both).alias("shared"), F.count_if(both & (core_b | core_t)).alias("strong"), F.count_if((b > 0) & (t == 0)).alias("left"), F.count_if((t > 0) & (b == 0)).alias("extra"), F.least(F.sum("b"), F.sum("t")).alias("mass"),
+    )
+    cover = F.coalesce(F.try_divide(F.col("shared_core"), F.col("core")), F.lit(0.0))
+    mult = F.when((F.col("core") == 0) | (cover >= 1), 1.0).when(cover > 0, 0.85 + 0.15 * cover).otherwise(0.68)
+    no_core, weak = (F.col("core") == 0) & (F.col("core_t") == 0), F.col("strong") == 0
+    shared, left = F.col("shared"), F.col("left")
+    steps = [
+        ("weak_only", 0.64, weak & no_core), ("no_core_with_extra", 0.64, (F.col("shared_core") == 0) & weak & (shared <= 2) & (left < 3) & (left + F.col("extra") > 0)),
+        ("single_core", 0.64, (F.col("shared_core") == 1) & (shared <= 2) & (left >= 3)), ("no_core_low_coverage", 0.64, (F.col("shared_core") == 0) & (shared <= 2) & (left >= 3)),
+        ("sparse_exact", 0.97, (F.col("s") >= 0.999999) & (F.col("mass") <= 1.5)),
+    ]
+    out = a.withColumn("s", F.round(F.col("raw") * mult, 9)).withColumn("caps", F.array().cast("array<string>"))
+    for name, most, when in steps:
+        hit = when & (F.col("s") > most)
+        out = out.withColumn("caps", F.when(hit, F.array_append("caps", F.lit(name))).otherwise(F.col("caps"))).withColumn("s", F.when(hit, most).otherwise(F.col("s")))
+    return out.select("base_id", "target_id", F.round("raw", 6).alias("raw"), F.round("s", 6).alias("score"), F.array_join("caps", ",").alias("caps"))
 
 
 def function_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +272,7 @@ def function_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sets(spark: SparkSession, d: str, least: float) -> DataFrame:
-    return semantic_of(spark, d).where(F.col("weight") >= least).groupBy("owner").agg(F.collect_set("item").alias("items"))
+    return kept_semantic(spark, d).where(F.col("weight") >= least).groupBy("owner").agg(F.collect_set("item").alias("items"))
 
 
 def _top_with_sets(spark: SparkSession, d: str, least: float) -> DataFrame:
@@ -168,11 +309,26 @@ counts AS (
   FROM topk t LEFT JOIN sizes x ON x.owner = t.base_id LEFT JOIN sizes y ON y.owner = t.target_id LEFT JOIN met m ON m.base_id = t.base_id AND m.target_id = t.target_id)
 """
 
+_V1 = _with(VEC, IMAP, CAT, MAIN) + """, wt AS (SELECT v.owner, v.item, round(v.weight, 9) AS weight, v.weight AS plain, max(round(v.weight, 9)) OVER (PARTITION BY v.owner) AS top FROM vec v),
+r0 AS (SELECT w.owner, w.item, w.weight, w.plain, m.category, m.sub, n.main,
+    CASE WHEN m.kind = 'excipient' THEN 2 WHEN m.category = n.main AND w.weight >= 0.72 * w.top THEN 0 ELSE 1 END AS role FROM wt w JOIN imap m ON w.item = m.item JOIN main n ON n.owner = w.owner),
+r1 AS (SELECT *, CASE WHEN count_if(role = 0) OVER (PARTITION BY owner) = 0 AND row_number() OVER (PARTITION BY owner ORDER BY weight DESC, item) = 1 THEN 0 ELSE role END AS final FROM r0),
+idf AS (SELECT item, count(*) AS df, ln((1.0 + (SELECT count(DISTINCT owner) FROM vec)) / (1.0 + count(*))) + 1 AS idf FROM vec GROUP BY 1),
+rv AS (SELECT owner, r1.item, main, final AS role, sub AS family, idf, df, CAST(plain AS DOUBLE) * least(idf, [6.0, 3.5, 2.0][final + 1]) * [1.2, 0.55, 0.2][final + 1]
+    * CASE WHEN category = main THEN 1.0 ELSE [0.75, 0.35, 0.5][final + 1] END AS weight FROM r1 JOIN idf ON idf.item = r1.item),
+families AS (SELECT owner, list(DISTINCT family) AS f FROM rv WHERE role = 0 GROUP BY 1),
+counted AS (SELECT *, [4.0, 1.2, 0.25][role + 1] * idf AS pw FROM rv WHERE role = 2 OR df <= greatest(1, floor(0.05 * (SELECT count(DISTINCT owner) FROM vec)))),
+sums AS (SELECT b.owner AS base_id, t.owner AS target_id, sum(t.pw) AS s, min(least(b.role, t.role)) AS best FROM counted b JOIN counted t ON b.item = t.item AND b.main = t.main AND b.owner <> t.owner GROUP BY 1, 2),
+pool1 AS (SELECT base_id, target_id, round(s - CASE WHEN best = 2 THEN 2.0 ELSE 0 END - CASE WHEN len(list_intersect(coalesce(x.f, []), coalesce(y.f, []))) > 0 THEN 0 ELSE 1.5 END, 6) AS pool_score,
+    row_number() OVER (PARTITION BY base_id ORDER BY round(s - CASE WHEN best = 2 THEN 2.0 ELSE 0 END - CASE WHEN len(list_intersect(coalesce(x.f, []), coalesce(y.f, []))) > 0 THEN 0 ELSE 1.5 END, 6) DESC, target_id) AS rk
+  FROM sums LEFT JOIN families x ON x.owner = base_id LEFT JOIN families y ON y.owner = target_id QUALIFY rk <= 20)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_max_merge, document_frequency_idf, category_scores, product_main_category, relative_weight, semantic_vector, nutrient_total_cap, topk_similar,
-        candidate_pool, function_similarity, core_match, core_coverage, profile_compare,
+        candidate_pool, candidate_pool_v1, weighted_jaccard_v1, semantic_jaccard_adjusted, function_similarity, core_match, core_coverage, profile_compare,
     )
 }
 SQL = {
@@ -192,11 +348,50 @@ FROM (SELECT *, sum(CASE WHEN kind = 'nutrient' THEN CAST(weight AS DOUBLE) ELSE
     "candidate_pool": _with(VEC, IMAP, CAT, MAIN, SEM)
     + """, freq AS (SELECT item, count(*) AS df FROM sem GROUP BY 1),
 rare AS (SELECT item FROM freq WHERE df <= greatest(1, floor(0.05 * (SELECT count(DISTINCT owner) FROM sem)))),
+counted AS (SELECT * FROM sem WHERE weight >= 0.7 OR item IN (SELECT item FROM rare)),
 w AS (SELECT item, ln((1.0 + (SELECT count(DISTINCT owner) FROM vec)) / (1.0 + count(*))) + 1 AS idf FROM vec GROUP BY 1),
+owners AS (SELECT DISTINCT owner, main FROM sem),
 pool AS (
   SELECT b.owner AS base_id, t.owner AS target_id, round(sum(t.weight * w.idf), 6) AS pool_score
-  FROM sem b JOIN sem t ON b.item = t.item AND b.main = t.main AND b.owner <> t.owner JOIN rare r ON r.item = b.item JOIN w ON w.item = b.item GROUP BY 1, 2)
-SELECT base_id, target_id, pool_score, row_number() OVER (PARTITION BY base_id ORDER BY pool_score DESC, target_id) AS rk FROM pool QUALIFY rk <= 20""",
+  FROM counted b JOIN counted t ON b.item = t.item AND b.main = t.main AND b.owner <> t.owner JOIN w ON w.item = b.item GROUP BY 1, 2),
+seeded AS (
+  SELECT * FROM pool UNION ALL SELECT b.owner, t.owner, 0.0 FROM owners b JOIN owners t ON b.main = t.main AND b.owner <> t.owner ANTI JOIN pool p ON p.base_id = b.owner AND p.target_id = t.owner)
+SELECT base_id, target_id, CAST(pool_score AS DOUBLE) AS pool_score, row_number() OVER (PARTITION BY base_id ORDER BY pool_score DESC, target_id) AS rk FROM seeded QUALIFY rk <= 20""",
+    "candidate_pool_v1": _V1 + "SELECT * FROM pool1",
+    "weighted_jaccard_v1": _V1
+    + """, sides AS (
+  SELECT p.base_id, p.target_id, v.item, v.role, v.weight AS b, 0.0 AS t FROM pool1 p JOIN rv v ON v.owner = p.base_id
+  UNION ALL SELECT p.base_id, p.target_id, v.item, v.role, 0.0, v.weight FROM pool1 p JOIN rv v ON v.owner = p.target_id),
+al AS (SELECT base_id, target_id, item, min(role) AS role, max(b) AS b, max(t) AS t FROM sides GROUP BY 1, 2, 3),
+per AS (
+  SELECT base_id, target_id, """
+    + ", ".join(
+        f"coalesce(sum(least(b, t)) FILTER (role = {i}) / nullif(sum(greatest(b, t)) FILTER (role = {i}), 0), 0) AS {n}" for i, n in enumerate(ROLES)
+    )
+    + """, count_if(b > 0 AND t > 0) AS shared FROM al GROUP BY 1, 2),
+fam AS (
+  SELECT p.*, coalesce(len(list_intersect(x.f, y.f)) / nullif(len(list_distinct(list_concat(coalesce(x.f, []), coalesce(y.f, [])))), 0), 0) AS family
+  FROM per p LEFT JOIN families x ON x.owner = base_id LEFT JOIN families y ON y.owner = target_id),
+s AS (SELECT *, 0.65 * "primary" + 0.2 * secondary + 0.1 * family + 0.05 * support AS raw FROM fam)
+SELECT base_id, target_id, round("primary" + 1e-9, 6) AS "primary", round(secondary + 1e-9, 6) AS secondary, round(support + 1e-9, 6) AS support, round(family + 1e-9, 6) AS family,
+  round(CASE WHEN shared = 0 THEN 0 WHEN "primary" <= 0 AND family <= 0 THEN least(raw, 0.35) ELSE raw END + 1e-9, 6) AS score FROM s""",
+    "semantic_jaccard_adjusted": _CORE
+    + """, sides AS (
+  SELECT p.base_id, p.target_id, v.item, CAST(v.weight AS DOUBLE) AS b, 0.0 AS t FROM topk p JOIN sem v ON v.owner = p.base_id
+  UNION ALL SELECT p.base_id, p.target_id, v.item, 0.0, v.weight FROM topk p JOIN sem v ON v.owner = p.target_id),
+al AS (SELECT base_id, target_id, item, max(b) AS b, max(t) AS t FROM sides GROUP BY 1, 2, 3),
+a AS (
+  SELECT base_id, target_id, sum(least(b, t)) / sum(greatest(b, t)) AS raw, count_if(b >= 0.7) AS core, count_if(t >= 0.7) AS core_t, count_if(b >= 0.7 AND t >= 0.7) AS shared_core,
+    count_if(b > 0 AND t > 0) AS shared, count_if(b > 0 AND t > 0 AND (b >= 0.7 OR t >= 0.7)) AS strong, count_if(b > 0 AND t = 0) AS lft, count_if(t > 0 AND b = 0) AS extra, least(sum(b), sum(t)) AS mass
+  FROM al GROUP BY 1, 2),
+s0 AS (SELECT *, round(raw * CASE WHEN core = 0 OR shared_core >= core THEN 1.0 WHEN shared_core > 0 THEN 0.85 + 0.15 * (CAST(shared_core AS DOUBLE) / core) ELSE 0.68 END, 9) AS s FROM a),
+s1 AS (SELECT *, strong = 0 AND core = 0 AND core_t = 0 AND s > 0.64 AS c1 FROM s0),
+s2 AS (SELECT *, NOT c1 AND shared_core = 0 AND strong = 0 AND shared <= 2 AND lft < 3 AND lft + extra > 0 AND s > 0.64 AS c2 FROM s1),
+s3 AS (SELECT *, NOT c1 AND NOT c2 AND shared_core = 1 AND shared <= 2 AND lft >= 3 AND s > 0.64 AS c3 FROM s2),
+s4 AS (SELECT *, NOT c1 AND NOT c2 AND NOT c3 AND shared_core = 0 AND shared <= 2 AND lft >= 3 AND s > 0.64 AS c4 FROM s3),
+s5 AS (SELECT *, NOT (c1 OR c2 OR c3 OR c4) AND s >= 0.999999 AND mass <= 1.5 AS c5 FROM s4)
+SELECT base_id, target_id, round(raw, 6) AS raw, round(CASE WHEN c1 OR c2 OR c3 OR c4 THEN 0.64 WHEN c5 THEN 0.97 ELSE s END, 6) AS score,
+  CASE WHEN c1 THEN 'weak_only' WHEN c2 THEN 'no_core_with_extra' WHEN c3 THEN 'single_core' WHEN c4 THEN 'no_core_low_coverage' WHEN c5 THEN 'sparse_exact' ELSE '' END AS caps FROM s5""",
     "function_similarity": _CORE
     + """, u AS (
   SELECT t.base_id, t.target_id, c.category, c.score AS a, 0.0 AS b FROM topk t JOIN cat c ON c.owner = t.base_id

@@ -19,11 +19,11 @@ def _key(c: str) -> str:
 
 
 def mentions_unique(spark: SparkSession, d: str) -> DataFrame:
-    """Spellings of every standard name: mentions, ingredients, the representative and the eight most frequent."""
+    """Spellings of every standard name: mentions, ingredients, the representative, the eight most frequent and the first eight ingredients."""
     r = table(spark, d, INGREDIENTS, "ingredient_id", "matched_standard_name").where(F.col("matched_standard_name") != "")
     r = r.withColumn("name_key", text.key_of(F.col("matched_standard_name"))).where("name_key <> ''")
     out = groups.unique_mentions(r, "name_key", "matched_standard_name", "ingredient_id")
-    return out.select("name_key", "mentions", "products", "representative", F.array_join("variants", "|").alias("variants"))
+    return out.select("name_key", "mentions", "products", "representative", F.array_join("variants", "|").alias("variants"), F.array_join("first_products", "|").alias("first_products"))
 
 
 def ingredient_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -73,11 +73,11 @@ def coverage_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The catalogue after later imports of the same report number."""
-    r = table(spark, d, "catalog_product_master", "report_no", "product_name", "imported_at")
-    first = rows.first_per_key(r, ["report_no"], F.col("imported_at"), F.col("product_name"))
-    later = r.join(first.select("report_no", F.col("imported_at").alias("t0")), "report_no").where("imported_at > t0").drop("t0")
-    return rows.upsert(first, later, ["report_no"], F.col("imported_at"))
+    """The catalogue after later imports of the same report number, which do not name the company: it stays that of the first import."""
+    r = table(spark, d, "catalog_product_master", "report_no", "product_name", "company_name", "imported_at")
+    first = rows.first_per_key(r, ["report_no"], F.col("imported_at"), F.col("product_name"), F.col("company_name"))
+    later = r.drop("company_name").join(first.select("report_no", F.col("imported_at").alias("t0")), "report_no").where("imported_at > t0").drop("t0")
+    return rows.upsert(first, later, ["report_no"], F.struct(F.col("imported_at"), F.col("product_name")))
 
 
 def cache_invalidate(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +94,10 @@ def catalog_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_union(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue and uploads in one relation with their origin; filters reach both scans."""
+    """Catalogue and uploads in one relation with their origin, those without a name aside; the filter reaches both scans."""
     catalog = table(spark, d, "catalog_product_master", "report_no", "product_name", "company_name")
     uploads = table(spark, d, "uploaded_product_master", "report_no", "product_name", "quality_grade")
-    return rows.union_padded(("catalog", catalog), ("upload", uploads)).where(F.contains("product_name", F.lit("플러스")))
+    return rows.union_padded(("catalog", catalog), ("upload", uploads)).where(F.col("product_name") != "")
 
 
 def catalog_search_page(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +184,7 @@ def entry_names(spark: SparkSession, d: str) -> DataFrame:
 def stripped_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of the standard names without preparation endings, counted."""
     r = table(spark, d, INGREDIENTS, "matched_standard_name").where(F.col("matched_standard_name") != "")
-    key = text.strip_suffixes(text.key_of(F.col("matched_standard_name")), ["추출분말", "추출물", "농축분말", "분말", "제제"], 2, 3)
+    key = text.strip_suffixes(text.key_of(F.col("matched_standard_name")), ["추출분말", "추출물", "농축분말", "분말", "제제"])
     return r.groupBy(key.alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -215,10 +215,14 @@ def user_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_activity(spark: SparkSession, d: str) -> DataFrame:
-    """The latest purchase or error of every user, a purchase before an error of the same moment."""
-    e = table(spark, d, "events", "event_id", "ts", "user_id", "event_type").where(F.col("event_type").isin("purchase", "error"))
-    rank = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
-    return rows.first_per_key(e, ["user_id"], F.desc("ts"), rank.desc(), F.desc("event_id")).select("user_id", "event_id", "event_type")
+    """Events and orders of every user in one relation, one per user and moment (the highest value, then the origin and id), and of those the
+    latest three of each user."""
+    e = table(spark, d, "events", F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").cast("string").alias("id"), F.col("value").cast("double").alias("value"))
+    o = table(spark, d, "orders", F.col("o_custkey").cast("long").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("double").alias("value"))
+    both = rows.union_padded(("event", e), ("order", o)).withColumn("value", F.round("value", 6))
+    one = rows.first_per_key(both, ["user_id", "ts"], F.desc_nulls_last("value"), F.col("origin"), F.col("id"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"))
+    return one.withColumn("place", F.row_number().over(w)).where("place <= 3").select("user_id", "origin", "id", "value", "place")
 
 
 def monitoring_day(spark: SparkSession, d: str) -> DataFrame:
@@ -256,15 +260,10 @@ def first_official_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The threshold on the score with the best F1 for low substitutability. Scores are summed up in 10,001 steps before the running sums, so the
-    window sees a bounded number of rows."""
+    """The threshold on 1 - score with the best F1 for low substitutability among those with a precision of at least 0.60 (of all, if none has it);
+    of equal ones the highest."""
     r = table(spark, d, CACHE, "similarity_score", "substitutability").where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
-    step = F.least(F.lit(10000), F.greatest(F.lit(0), F.floor(F.round(F.col("similarity_score") * 10000, 4))))
-    sums = r.groupBy(step.alias("step")).agg(F.count_if(F.col("substitutability") == "low").alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.select("step", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("flagged"), F.sum("pos").over(Window.partitionBy(F.lit(1))).alias("all_pos"))
-    f1 = F.round(2 * F.col("tp") / (F.col("flagged") + F.col("all_pos")), 9)
-    return run.withColumn("f1", f1).orderBy(F.desc("f1"), "step").limit(1).select("step", "tp", "flagged", "all_pos", "f1")
+    return learn.best_threshold(r, 1 - F.col("similarity_score"), F.col("substitutability") == "low", 0.60)
 
 
 def ingredient_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -333,8 +332,9 @@ _LIST = "coalesce(CAST(CASE WHEN json_valid({0}) THEN {0} END AS VARCHAR[]), [])
 SQL = {
     "mentions_unique": f"""WITH m AS (SELECT {_key('matched_standard_name')} AS name_key, matched_standard_name AS v, ingredient_id FROM {INGREDIENTS} WHERE matched_standard_name <> ''),
 p AS (SELECT name_key, v, count(*) AS n, row_number() OVER (PARTITION BY name_key ORDER BY count(*) DESC, len(v), v) AS r FROM m WHERE name_key <> '' GROUP BY 1, 2),
-i AS (SELECT name_key, count(DISTINCT ingredient_id) AS products FROM m GROUP BY 1)
-SELECT p.name_key, CAST(sum(n) AS BIGINT) AS mentions, any_value(i.products) AS products, min(v) FILTER (r = 1) AS representative, string_agg(v, '|' ORDER BY r) FILTER (r <= 8) AS variants
+d AS (SELECT name_key, ingredient_id, row_number() OVER (PARTITION BY name_key ORDER BY ingredient_id) AS j FROM (SELECT DISTINCT name_key, ingredient_id FROM m)),
+i AS (SELECT name_key, count(*) AS products, string_agg(ingredient_id, '|' ORDER BY j) FILTER (j <= 8) AS first_products FROM d GROUP BY 1)
+SELECT p.name_key, CAST(sum(n) AS BIGINT) AS mentions, any_value(i.products) AS products, any_value(i.first_products) AS first_products, min(v) FILTER (r = 1) AS representative, string_agg(v, '|' ORDER BY r) FILTER (r <= 8) AS variants
 FROM p JOIN i ON p.name_key = i.name_key GROUP BY 1""",
     "ingredient_dedupe": f"""SELECT {_key('matched_standard_name')} AS name_key, ingredient_id, round(confidence, 6) AS confidence, mention_count FROM {INGREDIENTS} WHERE matched_standard_name <> ''
 QUALIFY row_number() OVER (PARTITION BY {_key('matched_standard_name')} ORDER BY round(confidence, 6) DESC NULLS LAST, mention_count DESC NULLS LAST, ingredient_id) = 1""",
@@ -347,14 +347,17 @@ OR (created_at < TIMESTAMP '{CUT}' AND NOT EXISTS (SELECT 1 FROM {CACHE} b WHERE
     "coverage_mismatch": f"""SELECT base_product_id, count_if(created_at < TIMESTAMP '{CUT}') AS expected, count_if(created_at >= TIMESTAMP '{CUT}') AS actual,
   greatest(0, count_if(created_at < TIMESTAMP '{CUT}') - count_if(created_at >= TIMESTAMP '{CUT}')) AS missing,
   greatest(0, count_if(created_at >= TIMESTAMP '{CUT}') - count_if(created_at < TIMESTAMP '{CUT}')) AS extra FROM {CACHE} WHERE created_at IS NOT NULL GROUP BY 1""",
-    "upsert_merge": """SELECT report_no, product_name, imported_at FROM catalog_product_master
-QUALIFY row_number() OVER (PARTITION BY report_no ORDER BY imported_at DESC, product_name) = 1""",
+    "upsert_merge": """WITH f AS (SELECT report_no, company_name, imported_at FROM catalog_product_master
+  QUALIFY row_number() OVER (PARTITION BY report_no ORDER BY imported_at, product_name NULLS FIRST, company_name NULLS FIRST) = 1),
+l AS (SELECT c.report_no, c.product_name, c.imported_at FROM catalog_product_master c JOIN f ON f.report_no = c.report_no WHERE c.imported_at >= f.imported_at
+  QUALIFY row_number() OVER (PARTITION BY c.report_no ORDER BY c.imported_at DESC, CASE WHEN c.imported_at > f.imported_at THEN c.product_name END DESC NULLS LAST, c.product_name NULLS FIRST, c.company_name NULLS FIRST) = 1)
+SELECT l.report_no, l.product_name, f.company_name, l.imported_at FROM l JOIN f ON l.report_no = f.report_no""",
     "cache_invalidate": f"""SELECT algorithm_version, count(*) AS n FROM {CACHE} WHERE base_product_id NOT IN (SELECT product_id FROM uploaded_product_master WHERE needs_user_review)
 AND target_product_id NOT IN (SELECT product_id FROM uploaded_product_master WHERE needs_user_review) GROUP BY 1""",
     "catalog_refresh": """SELECT report_no, product_name, company_name FROM catalog_product_master WHERE report_no <> ''
 QUALIFY row_number() OVER (PARTITION BY report_no ORDER BY imported_at, product_name, company_name NULLS FIRST) = 1""",
-    "catalog_union": """SELECT report_no, product_name, company_name, 'catalog' AS origin, NULL AS quality_grade FROM catalog_product_master WHERE contains(product_name, '플러스')
-UNION ALL SELECT report_no, product_name, NULL, 'upload', quality_grade FROM uploaded_product_master WHERE contains(product_name, '플러스')""",
+    "catalog_union": """SELECT report_no, product_name, company_name, 'catalog' AS origin, NULL AS quality_grade FROM catalog_product_master WHERE product_name <> ''
+UNION ALL SELECT report_no, product_name, NULL, 'upload', quality_grade FROM uploaded_product_master WHERE product_name <> ''""",
     "catalog_search_page": """WITH r AS (SELECT DISTINCT report_no, product_name, CASE WHEN product_name = '골드' THEN 0 WHEN starts_with(product_name, '골드') THEN 1 ELSE 2 END AS tier
   FROM catalog_product_master WHERE contains(product_name, '골드')),
 n AS (SELECT count(*) AS total_rows, least(3, greatest(1, CAST(ceil(count(*) / 25.0) AS INTEGER))) AS page_no FROM r),
@@ -381,11 +384,10 @@ w AS (SELECT report_no, 'empty' AS warning FROM r WHERE trim(f) = '' UNION ALL S
 SELECT warning, count(*) AS n, count(DISTINCT report_no) AS products FROM w GROUP BY 1""",
     "entry_names": """SELECT category_main, string_agg(DISTINCT functional_ingredient_name, ' | ' ORDER BY functional_ingredient_name) AS functional_ingredient_name
 FROM functional_category_map WHERE functional_ingredient_name <> '' GROUP BY 1""",
-    "stripped_keys": f"""WITH k0 AS (SELECT {_key('matched_standard_name')} AS k FROM {INGREDIENTS} WHERE matched_standard_name <> ''),
-k1 AS (SELECT regexp_replace(k, '^(.{{2,}}?)(추출분말|추출물|농축분말|분말|제제)$', '\\1') AS k FROM k0),
-k2 AS (SELECT regexp_replace(k, '^(.{{2,}}?)(추출분말|추출물|농축분말|분말|제제)$', '\\1') AS k FROM k1),
-k3 AS (SELECT regexp_replace(k, '^(.{{2,}}?)(추출분말|추출물|농축분말|분말|제제)$', '\\1') AS k FROM k2)
-SELECT k AS stem, count(*) AS n FROM k3 GROUP BY 1""",
+    "stripped_keys": f"""WITH RECURSIVE k AS (SELECT ingredient_id, {_key('matched_standard_name')} AS k, 0 AS i FROM {INGREDIENTS} WHERE matched_standard_name <> ''
+UNION ALL SELECT ingredient_id, regexp_replace(k, '^(.{{2,}}?)(추출분말|추출물|농축분말|분말|제제)$', '\\1'), i + 1 FROM k WHERE regexp_matches(k, '^.{{2,}}?(추출분말|추출물|농축분말|분말|제제)$')),
+l AS (SELECT k FROM k QUALIFY row_number() OVER (PARTITION BY ingredient_id ORDER BY i DESC) = 1)
+SELECT k AS stem, count(*) AS n FROM l GROUP BY 1""",
     "family_counts": f"""SELECT CASE WHEN regexp_matches(t, '비타민|vitamin') THEN 'vitamin' WHEN regexp_matches(t, '락토바실|lactobac|유산균') THEN 'probiotic' WHEN regexp_matches(t, '콜라겐|collagen') THEN 'collagen'
   WHEN regexp_matches(t, '올리고당|oligo') THEN 'oligosaccharide' WHEN regexp_matches(t, '펩타이드|peptide') THEN 'peptide' ELSE 'other' END AS family, count(*) AS n, CAST(sum(mention_count) AS BIGINT) AS mentions
 FROM (SELECT lower(trim(regexp_replace(coalesce(raw_ingredient, ''), '\\s+', ' ', 'g'))) AS t, mention_count FROM {INGREDIENTS}) GROUP BY 1""",
@@ -393,8 +395,10 @@ FROM (SELECT lower(trim(regexp_replace(coalesce(raw_ingredient, ''), '\\s+', ' '
   count_if(coalesce(parsed_signature, '') = '') AS no_parsed_signature, count_if(ocr_confidence < 0.6) AS doubtful_scan, round(avg(confidence), 6) AS mean_confidence FROM uploaded_product_master""",
     "user_activity": """SELECT c_custkey, c_name, strftime(max(o_orderdate), '%Y-%m-%d') AS last_order, count(o_orderkey) AS orders, count_if(o_orderstatus = 'F') AS finished
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""",
-    "recent_activity": """SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END DESC, event_id DESC) = 1""",
+    "recent_activity": """WITH b AS (SELECT CAST(user_id AS BIGINT) AS user_id, CAST(ts AS TIMESTAMP) AS ts, CAST(event_id AS VARCHAR) AS id, round(CAST(value AS DOUBLE), 6) AS value, 'event' AS origin FROM events
+  UNION ALL SELECT CAST(o_custkey AS BIGINT), CAST(o_orderdate AS TIMESTAMP), CAST(o_orderkey AS VARCHAR), round(CAST(o_totalprice AS DOUBLE), 6), 'order' FROM orders),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY value DESC NULLS LAST, origin, id) = 1)
+SELECT user_id, origin, id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS INTEGER) AS place FROM o QUALIFY place <= 3""",
     "monitoring_day": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1",
     "progress_latest_ttl": """SELECT user_id, event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
@@ -402,12 +406,19 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
     "first_official_rank": f"""WITH best AS (SELECT base_product_id, target_product_id, max(similarity_score) AS score FROM {CACHE} WHERE similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY base_product_id ORDER BY score DESC, target_product_id) AS rk FROM best)
 SELECT base_product_id, min(rk) AS first_rank FROM r WHERE starts_with(target_product_id, 'catalog::') GROUP BY 1""",
-    "threshold_sweep": f"""WITH s AS (SELECT CAST(least(10000, greatest(0, floor(round(similarity_score * 10000, 4)))) AS BIGINT) AS step, count_if(substitutability = 'low') AS pos, count(*) AS n
+    "threshold_sweep": f"""WITH s AS (SELECT 1 - similarity_score AS threshold, count_if(substitutability = 'low') AS pos, count(*) AS n
   FROM {CACHE} WHERE similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY 1),
-r AS (SELECT step, sum(pos) OVER (ORDER BY step) AS tp, sum(n) OVER (ORDER BY step) AS flagged, sum(pos) OVER () AS all_pos FROM s)
-SELECT step, CAST(tp AS BIGINT) AS tp, CAST(flagged AS BIGINT) AS flagged, CAST(all_pos AS BIGINT) AS all_pos, round(2 * tp / (flagged + all_pos), 9) AS f1 FROM r ORDER BY f1 DESC, step LIMIT 1""",
+r AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(n) OVER (ORDER BY threshold DESC) AS flagged, sum(pos) OVER () AS all_pos FROM s),
+f AS (SELECT *, round(CAST(tp AS DOUBLE) / flagged, 9) AS p, round(2 * CAST(tp AS DOUBLE) / (flagged + all_pos), 9) AS f FROM r)
+SELECT round(threshold, 9) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(flagged AS BIGINT) AS flagged, CAST(all_pos AS BIGINT) AS all_pos, p AS precision, f AS f1 FROM f ORDER BY CAST(p >= 0.6 AS INTEGER) DESC, f DESC, threshold DESC LIMIT 1""",
     "ocr_ingredients": r"""SELECT report_no, replace(regexp_extract(ocr_raw_text, '(?s)(?:원재료명 및 함량|원재료명|원료 및 함량)[^\n]*\n(.*?)\n(?:섭취|내용량|LOT)', 1), chr(10), '') AS passage
 FROM uploaded_product_master WHERE ocr_raw_text <> '' AND passage <> ''""",
+    "stratified_sample": """WITH r AS (SELECT DISTINCT report_no, form_factor FROM catalog_product_master),
+t AS (SELECT *, md5('11|' || report_no) AS h, CASE WHEN row_number() OVER (PARTITION BY form_factor ORDER BY md5('11|' || report_no), report_no) <= 10 THEN 1 ELSE 2 END AS tier FROM r)
+SELECT report_no, form_factor FROM t ORDER BY tier, h, report_no LIMIT 200""",
+    "text_keys": f"""WITH k AS (SELECT regexp_replace(lower(nfc_normalize(translate(raw_ingredient, '{''.join(map(chr, range(0xFF01, 0xFF5F)))}', '{''.join(map(chr, range(0x21, 0x7F))).replace("'", "''")}'))), '[^0-9a-z가-힣]', '', 'g') AS name_key
+  FROM {INGREDIENTS} WHERE raw_ingredient <> '')
+SELECT name_key, count(*) AS n, sha1('{{"p0":"[\\"' || name_key || '\\"]"}}') AS signature FROM k GROUP BY 1""",
     "windowed_events": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2""",
     "ingredient_catalog": f"""SELECT functional_ingredient_name AS name, category_main AS category, 'list' AS origin FROM functional_category_map
 UNION ALL SELECT matched_standard_name, min(category_main), 'custom' FROM {INGREDIENTS} WHERE matched_standard_name <> '' AND category_main <> ''

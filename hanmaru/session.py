@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +65,28 @@ def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the paths with the lengths and times of the files below them: another one whenever a file is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(conf)
+        for status in sorted(([target, fs.getFileStatus(target)], *([s.getPath(), s] for s in fs.listStatus(target))), key=lambda x: x[0].toString()):
+            parts.append(f"{status[0].toString()}:{status[1].getLen()}:{status[1].getModificationTime()}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()
+
+
+def kept_for(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A result computed once for the files it is made of: kept in the application's scratch folder under the name and the sources'
+    fingerprint, computed anew when one of them is another file. Vectors of a model are kept the same way, with the model's name in `name`."""
+    path = f"{scratch_root(spark)}/{name}-{fingerprint(spark, *sources)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Removes at once what `write_through` and the ledgers of queries left in the shared folder; results read from it are gone afterwards."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
