@@ -15,7 +15,8 @@ from hanmaru.session import write_through
 
 NUMERIC = (
     "similarity", "function_similarity", "core_match", "shared", "base_only", "target_only", "shared_categories", "different_categories",
-    "shared_share", "score_gap", "core_gap", "weak_core", "no_shared",
+    "shared_share", "score_gap", "core_gap", "weak_core", "no_shared", "base_size", "target_size", "size_gap", "base_cover", "target_cover", "category_share", "lowest", "highest", "mean_score",
+    "product_score", "high_score", "high_low_core", "cold", "single_shared", "broad_target", "narrow_base", "no_category", "reasoned", "cautioned", "score_missing",
 )
 NOMINAL = ("algorithm_version",)
 
@@ -28,6 +29,13 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     def size(c: str) -> Column:
         return F.size(json_names(F.col(c))).cast("double")
 
+    def share(part: Column, whole: Column) -> Column:
+        return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+    def flag(condition: Column) -> Column:
+        return condition.cast("double")
+
+    c, e = size("shared_categories_json"), size("different_categories_json")
     s, f, m = score("similarity_score"), score("function_similarity_score"), score("core_match_score")
     a, b, t = size("shared_ingredients_json"), size("base_only_ingredients_json"), size("target_only_ingredients_json")
     return pairs.select(
@@ -36,6 +44,11 @@ def pair_features(pairs: DataFrame) -> DataFrame:
         size("shared_categories_json").alias("shared_categories"), size("different_categories_json").alias("different_categories"),
         F.coalesce(F.try_divide(a, a + b + t), F.lit(0.0)).alias("shared_share"), (s - f).alias("score_gap"), (s - m).alias("core_gap"),
         (m < 0.4).cast("double").alias("weak_core"), (a == 0).cast("double").alias("no_shared"),
+        (a + b).alias("base_size"), (a + t).alias("target_size"), F.abs(b - t).alias("size_gap"), share(a, a + b).alias("base_cover"), share(a, a + t).alias("target_cover"), share(c, c + e).alias("category_share"),
+        F.least(s, f, m).alias("lowest"), F.greatest(s, f, m).alias("highest"), ((s + f + m) / 3).alias("mean_score"), (s * m).alias("product_score"),
+        flag(s >= 0.65).alias("high_score"), flag((s >= 0.65) & (m < 0.4)).alias("high_low_core"), flag((s < 0.45) & (f < 0.4)).alias("cold"), flag(a == 1).alias("single_shared"),
+        flag((b == 0) & (t >= 3)).alias("broad_target"), flag(a + b <= 2).alias("narrow_base"), flag(c == 0).alias("no_category"), flag(F.coalesce("reason", F.lit("")) != "").alias("reasoned"),
+        flag(F.coalesce("caution", F.lit("")) != "").alias("cautioned"), flag(F.col("similarity_score").isNull() | F.isnan("similarity_score")).alias("score_missing"),
     )
 
 

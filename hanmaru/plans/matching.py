@@ -199,6 +199,24 @@ top AS (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY greatest(lex
 """
 )
 
+def _match(a: str, b: str) -> str:
+    """The longest common passage of two texts in SQL: its length k and where it begins in the first, negated, so that the first counts."""
+    return f"list_max(list_transform(range(1, len({a}) + 1), lambda i: {{'k': coalesce(list_max(list_filter(range(1, len({a}) - i + 2), lambda k: contains({b}, {a}[i:i+k-1]))), 0), 'i': -i}}))"
+
+
+def ratio_sql(pairs: str, keys: str) -> str:
+    """CTEs for SQL: `ratios` (the columns `keys`, ratio) of the relation `pairs` (keys, a, b): common passages are matched, the longest first,
+    then what is before and after them on both sides."""
+    return f"""seg AS (
+  SELECT {keys}, a, b, {_match('a', 'b')} AS m, 0 AS depth FROM {pairs}
+  UNION ALL SELECT {keys}, a, b, {_match('a', 'b')}, depth FROM (
+    SELECT {keys}, depth + 1 AS depth, CASE WHEN side = 0 THEN a[1:-m.i-1] ELSE a[m.k-m.i:] END AS a,
+      CASE WHEN side = 0 THEN left(b, instr(b, a[-m.i:m.k-m.i-1]) - 1) ELSE substr(b, instr(b, a[-m.i:m.k-m.i-1]) + m.k) END AS b
+    FROM seg, (VALUES (0), (1)) AS sides(side) WHERE m.k > 0) WHERE a <> '' AND b <> ''),
+sums AS (SELECT {keys}, sum(m.k) AS matched FROM seg GROUP BY ALL),
+ratios AS (SELECT p.*, round(2.0 * matched / (len(a) + len(b)), 6) AS ratio FROM sums JOIN {pairs} p USING ({keys}))"""
+
+
 QUERIES = {f.__name__: f for f in (cascade_match, cascade_trace, unique_alias, lexical_candidates, hybrid_candidates, hybrid_decision, fuzzy_names, embedding_topk, missing_targets)}
 SQL = {
     "cascade_match": _NAMES
@@ -212,6 +230,11 @@ SELECT n.ingredient_id, b.tier_name, b.entry FROM names n LEFT JOIN best b ON n.
     "hybrid_decision": _HYBRID
     + """, d AS (SELECT *, max(CASE WHEN rk > 1 THEN vector END) OVER (PARTITION BY name_key) AS second FROM top)
 SELECT name_key, entry, CASE WHEN lexical >= 0.95 THEN 'lexical' ELSE 'vector' END AS method FROM d WHERE rk = 1 AND (lexical >= 0.95 OR vector >= 0.92 AND round(vector - coalesce(second, 0), 6) >= 0.08)""",
+    "fuzzy_names": _NAMES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, pairs AS (SELECT DISTINCT name_key, entry, name_key AS a, entry_key AS b FROM names, entries WHERE len(name_key) >= 3 AND 2 * least(len(name_key), len(entry_key)) >= 0.77 * (len(name_key) + len(entry_key))),
+"""
+    + ratio_sql("pairs", "name_key, entry")
+    + " SELECT name_key, entry, ratio FROM ratios WHERE ratio >= 0.78",
     "embedding_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
 SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, round(list_cosine_similarity(q.e, c.e), 6) AS cosine,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.vec_id) AS rk

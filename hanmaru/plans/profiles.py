@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hanmaru.functions import text
 from hanmaru.operators import matching, rows, vectors
-from hanmaru.plans.matching import FOREIGN
+from hanmaru.plans.matching import FOREIGN, ratio_sql
 from hanmaru.plans.similarity import CAT, IMAP, MAIN, PAIRS, SEM, VEC, _with, imap, kept_semantic, main_category_of, top_of, vec
 from hanmaru.plans.tables import CACHE, INGREDIENTS, _key
 from hanmaru.sources.tables import table
@@ -198,6 +198,11 @@ SELECT n.main, CAST(sum(w) AS BIGINT) AS weighted, CAST(sum(p) AS BIGINT) AS pla
     "keyword_search": "WITH r AS (SELECT DISTINCT report_no, product_name, concat_ws(' ', product_name, company_name, raw_ingredients) AS h FROM catalog_product_master)\nSELECT DISTINCT report_no, product_name, hits FROM (SELECT *, "
     + " + ".join(f"CAST(contains(h, '{w}') AS INTEGER)" for w in WORDS)
     + " AS hits FROM r) WHERE hits > 0",
+    "product_search": f"""WITH RECURSIVE r AS (SELECT DISTINCT report_no, coalesce(product_name, '') AS product_name, {_key('product_name')} AS a, '{"".join(ASKED.split())}' AS b FROM catalog_product_master WHERE report_no IS NOT NULL),
+pairs AS (SELECT * FROM r WHERE a <> '' AND NOT contains(a, b)),
+{ratio_sql("pairs", "report_no, product_name")},
+f AS (SELECT report_no, product_name, a, 2 AS tier, ratio FROM ratios WHERE ratio >= 0.55 UNION ALL SELECT report_no, product_name, a, CASE WHEN a = b THEN 0 ELSE 1 END, 1.0 FROM r WHERE contains(a, b))
+SELECT report_no, product_name, tier, CAST(ratio AS DOUBLE) AS ratio FROM f ORDER BY tier, ratio DESC, len(a), product_name, report_no LIMIT 20""",
     "entry_batches": """WITH n AS (SELECT functional_ingredient_name AS name, row_number() OVER (ORDER BY functional_ingredient_name) AS n FROM functional_category_map)
 SELECT CAST((n - 1) // 25 AS BIGINT) AS batch_no, count(*) AS items, printf('%03d-%03d', min(n), max(n)) AS label, string_agg(name, '|' ORDER BY name) AS names FROM n GROUP BY 1""",
     "upload_dedupe": """SELECT product_id, nullif(profile_signature, '') AS profile_signature FROM uploaded_product_master WHERE is_candidate_enabled

@@ -10,7 +10,7 @@ from hanmaru.operators.rows import latest_by_key, replace_keys
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Events and distinct seconds per window and key; events later than the watermark are dropped by the engine. Works on a stream and on
+    """Events per window and key; events later than the watermark are dropped by the engine. Works on a stream and on
     a table alike."""
     return events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("events")).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "events"
@@ -70,3 +70,11 @@ class LatestStore:
 def merge_vectors(state: DataFrame, changed: DataFrame) -> DataFrame:
     """Index maintenance for (owner, item, weight): the rows of changed owners are replaced by their new ones."""
     return replace_keys(state, changed, ["owner"])
+
+
+def merge_frequencies(frequencies: DataFrame, state: DataFrame, changed: DataFrame) -> DataFrame:
+    """(item, df) after the same change: only the items of changed owners gain or lose, each an owner; items of none go."""
+    old = state.join(changed.select("owner").distinct(), "owner", "left_semi").select("item", F.lit(-1).alias("n"))
+    moved = old.unionByName(changed.select("item", F.lit(1).alias("n"))).groupBy("item").agg(F.sum("n").alias("n"))
+    out = frequencies.join(moved, "item", "full_outer").select("item", (F.coalesce("df", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("df"))
+    return out.where("df > 0")

@@ -30,5 +30,15 @@ def test_matching_and_recommendations(spark, small):
 def test_similar(spark, small):
     cache = table(spark, small, "product_similarity_explanation_cache")
     base = cache.groupBy("base_product_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "base_product_id").first().base_product_id
-    got = [r.similarity_score for r in Engine(spark, small).similar(base, 5).collect()]
+    engine = Engine(spark, small)
+    got = [r.similarity_score for r in engine.similar(base, 5).collect()]
     assert got == sorted(got, reverse=True) and len(got) == 5
+    fresh = engine.similar(base, 5, refresh=True).collect()
+    assert fresh == engine.similar(base, 5, refresh=True).collect()
+    vectors = {}
+    for r in engine.vectors().collect():
+        vectors.setdefault(r.product_id, {})[r.item] = r.weight
+    mine = vectors[base]
+    score = lambda v: sum(w for i, w in v.items() if i in mine) / sum({**v, **mine}.values())
+    want = sorted(((round(score(v), 6), p) for p, v in vectors.items() if p != base and v.keys() & mine.keys()), key=lambda x: (-x[0], x[1]))[:5]
+    assert [(round(r.similarity_score, 5), r.target_product_id) for r in fresh] == [(round(s, 5), p) for s, p in want]

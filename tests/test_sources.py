@@ -65,3 +65,54 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_typed_columns_and_retries(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,ok,tags\n1,Yes,\"[\"\"x\"\", \"\"y\"\"]\"\n2,?,a|b\n", encoding="utf-8")
+    got = files.read_csv(spark, str(tmp_path / "a.csv"), {"id": "int", "ok": "boolean", "tags": "list"}).collect()
+    assert [tuple(r) for r in got] == [(1, True, ["x", "y"]), (2, None, ["a", "b"])]
+    for name, rows in (("run", '{"k": "a", "n": 1}\n{"k": "b", "n": 1}\n'), ("retry", '{"k": "a", "n": 2}\n')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part_1.jsonl").write_text(rows)
+    parts = files.read_parts(spark, [str(tmp_path / "run")], SCHEMA, [str(tmp_path / "retry")], ["k"]).collect()
+    assert sorted((r.k, r.n, r.part_dir) for r in parts) == [("a", 2, "retry"), ("b", 1, "run")]
+
+
+def test_response_wrappers(spark):
+    lines = [
+        json.dumps({"response": {"body": {"choices": [{"message": {"content": "```json\n{\"a\": 1}\n```"}}]}}}), json.dumps({"candidates": [{"content": {"parts": [{"text": "{\"a\":"}, {"text": " 2}"}]}}]}),
+        json.dumps({"output": [{"content": [{"text": "x {\"a\": 3} y"}]}]}), '{"a": 4}',
+    ]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in lines], "t string").select(files.response_json(F.col("t"))).collect()]
+    assert [json.loads(g)["a"] for g in got] == [1, 2, 3, 4]
+
+
+def test_backup_results_refresh_and_rest(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert files.write_table(spark.range(3), path, backup=True) is None
+    old = files.write_table(spark.read.parquet(path).where("id > 0"), path, backup=True)
+    assert spark.read.parquet(old).count() == 3 and spark.read.parquet(path).count() == 2
+    files.write_table(spark.range(1), path, mode="append")
+    assert spark.read.parquet(path).count() == 3
+    failed = spark.createDataFrame([(1, "bad"), (2, "bad")], "id int, error string")
+    assert sorted(tuple(r) for r in files.write_results(spark.range(4), failed, str(tmp_path / "r")).collect()) == [("bad", 2), ("rows", 4)]
+    source, target = str(tmp_path / "s"), str(tmp_path / "u")
+    spark.range(2).write.parquet(source)
+    build = lambda: spark.read.parquet(source)
+    assert [files.refresh_table(spark, source, target, build) for _ in range(2)] == [True, False]
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert files.refresh_table(spark, source, target, build) and spark.read.parquet(target).count() == 5
+    done = str(tmp_path / "d")
+    handle = lambda df: df.withColumn("error", F.when(F.col("id") == 2, "late"))
+    assert [files.process_rest(spark.range(n), "id", done, handle) for n in (3, 5)] == [3, 3]  # the failed row again, and two new ones
+
+
+def test_kept_for_follows_the_files(spark, tmp_path):
+    from hanmaru.session import kept_for
+
+    source, built = str(tmp_path / "s"), []
+    spark.range(2).write.parquet(source)
+    build = lambda: built.append(1) or spark.read.parquet(source)
+    assert [kept_for(spark, "test", [source], build).count() for _ in range(2)] == [2, 2] and len(built) == 1
+    spark.range(3).write.mode("overwrite").parquet(source)
+    assert kept_for(spark, "test", [source], build).count() == 3 and len(built) == 2

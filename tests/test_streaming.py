@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from hanmaru.streaming.progress import LatestStore, merge_vectors, windowed_counts
+from hanmaru.streaming.progress import LatestStore, merge_frequencies, merge_vectors, windowed_counts
 
 T0 = datetime(2025, 1, 1)
 
@@ -41,3 +41,10 @@ def test_merge_vectors(spark):
     s = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "owner int, item string, weight double")
     c = spark.createDataFrame([(1, "c", 2.0)], "owner int, item string, weight double")
     assert sorted(tuple(r) for r in merge_vectors(s, c).collect()) == [(1, "c", 2.0), (2, "b", 1.0)]
+
+
+def test_merge_frequencies(spark):
+    s = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "c")], "owner int, item string")
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "item string, df long")
+    c = spark.createDataFrame([(1, "b"), (1, "d"), (4, "c")], "owner int, item string")
+    assert sorted(tuple(r) for r in merge_frequencies(df, s, c).collect()) == [("b", 2), ("c", 2), ("d", 1)]
