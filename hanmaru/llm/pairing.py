@@ -1,33 +1,13 @@
-"""Pairs within groups, with large groups cut into chunks that meet each other in separate tasks."""
+"""Pairs within groups, and parts no key fills alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanmaru.session import write_through
+from hanmaru.operators.skew import BROADCAST_ROWS, CHUNK, hot_groups, look_up, meet_within
 
-#: Up to so many rows of a looked-up table are broadcast (a few MB); beyond, it is joined by shuffle, every row at each of so many salts.
-BROADCAST_ROWS = 200_000
-SALTS = 64
-#: Rows of a group that may meet in one task; larger groups are cut. The same at every size.
-CHUNK = 4000
-
-
-def look_up(rows: DataFrame, table: DataFrame, on: list[str], salt: Column, how: str = "left") -> DataFrame:
-    """`rows` joined with a table of one row per key, also where one key holds a large share of the rows: a table of up to
-    `BROADCAST_ROWS` rows is broadcast; a larger one is repeated for every salt and the rows are spread by a hash of `salt`, so that
-    no task holds all rows of a key."""
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
-
-
-def hot_groups(df: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """The groups with more than `limit` rows, and their sizes (group_rows)."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"))
-    return write_through(sizes.where(F.col("group_rows") > limit), "hot-groups")
+__all__ = ["BROADCAST_ROWS", "CHUNK", "hot_groups", "look_up", "meet_within", "pairs_within", "spread"]
 
 
 def spread(df: DataFrame, key: str, parts: int, into: str) -> DataFrame:
@@ -40,34 +20,6 @@ def spread(df: DataFrame, key: str, parts: int, into: str) -> DataFrame:
     return marked.withColumn(into, F.pmod(F.xxhash64(key, own), F.lit(parts)).cast("int")).drop("group_rows", "__place")
 
 
-def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = CHUNK, maybe_hot: Column | None = None) -> DataFrame:
-    """Joins the rows of each group with each other: columns `l` and `r`, structs of all columns of `df`. Every pair of two
-    different rows comes out at least in one order; the caller keeps the order and the pairs wanted.
-
-    A group of more than `chunk` rows is cut by a hash of the key into chunks; each pair of chunks is a join key of its own, so no
-    task ever holds a group. Rows with a null in `group` meet nothing. `maybe_hot`: a condition that all rows of groups larger than
-    `chunk` fulfil, to look for those among fewer rows.
-    """
-    rows = df
-    for name in group:
-        rows = rows.where(F.col(name).isNotNull())
-    hot = hot_groups((rows.where(maybe_hot) if maybe_hot is not None else rows).select(*group), group, chunk)
-    parts = F.coalesce(F.ceil(F.col("group_rows") / F.lit(chunk)), F.lit(1)).cast("int")
-    placed = look_up(rows, hot, group, F.col(key)).withColumn("__parts", parts).drop("group_rows")
-    part = F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")
-    cells = placed.withColumn("__part", part).withColumn("__meets", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    side = cells.select(
-        *group, F.least("__part", "__meets").alias("__low"), F.greatest("__part", "__meets").alias("__high"), "__part",
-        F.struct(*df.columns).alias("row"),
-    )
-    on = [*group, "__low", "__high"]
-    left, right = side.alias("a"), side.alias("b")
-    both = left.join(right, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
-    # a cell of two different chunks holds both chunks on either side: only rows of different chunks are its own
-    own = (F.col("a.__low") == F.col("a.__high")) | (F.col("a.__part") != F.col("b.__part"))
-    return both.where(own).select(F.col("a.row").alias("l"), F.col("b.row").alias("r"))
-
-
 def pairs_within(df: DataFrame, group: str, key: str, differ: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """(left_key, right_key): all pairs of different keys of a group, smaller key first; with `differ`, only of rows that differ
     in that column. Rows with a null group make no pairs."""
