@@ -35,6 +35,10 @@ class Engine:
         both = rows.union_padded(("catalog", catalog.withColumn("product_id", F.concat(F.lit("catalog::"), "report_no"))), ("upload", uploads))
         return both.select("product_id", "report_no", "product_name", "company_name", "raw_ingredients", "origin")
 
+    def product_ids(self) -> DataFrame:
+        """The ids of all products."""
+        return self._products().select("product_id")
+
     def search_products(self, query: str, limit: int = 20) -> DataFrame:
         """Products whose name's key equals or contains the query's, then those spelled alike (`plans.profiles.search_names`)."""
         return search_names(self._products(), "product_name", query, limit)

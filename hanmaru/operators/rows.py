@@ -126,3 +126,10 @@ def join_labels(labels: DataFrame, rows: DataFrame, group: str, item: str, rank:
     marked = marked.withColumn("error", error)
     joined = marked.where(F.col("error").isNull()).select(*[F.col(c) if c not in (item, rank) else F.col(f"__row.{c}").alias(c) for c in labels.columns], *[F.col(f"__row.{c}").alias(c) for c in rows.columns if c not in labels.columns])
     return joined, marked.where(F.col("error").isNotNull()).select(*labels.columns, "error")
+
+
+def flat_lists(df: DataFrame, column: str, place: str) -> DataFrame:
+    """One row per item of a list of structs: its fields as columns, its place from 0, and the other columns; rows without items go."""
+    item = F.posexplode(column).alias(place, "__item")
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, item).select(*others, place, "__item.*")

@@ -202,11 +202,69 @@ def evaluation_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def role_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The map from ingredient to role of every upload, as text in order of names."""
+    v = _upload_vector(spark, d).groupBy("product_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ingredient", "role")))).alias("roles"))
+    return v.select("product_id", F.array_join(F.transform(F.map_entries("roles"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("roles"))
+
+
+def snapshot_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot with the three best targets of a base as a list, and that list as rows again, with their places."""
+    r = table(spark, d, CACHE, "base_product_id", "target_product_id", "similarity_score").where(F.col("similarity_score").isNotNull() & ~F.isnan("similarity_score"))
+    best = r.groupBy("base_product_id", "target_product_id").agg(F.max("similarity_score").alias("score"))
+    w = Window.partitionBy("base_product_id").orderBy(F.desc("score"), "target_product_id")
+    nested = best.withColumn("i", F.row_number().over(w)).where("i <= 3").groupBy("base_product_id").agg(F.array_sort(F.collect_list(F.struct("i", "target_product_id", "score"))).alias("recommendations"))
+    return rows.flat_lists(nested, "recommendations", "place").select("base_product_id", F.col("place") + 1, "target_product_id", "score").toDF("base_product_id", "place", "target_product_id", "score")
+
+
+#: Topics with their category and the words of a name that also tell it.
+TOPICS = {"bone": ("뼈 편안", ["칼슘", "뼈"]), "stomach": ("위 편안", ["위", "속편"]), "sleep": ("수면 리듬", ["수면", "잠"]), "antioxidant": ("항산화", ["항산화", "비타민c"])}
+
+
+def topic_products(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of every topic: of its category, or with one of its words in the name."""
+    r = table(spark, d, "uploaded_product_master", "product_id", "product_main_category", "product_name")
+    hits = F.array_compact(F.array(*[F.when((F.coalesce("product_main_category", F.lit("")) == c) | text.contains_any(F.col("product_name"), words), k) for k, (c, words) in TOPICS.items()]))
+    return r.select(F.explode(hits).alias("topic"), "product_id").groupBy("topic").agg(F.count(F.lit(1)).alias("products"))
+
+
+def sub_categories(spark: SparkSession, d: str) -> DataFrame:
+    """All sub categories met with a main category, in the order of the entries they are first met in."""
+    r = table(spark, d, "functional_category_map", "category_main", "category_sub", "functional_ingredient_name")
+    return groups.ordered_text(r, "category_main", "functional_ingredient_name", "category_sub", "|", cut=r"\|")
+
+
+def high_score_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with a score of 0.65 or more by several views at once: how many, and how many of low substitutability."""
+    r = table(spark, d, CACHE, "similarity_score", "algorithm_version", "substitutability", "shared_ingredients_json", "core_match_score").where(~F.isnan("similarity_score") & (F.col("similarity_score") >= 0.65))
+    n = F.least(F.size(text.json_names(F.col("shared_ingredients_json"))), F.lit(8))
+    views = {"version": F.coalesce("algorithm_version", F.lit("-")), "bin": F.format_number(F.floor(F.round(F.col("similarity_score") * 20, 6)) / 20, 2), "shared": n.cast("string"), "core": F.when(F.isnan("core_match_score") | F.col("core_match_score").isNull(), "-").when(F.col("core_match_score") < 0.4, "low").otherwise("high")}
+    seen = r.select("substitutability", F.explode(F.array(*[F.struct(F.lit(k).alias("view"), v.alias("value")) for k, v in views.items()])).alias("x"))
+    return seen.groupBy("x.view", "x.value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("substitutability") == "low").alias("low"))
+
+
+def category_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """How many different categories an upload's ingredients have in the reference list, of all and of the primary ones."""
+    listed = table(spark, d, "functional_category_map", F.col("functional_ingredient_name").alias("ingredient"), F.col("category_main").alias("category")).where("category <> ''")
+    known = _upload_vector(spark, d).join(F.broadcast(listed), "ingredient")  # the fixed list
+    return known.groupBy("product_id").agg(F.count_distinct("category").alias("categories"), F.count_distinct(F.when(F.col("role") == "primary", F.col("category"))).alias("primary_categories"))
+
+
+def grade_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of the uploads under one label each, however they are written, and their warnings by severity (first rule that fits)."""
+    r = table(spark, d, "uploaded_product_master", "quality_grade", "quality_warnings_json")
+    grade = F.coalesce(F.nullif(text.label_of(F.coalesce("quality_grade", F.lit("")), {x.lower(): x for x in "ABCD"}), F.lit("")), F.lit("-"))
+    severity = lambda w: text.first_rule(text.fold(w), [("fail|missing|error", "critical"), ("low|short|unclear", "warning")], F.lit("info"))
+    worst = F.transform(text.clean_array(text.json_names(F.col("quality_warnings_json"))), severity)
+    count = lambda k: F.sum(F.size(F.filter(worst, lambda x: x == k))).alias(k)
+    return r.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("uploads"), *[count(k) for k in ("critical", "warning", "info")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         first_values, ingredients_per_product, most_ingredients, catalog_backfill, upload_corrections, pair_defaults, label_join, runs_compared, label_lines, primary_order, product_keys,
-        valid_names, name_aliases, upload_vector, upload_profile, category_ranks, evaluation_metrics,
+        valid_names, name_aliases, upload_vector, upload_profile, category_ranks, evaluation_metrics, role_maps, snapshot_rows, topic_products, sub_categories, high_score_diagnostics, category_diversity, grade_labels,
     )
 }
 
@@ -294,4 +352,24 @@ top AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY s DESC, t) AS rk, s
 per AS (SELECT b, bool_or(o) AS hit, min(rk) FILTER (o) AS first, avg(CAST(g AS INTEGER)) AS good, bool_or(g AND rk = 1) AS good_first, count(DISTINCT coalesce(v, '-')) = 1 AS one, max(s) FILTER (rk = 1) AS score FROM top GROUP BY 1)
 SELECT count(*) AS bases, CAST(count_if(hit) AS BIGINT) AS hits_at_5, round(count_if(hit) / count(*), 4) AS hit_rate, round(avg(first), 6) AS mean_first, round(avg(good), 6) AS mean_good, CAST(count_if(good_first) AS BIGINT) AS good_first,
   CAST(count_if(one) AS BIGINT) AS one_version, round(avg(score), 6) AS mean_score FROM per""",
+    "role_maps": _UV + " SELECT product_id, string_agg(ingredient || '=' || role, '|' ORDER BY ingredient) AS roles FROM uv GROUP BY 1",
+    "snapshot_rows": f"""WITH b AS (SELECT base_product_id, target_product_id, max(similarity_score) AS score FROM {CACHE} WHERE {_VALID} GROUP BY 1, 2)
+SELECT base_product_id, CAST(row_number() OVER (PARTITION BY base_product_id ORDER BY score DESC, target_product_id) AS INTEGER) AS place, target_product_id, score FROM b QUALIFY place <= 3""",
+    "topic_products": "WITH u AS (SELECT coalesce(product_main_category, '') AS c, replace(lower(coalesce(product_name, '')), ' ', '') AS n FROM uploaded_product_master)\n"
+    + "\nUNION ALL ".join(f"SELECT '{k}' AS topic, count(*) AS products FROM u WHERE c = '{c}' OR {' OR '.join(f"contains(n, '{w}')" for w in ws)} HAVING count(*) > 0" for k, (c, ws) in TOPICS.items()),
+    "sub_categories": """WITH e AS (SELECT category_main, functional_ingredient_name AS o, unnest(string_split(category_sub, '|')) AS s, generate_subscripts(string_split(category_sub, '|'), 1) AS p FROM functional_category_map WHERE category_sub <> ''),
+f AS (SELECT category_main, trim(s) AS s, min((o, p)) AS o FROM e WHERE trim(s) <> '' GROUP BY 1, 2)
+SELECT category_main, string_agg(s, '|' ORDER BY o, s) AS category_sub FROM f GROUP BY 1""",
+    "high_score_diagnostics": f"""WITH r AS (SELECT *, substitutability = 'low' AS lo FROM {CACHE} WHERE {_VALID} AND similarity_score >= 0.65),
+v AS (SELECT 'version' AS view, coalesce(algorithm_version, '-') AS value, lo FROM r UNION ALL SELECT 'bin', printf('%.2f', floor(round(similarity_score * 20, 6)) / 20), lo FROM r
+  UNION ALL SELECT 'shared', CAST(least(len({_LIST.format('shared_ingredients_json')}), 8) AS VARCHAR), lo FROM r
+  UNION ALL SELECT 'core', CASE WHEN core_match_score IS NULL OR isnan(core_match_score) THEN '-' WHEN core_match_score < 0.4 THEN 'low' ELSE 'high' END, lo FROM r)
+SELECT view, value, count(*) AS n, CAST(count_if(lo) AS BIGINT) AS low FROM v GROUP BY 1, 2""",
+    "category_diversity": _UV + """ SELECT product_id, count(DISTINCT category_main) AS categories, count(DISTINCT category_main) FILTER (role = 'primary') AS primary_categories
+FROM uv JOIN functional_category_map m ON m.functional_ingredient_name = uv.ingredient WHERE category_main <> '' GROUP BY 1""",
+    "grade_labels": f"""WITH u AS (SELECT coalesce(nullif(CASE WHEN upper(trim(coalesce(quality_grade, ''))) IN ('A', 'B', 'C', 'D') THEN upper(trim(quality_grade)) ELSE trim(coalesce(quality_grade, '')) END, ''), '-') AS grade,
+  list_filter(list_distinct(list_transform({_LIST.format('quality_warnings_json')}, lambda x: lower(trim(x)))), lambda x: x <> '') AS w FROM uploaded_product_master),
+c AS (SELECT grade, list_transform(w, lambda x: CASE WHEN regexp_matches(x, 'fail|missing|error') THEN 'critical' WHEN regexp_matches(x, 'low|short|unclear') THEN 'warning' ELSE 'info' END) AS s FROM u)
+SELECT grade, count(*) AS uploads, CAST(sum(len(list_filter(s, lambda x: x = 'critical'))) AS BIGINT) AS critical, CAST(sum(len(list_filter(s, lambda x: x = 'warning'))) AS BIGINT) AS warning,
+  CAST(sum(len(list_filter(s, lambda x: x = 'info'))) AS BIGINT) AS info FROM c GROUP BY 1""",
 }
