@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -335,6 +336,7 @@ class Reader:
         return rows
 
 
+@lru_cache(maxsize=200_000)
 def pairs_of_letters(kind: str, stem: str) -> list[str]:
     """The set a stem is compared by: its pairs of neighbouring letters, ends included."""
     text = f"^{letters(stem)}$"
@@ -442,6 +444,10 @@ def map_names(values: DataFrame, entries: DataFrame, lexicon: Lexicon = SUPPLEME
     similar = similarity_join(hashed(stems), hashed(reference), threshold)
     listed = reference.select("id", "entry", "ref_stem", "ref_part", "several")
     met = similar.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, F.col("right_id") == F.col("id"))
+    # what one slip cannot do: change the length by more than one, or both ends of a word of three characters or more
+    a, b = F.col("left_id.stem"), F.col("ref_stem")
+    ends = (F.length(b) <= 2) | (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) | (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
+    met = met.where((F.abs(F.length(a) - F.length(b)) <= 1) & ends)
     lettered = lexicon.lettered
     alike = F.pandas_udf(lambda a, b: pd.Series([spelled_alike(x, y, lettered) for x, y in zip(a, b, strict=True)], dtype="int32"), "int", F.PandasUDFType.SCALAR)
     close = met.select(F.col("left_id.kind").alias("kind"), F.col("left_id.stem").alias("stem"), "entry", "ref_stem", "ref_part", "several", "jaccard").withColumn("slip", alike("stem", "ref_stem")).where("slip < 2")
