@@ -1,6 +1,6 @@
 """All similar pairs between set-valued records: metric pivot partitioning under Jaccard distance.
 
-Pivots are a bounded sample of the sets. A set lives in the ball of its nearest pivot if it is within `radius` of it, else in
+Pivots are a bounded number of the sets, those with the most copies, as families of near-copies gather round such. A set lives in the ball of its nearest pivot if it is within `radius` of it, else in
 the outer cell. The triangle inequality bounds where its partners (distance at most r = 1 - threshold) can live:
 
 * a partner living in ball q is within `radius` of q, and no farther from q than from the pivot nearest to this set; so this
@@ -15,6 +15,8 @@ full. A pair is given out in one cell only. Equal sets are joined once, as one r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,19 @@ def _cells(ordered: DataFrame, pivot_sizes: list[int], threshold: float, radius:
     return out.withColumn("cells", F.concat(F.array("home"), visits, outer)).drop("dist", "d0")
 
 
-def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int = 16, radius: float = 0.55, hot_share: int = 10_000, chunk: int = 4000) -> DataFrame:
-    """(left_id, right_id): all pairs of distinct sets (scope, set_id, tokens) of one scope with Jaccard similarity >= threshold."""
+def pivots_for(sets: int) -> int:
+    """How many pivots so many distinct sets get: 16, more from 65,536 sets on with their square root, and 256 at most. Every set is
+    compared with every pivot it shares a value with, and the pivots are broadcast, so their number is bounded."""
+    return min(256, max(16, math.isqrt(sets) // 16))
+
+
+def similar_distinct_sets(sets: DataFrame, threshold: float, pivots: int | None = None, radius: float = 0.55, hot_share: int = 10_000, chunk: int = 4000) -> DataFrame:
+    """(left_id, right_id): all pairs of distinct sets (scope, set_id, tokens, copies) of one scope with Jaccard similarity >= threshold."""
     r = 1 - threshold
     if radius + r >= 1:
         raise ValueError("radius must stay below the threshold, else every set would visit every pivot")
-    sample = [row.set_id for row in sets.orderBy("set_id").limit(pivots).select("set_id").collect()]  # at most `pivots` rows
+    pivots = pivots_for(sets.count()) if pivots is None else pivots
+    sample = [row.set_id for row in sets.orderBy(F.desc("copies"), "set_id").limit(pivots).select("set_id").collect()]  # at most `pivots` rows
     order = {s: i for i, s in enumerate(sample)}
     chosen = [(row.scope, order[row.set_id], row.tokens) for row in sets.where(F.col("set_id").isin(sample)).collect()] if sample else []
     spark = sets.sparkSession
@@ -117,7 +126,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.7, **options: int | f
     members = keyed.select("scope", "set_id", "key")
     equal = pairs_within(members.join(several, "set_id").select("set_id", F.struct("scope", "key").alias("member")), "set_id", "member")
     equal = equal.select(F.col("left_key.scope").alias("scope"), F.col("left_key.key").alias("a"), F.col("right_key.key").alias("b"))
-    links = similar_distinct_sets(distinct.select("scope", "set_id", "tokens"), threshold, **options)
+    links = similar_distinct_sets(distinct, threshold, **options)
     other = (
         links.join(members.select(F.col("set_id").alias("left_id"), "scope", F.col("key").alias("a")), "left_id")
         .join(members.select(F.col("set_id").alias("right_id"), F.col("key").alias("b")), "right_id")

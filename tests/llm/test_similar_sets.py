@@ -3,7 +3,7 @@ import random
 import pytest
 
 from hanmaru.llm.pairing import pairs_within
-from hanmaru.llm.similar_sets import similar_distinct_sets, similar_pairs
+from hanmaru.llm.similar_sets import pivots_for, similar_distinct_sets, similar_pairs
 
 
 def brute(sets, t):
@@ -55,3 +55,7 @@ def test_pairs_within_hot_group(spark):
     got = [tuple(r) for r in pairs_within(df, "g", "k", chunk=10).collect()]
     assert len(got) == len(set(got)) == 90 * 89 // 2 + 1
     assert pairs_within(df, "g", "k", "d", chunk=10).count() == 45 * 45
+
+
+def test_number_of_pivots_is_bounded():
+    assert [pivots_for(n) for n in (0, 60_000, 1_000_000, 10**12)] == [16, 16, 62, 256]
