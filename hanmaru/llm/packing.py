@@ -13,7 +13,8 @@ import copy
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from hanmaru.llm.pairing import spread
 from hanmaru.llm.tokens import VOCABULARY_SIZE, token_sizes
 from hanmaru.session import write_through
 
+COLUMNS = ("pack_name", "shard", "container", "position", "doc_id", "token_from", "tokens", "retrieved")
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: A container takes neighbours until less than this share of it is free, then whatever fits best.
@@ -196,19 +198,22 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, bags: list[np.ndarray], index
     return rows
 
 
-def _pack(capacities: list[tuple[str, int]], idf: np.ndarray, mean_length: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable")
-        ids, sizes = frame["doc_id"].to_numpy(), frame["n_tokens"].to_numpy().astype(np.int64)
-        bags = [np.asarray(b, dtype=np.int64) for b in frame["token_ids"]]
-        index = Index(bags, [np.asarray(c) for c in frame["token_counts"]], sizes, idf, mean_length)
-        shard = int(frame["shard"].iloc[0])
+def _pack(capacities: list[tuple[str, int]], idf: np.ndarray, mean_length: float) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        ids, sizes = table.column("doc_id").chunk(0), table.column("n_tokens").to_numpy().astype(np.int64)
+        tokens, counts = table.column("token_ids").chunk(0), table.column("token_counts").chunk(0)
+        cuts = np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))[:-1]
+        bags = np.split(tokens.flatten().to_numpy().astype(np.int64), cuts)
+        index = Index(bags, np.split(counts.flatten().to_numpy(), cuts), sizes, idf, mean_length)
+        shard = table.column("shard")[0].as_py()
         parts = []
         for name, capacity in capacities:
-            rows = pack_shard(ids, sizes, bags, index, capacity)
+            rows = pack_shard(np.arange(len(sizes)), sizes, bags, index, capacity)
             c, p, i, o, n, r = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, dtype=np.int64)] * 6
-            parts.append(pd.DataFrame({"pack_name": name, "shard": shard, "container": c, "position": p, "doc_id": ids[i], "token_from": o, "tokens": n, "retrieved": r.astype(bool)}))
-        return pd.concat(parts, ignore_index=True)
+            fixed = [pa.array([name] * len(c), pa.string()), pa.array(np.full(len(c), shard, dtype=np.int32))]
+            parts.append(pa.table([*fixed, pa.array(c), pa.array(p), ids.take(pa.array(i)), pa.array(o), pa.array(n), pa.array(r.astype(bool))], names=list(COLUMNS)))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -233,7 +238,7 @@ def pack_documents(docs: DataFrame, key: str, text: str, capacities: list[tuple[
     shards = max(1, -(-total // shard_tokens))
     placed = spread(sized, "doc_id", shards, "shard")
     schema = f"pack_name string, shard int, container bigint, position bigint, doc_id {dict(sized.dtypes)['doc_id']}, token_from bigint, tokens bigint, retrieved boolean"
-    return placed.groupBy("shard").applyInPandas(_pack(capacities, idf, total / count), schema).withColumnRenamed("doc_id", key)
+    return placed.groupBy("shard").applyInArrow(_pack(capacities, idf, total / count), schema).withColumnRenamed("doc_id", key)
 
 
 def fill_report(packed: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,20 @@ def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):  # noqa: A
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Documents whose tokens are counted together.
+COUNTED_DOCS = 256
+
+
+def _bags(ids: list[np.ndarray]) -> tuple[pa.ListArray, pa.ListArray]:
+    """The distinct tokens of each text and how often each occurs, by one sort of all."""
+    owner = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) for x in ids])
+    pairs, counts = np.unique(owner << 32 | np.concatenate(ids).astype(np.int64), return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(len(ids) + 1, dtype=np.int64) << 32).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (pairs & 0xFFFFFFFF, counts))
+
+
 def _tokenise(folder: str, vocabulary: str, bags: bool):  # noqa: ANN202
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64 as b64
 
         import tiktoken
@@ -40,13 +52,18 @@ def _tokenise(folder: str, vocabulary: str, bags: bool):  # noqa: ANN202
         with open(f"{folder}/{vocabulary}", "rb") as lines:
             ranks = {b64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        for frame in frames:
-            ids = [coder.encode_ordinary(t) for t in frame["text"]]
-            out = frame.drop(columns=["text"]).assign(n_tokens=[len(x) for x in ids])
-            if bags:
-                pairs = [np.unique(np.asarray(x, dtype=np.int32), return_counts=True) for x in ids]
-                out = out.assign(token_ids=[a.astype(np.int32) for a, _ in pairs], token_counts=[b.astype(np.int32) for _, b in pairs])
-            yield out
+        for whole in batches:
+            for start in range(0, whole.num_rows, COUNTED_DOCS):
+                batch = whole.slice(start, COUNTED_DOCS)
+                kept = [n for n in batch.schema.names if n != "text"]
+                ids = [coder.encode_to_numpy(t, disallowed_special=()) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+                columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+                columns.append(pa.array(np.array([len(x) for x in ids], dtype=np.int32)))
+                names = [*kept, "n_tokens"]
+                if bags:
+                    columns += _bags(ids)
+                    names += ["token_ids", "token_counts"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -57,4 +74,4 @@ def token_sizes(docs: DataFrame, key: str, text: str, *keep: str, bags: bool = F
     rows = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key), *keep, F.col(text).alias("text"))
     types = dict(rows.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in (key, *keep)] + ["n_tokens int"] + (["token_ids array<int>", "token_counts array<int>"] if bags else []))
-    return rows.select(key, *keep, "text").mapInPandas(_tokenise(folder, vocabulary, bags), schema)
+    return rows.select(key, *keep, "text").mapInArrow(_tokenise(folder, vocabulary, bags), schema)
