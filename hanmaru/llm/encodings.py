@@ -30,6 +30,7 @@ READ = ("latin-1", "cp1252", "cp1250", "cp1251", "koi8-r", "mac_roman", "cp437",
 REPEATED = ("latin-1", "cp1252", "mac_roman", "cp437", "cp850", "cp1251")
 
 NON_ASCII = re.compile(r"[^\x00-\x7F]")
+DIGITS = re.compile("[0-9]+")
 #: A run of non-ASCII characters counts as a word of its own from this length; shorter ones also arise by chance.
 LEAST_RUN = 4
 #: An exchange of one letter for another between one-byte encodings is told from two ordinary words from this evidence on.
@@ -197,7 +198,7 @@ def _forms(words: list[str]) -> list[set[str]]:
     out = []
     for word, forms in zip(words, garbled_forms_of([w[2:] for w in words]), strict=True):
         if word[0] == "w":
-            out.append({"w:" + (re.sub(r"[0-9]+", "0", f) if "0" in word else f) for f in forms})
+            out.append({"w:" + DIGITS.sub("0", f) for f in forms})  # some encodings write other scripts with digits
         else:
             out.append({"r:" + f for f in forms if len(f) >= LEAST_RUN})
     return out
