@@ -249,3 +249,15 @@ def test_label_lines(spark):
     assert got == [["비타민C (아스코르브산), 아연 10 mg", "칼슘,분말"], ["비타민, 칼슘, 아연"], [], []] or got[0][0] == "비타민C (아스코르브산), 아연 10 mg"
     tokens = ["· 비타민C (아스코르브산)", "아연 10 mg", "1.5%", "원산지", "x"]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(labels.clean_token(F.col("t"))).collect()] == ["비타민C", "아연", None, None, None]
+
+
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_look_up_small_and_large_tables(spark, monkeypatch, broadcast):
+    from hanmaru.operators import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast)
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)] + [(99, None)], "i long, k string")
+    table = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
+    got = sorted((r.i, r.v) for r in skew.look_up(df, table, ["k"], F.col("i")).collect())
+    assert got == sorted([(i, 1 if i % 3 else 2 if i == 0 else None) for i in range(60)] + [(99, None)])
+    assert skew.look_up(df, table.select("k"), ["k"], F.col("i"), "left_semi").count() == 41
