@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,9 +92,19 @@ def letter_vector(key: Column, size: int = 64) -> Column:
     """A vector of a key without a model: its pairs of neighbouring letters, ends included, counted by a sum of their codes modulo `size`.
     A null or empty key has no vector (null)."""
     framed = F.concat(F.lit("^"), key, F.lit("$"))
-    letters = F.transform(F.sequence(F.lit(1), F.length(framed)), lambda i: F.ascii(F.substring(framed, i, F.lit(1))))
-    places = F.transform(F.sequence(F.lit(1), F.size(letters) - 1), lambda i: (F.element_at(letters, i) * 31 + F.element_at(letters, i + 1)) % size)
-    return F.when(F.length(key) > 0, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.size(F.filter(places, lambda p: p == j)).cast("double")))
+    codes = F.transform(F.sequence(F.lit(1), F.length(framed)), lambda i: F.ascii(F.substring(framed, i, F.lit(1))))
+
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """`body` of a value that is computed once."""
+        return F.transform(F.array(value), body)[0]
+
+    def counts(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.size(F.filter(places, lambda p: p == j)).cast("double"))
+
+    def places(c: Column) -> Column:
+        return F.transform(F.slice(c, 2, F.size(c)), lambda x, i: (F.element_at(c, i + 1) * 31 + x) % size)
+
+    return F.when(F.length(key) > 0, bound(bound(codes, places), counts))
 
 
 def merge_candidates(name: str, entry: str, k: int, **scores: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hanmaru.session import write_through
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of every key in the given order. Only the columns needed for the order meet in a sort; a key with many rows costs a
@@ -115,7 +117,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per_stratum: int, s
 def join_labels(labels: DataFrame, rows: DataFrame, group: str, item: str, rank: str) -> tuple[DataFrame, DataFrame]:
     """(joined, errors): labels meet the rows of their group by the item's id, else, where they have none that is there, by the rank.
     Errors (all label columns and `error`): labels that meet no row, and all but the first label of a row ('duplicate')."""
-    numbered = labels.withColumn("__label", F.monotonically_increasing_id())
+    numbered = write_through(labels.withColumn("__label", F.monotonically_increasing_id()), "labels")  # the numbers must stay what they are
     target = rows.withColumn("__row", F.struct(*rows.columns)).select(F.col(group).alias("__g"), F.col(item).alias("__i"), F.col(rank).alias("__r"), "__row")
     by_id = numbered.join(target.select("__g", "__i", F.col("__row").alias("__by_id")), (F.col(group) == F.col("__g")) & (F.col(item) == F.col("__i")), "left").drop("__g", "__i")
     both = by_id.join(target.select("__g", "__r", F.col("__row").alias("__by_rank")), (F.col(group) == F.col("__g")) & (F.col(rank) == F.col("__r")) & F.col("__by_id").isNull(), "left").drop("__g", "__r")

@@ -31,7 +31,7 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
         text.key_of(text.strip_brackets(F.coalesce("raw_ingredient", F.lit("")))).alias("bare_key"),
         text.key_of(F.col("matched_standard_name")).alias("name_key"),
         "confidence",
-    )
+    ).withColumn("stem_key", text.strip_suffixes(F.col("bare_key"), SUFFIXES))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _tiers(spark: SparkSession, d: str, names: DataFrame) -> list[tuple[str, Dat
     """Normalised key, raw key, the key without brackets, that without endings where only one entry has it, an alias that means one
     standard name, the foreign name, the standard name, the standard name most trusted rows of the same bare key have, and a key of
     five letters or more within the bare one (the longest first)."""
-    entries = _entries(spark, d)
+    entries = write_through(_entries(spark, d), "entries")
     listed, zero = matching.small(entries), [F.lit(0)]
     stems = matching.unique_aliases(entries.select(text.strip_suffixes(F.col("entry_key"), SUFFIXES).alias("stem"), "entry"), "stem", "entry")
     known = names.where((F.col("bare_key") != "") & (F.col("name_key") != "")).select("bare_key", "name_key", "confidence")
@@ -62,7 +62,7 @@ def _tiers(spark: SparkSession, d: str, names: DataFrame) -> list[tuple[str, Dat
         ("normal", listed, F.col("normal_key") == F.col("entry_key"), zero),
         ("raw", listed, F.col("raw_key") == F.col("entry_key"), zero),
         ("bare", listed, F.col("bare_key") == F.col("entry_key"), zero),
-        ("stem", matching.small(stems), text.strip_suffixes(F.col("bare_key"), SUFFIXES) == F.col("stem"), zero),
+        ("stem", matching.small(stems), F.col("stem_key") == F.col("stem"), zero),
         ("alias", aliases, F.col("bare_key") == F.col("alias_key"), zero),
         ("foreign", foreign, F.col("bare_key") == F.col("foreign_key"), zero),
         ("standard", listed, F.col("names.name_key") == F.col("entry_key"), zero),
@@ -73,13 +73,13 @@ def _tiers(spark: SparkSession, d: str, names: DataFrame) -> list[tuple[str, Dat
 
 def cascade_match(spark: SparkSession, d: str) -> DataFrame:
     """Every row of the match cache with the entry of the first tier that finds one."""
-    names = _names(spark, d)
+    names = write_through(_names(spark, d), "keys")  # every tier reads them
     return matching.cascade(names.alias("names"), "ingredient_id", _tiers(spark, d, names))
 
 
 def cascade_trace(spark: SparkSession, d: str) -> DataFrame:
     """What every tier finds for every row of the match cache."""
-    names = _names(spark, d)
+    names = write_through(_names(spark, d), "keys")
     return matching.trace(names.alias("names"), "ingredient_id", _tiers(spark, d, names)).select("ingredient_id", "tier_name", "entry", "place")
 
 
@@ -95,8 +95,8 @@ def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical candidates merged with the nearest by letter vectors, of three times as many those that share two neighbouring letters."""
-    names = _names(spark, d).where(F.length("name_key") >= 3).select("name_key").distinct()
-    entries = _entries(spark, d).select("entry", "entry_key")
+    names = write_through(_names(spark, d).where(F.length("name_key") >= 3).select("name_key").distinct(), "keys")
+    entries = write_through(_entries(spark, d).select("entry", "entry_key"), "entries")
     lexical = matching.lexical_candidates(names, "name_key", entries, "entry_key", "entry", 3, SUFFIXES).select("name_key", "entry", "lexical")
     listed = write_through(entries.select(F.col("entry").alias("t"), F.col("entry_key").alias("k")).distinct().withColumn("id", -1 - F.row_number().over(Window.orderBy("t"))), "list")  # the fixed list
     asked = write_through(names.select(F.col("name_key").alias("t"), F.col("name_key").alias("k")).withColumn("id", F.monotonically_increasing_id()), "names")
