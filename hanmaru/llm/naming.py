@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hanmaru.llm.pairing import BROADCAST_ROWS, hot_groups, look_up
+from hanmaru.llm.pairing import BROADCAST_ROWS, hot_groups, join_shuffled, look_up
 from hanmaru.session import write_through
 
 
@@ -175,6 +175,10 @@ class Reading:
     cost: int
 
 
+#: So many comparisons and endings a worker remembers, about 30 MB each.
+REMEMBERED = 100_000
+
+
 class Reader:
     """Reads names with a lexicon. Endings recur in name after name, so what they are near to is remembered."""
 
@@ -193,7 +197,7 @@ class Reader:
             return 2
         found = self._compared.get((a, b))
         if found is None:
-            if len(self._compared) > 500_000:
+            if len(self._compared) > REMEMBERED:
                 self._compared.clear()
             found = self._compared[a, b] = spelled_alike(a, b, self.lexicon.lettered)
         return found
@@ -202,7 +206,7 @@ class Reader:
         """Whether `tail` without its first character is a preparation but for one slip; `tail` does not end with that preparation."""
         found = self._near_endings.get(tail)
         if found is None:
-            if len(self._near_endings) > 500_000:
+            if len(self._near_endings) > REMEMBERED:
                 self._near_endings.clear()
             end = tail[1:]
             found = self._near_endings[tail] = any(not tail.endswith(p) and self.alike(end, p) == 1 for p in self.of_length[len(end)])
@@ -336,7 +340,7 @@ class Reader:
         return rows
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def pairs_of_letters(kind: str, stem: str) -> list[str]:
     """The set a stem is compared by: its pairs of neighbouring letters, ends included."""
     text = f"^{letters(stem)}$"
@@ -377,11 +381,15 @@ def list_readings(entries: DataFrame, lexicon: Lexicon) -> DataFrame:
     named = entries.select("name", "notes").where(F.col("name") != "").distinct()
     parts = write_through(named.mapInPandas(cut, "name string, notes string, bare string, stem string, part string"), "list-parts")
     siblings = parts.groupBy("stem").agg(F.count(F.lit(1)).alias("siblings"))
-    rows = parts.join(siblings, "stem").select("name", "notes", "bare", "stem", "part", "siblings")
+    rows = join_shuffled(parts, siblings, "stem").select("name", "notes", "bare", "stem", "part", "siblings")
     rows = rows.mapInPandas(read, "entry string, kind string, ref_stem string, ref_part string, tokens array<string>").drop_duplicates(["entry", "kind", "ref_stem", "ref_part"])
     rows = write_through(rows, "list-rows")
     several = rows.groupBy("kind", "ref_stem").agg((F.count_distinct("entry") > 1).cast("int").alias("several"))
-    return write_through(rows.join(several, ["kind", "ref_stem"]).withColumn("id", F.monotonically_increasing_id()), "list-readings")
+    return write_through(join_shuffled(rows, several, ["kind", "ref_stem"]).withColumn("id", F.monotonically_increasing_id()), "list-readings")
+
+
+#: Up to so many sets of the reference side are broadcast with their prefixes (about 1 KB a set).
+FEW_SETS = 20_000
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -401,6 +409,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
     least = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - F.lit(eps))
     lengths = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(eps)
     position = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= least
+    b = F.broadcast(b) if right.count() <= FEW_SETS else b.hint("merge")
     met = a.join(b, F.col("a.token") == F.col("b.token")).where(lengths & position)
     # a pair meets at every token its prefixes share: it counts at the first
     before = F.arrays_overlap(F.slice("a.tokens", F.lit(1), F.col("a.pos")), F.slice("b.tokens", F.lit(1), F.col("b.pos")))
@@ -443,7 +452,7 @@ def map_names(values: DataFrame, entries: DataFrame, lexicon: Lexicon = SUPPLEME
     stems = read.select("kind", "stem", "tokens").distinct().withColumn("id", F.struct("kind", "stem"))
     similar = similarity_join(hashed(stems), hashed(reference), threshold)
     listed = reference.select("id", "entry", "ref_stem", "ref_part", "several")
-    met = similar.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, F.col("right_id") == F.col("id"))
+    met = similar.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed.hint("merge"), F.col("right_id") == F.col("id"))
     # what one slip cannot do: change the length by more than one, or both ends of a word of three characters or more
     a, b = F.col("left_id.stem"), F.col("ref_stem")
     ends = (F.length(b) <= 2) | (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) | (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
@@ -451,7 +460,7 @@ def map_names(values: DataFrame, entries: DataFrame, lexicon: Lexicon = SUPPLEME
     lettered = lexicon.lettered
     alike = F.pandas_udf(lambda a, b: pd.Series([spelled_alike(x, y, lettered) for x, y in zip(a, b, strict=True)], dtype="int32"), "int", F.PandasUDFType.SCALAR)
     close = met.select(F.col("left_id.kind").alias("kind"), F.col("left_id.stem").alias("stem"), "entry", "ref_stem", "ref_part", "several", "jaccard").withColumn("slip", alike("stem", "ref_stem")).where("slip < 2")
-    fits = read.select("name", "kind", "stem", "part", "cost").join(close, ["kind", "stem"]).where((F.col("several") == 0) | (F.col("part") == F.col("ref_part")))
+    fits = join_shuffled(close, read.select("name", "kind", "stem", "part", "cost"), ["kind", "stem"]).where((F.col("several") == 0) | (F.col("part") == F.col("ref_part")))
     fits = fits.withColumn("total", F.col("cost") + F.col("slip")).where("total < 2")
     best = fits.groupBy("name", "entry").agg(F.min(F.struct("total", (-F.col("jaccard")).alias("j"))).alias("rank"))
     chosen = best.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("all"))
@@ -466,7 +475,7 @@ def with_entries(rows: DataFrame, mapped: DataFrame, value: str, key: str, hot_r
     """`rows` joined with their value's entry. Values typed in more than `hot_rows` rows are looked up apart, so that no task holds them all."""
     mapped = write_through(mapped.withColumnRenamed("value", value), "mapped-values")
     hot = hot_groups(rows.select(value), [value], hot_rows).select(value)
-    hot_entries = mapped.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, value, "left_semi").withColumnRenamed("entry", "hot_entry")
+    hot_entries = mapped.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot.hint("merge"), value, "left_semi").withColumnRenamed("entry", "hot_entry")
     marked = look_up(rows, hot_entries, [value], F.col(key))
-    rest = marked.where(F.col("hot_entry").isNull()).drop("hot_entry").join(mapped, value)
+    rest = join_shuffled(marked.where(F.col("hot_entry").isNull()).drop("hot_entry"), mapped, value)
     return rest.unionByName(marked.where(F.col("hot_entry").isNotNull()).withColumnRenamed("hot_entry", "entry"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanmaru.operators.skew import BROADCAST_ROWS, CHUNK, hot_groups, look_up, meet_within
+from hanmaru.operators.skew import BROADCAST_ROWS, CHUNK, hot_groups, join_shuffled, look_up, meet_within
 
-__all__ = ["BROADCAST_ROWS", "CHUNK", "hot_groups", "look_up", "meet_within", "pairs_within", "spread"]
+__all__ = ["BROADCAST_ROWS", "CHUNK", "hot_groups", "join_shuffled", "look_up", "meet_within", "pairs_within", "spread"]
 
 
 def spread(df: DataFrame, key: str, parts: int, into: str) -> DataFrame:

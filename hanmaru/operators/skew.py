@@ -14,6 +14,12 @@ SALTS = 64
 CHUNK = 4000
 
 
+def join_shuffled(left: DataFrame, right: DataFrame, on: list[str] | str | Column, how: str = "inner") -> DataFrame:
+    """A join that is never made a broadcast. The planner guesses a table's size from its files; it knows neither how far they are compressed
+    nor how many rows Python functions and `explode` make of one, and what it broadcasts goes through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def look_up(rows: DataFrame, table: DataFrame, on: list[str], salt: Column, how: str = "left") -> DataFrame:
     """`rows` joined with a table of one row per key, also where one key holds a large share of the rows: a table of up to
     `BROADCAST_ROWS` rows is broadcast; a larger one is repeated for every salt and the rows are spread by a hash of `salt`, so that
@@ -21,7 +27,7 @@ def look_up(rows: DataFrame, table: DataFrame, on: list[str], salt: Column, how:
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, how)
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+    return join_shuffled(rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")), salted, [*on, "__salt"], how).drop("__salt")
 
 
 def hot_groups(df: DataFrame, group: list[str], limit: int) -> DataFrame:

@@ -72,3 +72,16 @@ def test_values_typed_often_are_looked_up_apart(spark):
     mapped = spark.createDataFrame([("a", "A")] + [(f"v{i}", "") for i in range(60)], "value string, entry string")
     got = sorted((r.id, r.entry) for r in naming.with_entries(rows, mapped, "v", "id", hot_rows=10).collect())
     assert got == [(i, "A" if i % 3 else "") for i in range(60)]
+
+
+def test_readings_and_values_do_not_go_through_the_driver(spark, monkeypatch):
+    """Their files are small, the rows are many: the planner would broadcast both."""
+    plans, cut = {}, naming.write_through
+    monkeypatch.setattr(naming, "write_through", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(df, name))
+    typed = spark.createDataFrame([(i, v) for i, v in enumerate(CASES)], "id long, v string")
+    mapped = naming.map_names(typed.select(F.col("v").alias("value")), listed(spark, LIST))
+    rest = naming.with_entries(typed, mapped, "v", "id")
+    assert sum("SortMergeJoin" in line and "stem" in line for line in plans["mapped-names"].splitlines()) == 1
+    assert "SortMergeJoin" in plans["list-readings"]
+    assert "SortMergeJoin [v" in rest._jdf.queryExecution().executedPlan().toString()
+    assert {r.v: r.entry for r in rest.collect()} == CASES

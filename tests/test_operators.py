@@ -261,3 +261,16 @@ def test_look_up_small_and_large_tables(spark, monkeypatch, broadcast):
     got = sorted((r.i, r.v) for r in skew.look_up(df, table, ["k"], F.col("i")).collect())
     assert got == sorted([(i, 1 if i % 3 else 2 if i == 0 else None) for i in range(60)] + [(99, None)])
     assert skew.look_up(df, table.select("k"), ["k"], F.col("i"), "left_semi").count() == 41
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_a_large_looked_up_table_is_not_broadcast(spark, monkeypatch, how):
+    """Its file is small, so the planner would broadcast it, every row 64 times."""
+    from hanmaru.operators import skew
+    from hanmaru.session import write_through
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    table = write_through(spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("v")), "table")
+    met = skew.look_up(spark.range(100).select((F.col("id") % 60).alias("k"), F.col("id").alias("i")), table, ["k"], F.col("i"), how)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == (100 if how == "left" else 90)
