@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hanmaru.llm.pairing import look_up
+from hanmaru.llm.pairing import join_shuffled, look_up
 from hanmaru.session import write_through
 
 #: Encodings texts were written in, encodings they are wrongly read in, and readings that are repeated.
@@ -235,15 +235,17 @@ def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled_words(words: DataFrame) -> DataFrame:
     """(word, original, ambiguous): the garbled ones among the words (number, word, texts) of a corpus, each with the original the evidence is
     strongest for, of equal ones one that is no form itself, then that in most texts. `ambiguous`: characters were lost (U+FFFD) and several originals are possible, so
-    the original cannot be had. Forms and words meet by 64-bit hashes, so a form costs two numbers in the shuffle; what met is verified."""
+    the original cannot be had. Forms and words meet by 64-bit hashes, so a form costs two numbers in the shuffle; what met is verified.
+    A word has some 70 forms, which the planner does not know: they are never broadcast."""
     hashed = words.withColumn("hash", F.xxhash64("word"))
-    forms = words.select("word", "number").mapInArrow(_generate, "form string, source bigint").select(F.xxhash64("form").alias("hash"), "source")
-    met = forms.join(hashed.select("hash", "word", "texts"), "hash").select("word", "texts", "source")
+    spread = words.select("word", "number").repartition(4 * words.sparkSession.sparkContext.defaultParallelism)
+    forms = spread.mapInArrow(_generate, "form string, source bigint").select(F.xxhash64("form").alias("hash"), "source")
+    met = join_shuffled(forms, hashed.select("hash", "word", "texts"), "hash").select("word", "texts", "source")
     originals = words.select(F.col("number").alias("source"), F.col("word").alias("original"), F.col("texts").alias("original_texts"))
-    pairs = met.join(originals, "source").select("word", "original", "original_texts", "texts")
+    pairs = join_shuffled(met, originals, "source").select("word", "original", "original_texts", "texts")
     met = write_through(pairs.mapInArrow(_directed, "word string, original string, original_texts bigint, evidence int"), "directed")
     forms_too = met.select(F.col("word").alias("original")).distinct().withColumn("form_too", F.lit(1))
-    ranked = met.join(forms_too, "original", "left").withColumn("sound", F.col("form_too").isNull())
+    ranked = join_shuffled(met, forms_too, "original", "left").withColumn("sound", F.col("form_too").isNull())
     best = ranked.groupBy("word").agg(F.max(F.struct("evidence", "sound", "original_texts", "original")).alias("best"), F.count_distinct("original").alias("originals"))
     return best.select("word", F.col("best.original").alias("original"), ((F.col("originals") > 1) & F.col("word").contains("�")).alias("ambiguous"))
 

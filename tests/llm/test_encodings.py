@@ -89,3 +89,12 @@ def test_words_of_single_documents_are_originals(spark):
     found = {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()}
     assert not found & {i for i, _ in clean}
     assert len(found) >= 0.9 * len(bad)
+
+
+def test_forms_do_not_go_through_the_driver(spark, corpus, monkeypatch):
+    """The file of the words is small, their forms are many: the planner would broadcast them."""
+    plans, cut = {}, encodings.write_through
+    monkeypatch.setattr(encodings, "write_through", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(df, name))
+    df, bad = corpus
+    assert not {r.doc_id for r in encodings.garbled_documents(df, "doc_id", "text")[0].collect()} - bad.keys()
+    assert not [name for name in ("directed", "garbled-words") if "BroadcastHashJoin" in plans[name]]
