@@ -36,14 +36,8 @@ def hot_groups(df: DataFrame, group: list[str], limit: int) -> DataFrame:
     return write_through(sizes.where(F.col("group_rows") > limit), "hot-groups")
 
 
-def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = CHUNK, maybe_hot: Column | None = None) -> DataFrame:
-    """Joins the rows of each group with each other: columns `l` and `r`, structs of all columns of `df`. Every pair of two
-    different rows comes out at least in one order; the caller keeps the order and the pairs wanted.
-
-    A group of more than `chunk` rows is cut by a hash of the key into chunks; each pair of chunks is a join key of its own, so no
-    task ever holds a group. Rows with a null in `group` meet nothing. `maybe_hot`: a condition that all rows of groups larger than
-    `chunk` fulfil, to look for those among fewer rows.
-    """
+def _cells(df: DataFrame, group: list[str], key: str, chunk: int, maybe_hot: Column | None = None) -> DataFrame:
+    """The rows of each group placed in cells (`group`, __low, __high), with the chunk (__part) they are of; `row` is the struct of all columns."""
     rows = df
     for name in group:
         rows = rows.where(F.col(name).isNotNull())
@@ -52,13 +46,44 @@ def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = CHUNK, m
     placed = look_up(rows, hot, group, F.col(key)).withColumn("__parts", parts).drop("group_rows")
     part = F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")
     cells = placed.withColumn("__part", part).withColumn("__meets", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    side = cells.select(
+    return cells.select(
         *group, F.least("__part", "__meets").alias("__low"), F.greatest("__part", "__meets").alias("__high"), "__part",
         F.struct(*df.columns).alias("row"),
     )
+
+
+def meet_within(df: DataFrame, group: list[str], key: str, chunk: int = CHUNK, maybe_hot: Column | None = None) -> DataFrame:
+    """Joins the rows of each group with each other: columns `l` and `r`, structs of all columns of `df`. Every pair of two
+    different rows comes out at least in one order; the caller keeps the order and the pairs wanted.
+
+    A group of more than `chunk` rows is cut by a hash of the key into chunks; each pair of chunks is a join key of its own, so no
+    task ever holds a group. Rows with a null in `group` meet nothing. `maybe_hot`: a condition that all rows of groups larger than
+    `chunk` fulfil, to look for those among fewer rows.
+    """
+    side = _cells(df, group, key, chunk, maybe_hot)
     on = [*group, "__low", "__high"]
     left, right = side.alias("a"), side.alias("b")
     both = left.join(right, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
     # a cell of two different chunks holds both chunks on either side: only rows of different chunks are its own
     own = (F.col("a.__low") == F.col("a.__high")) | (F.col("a.__part") != F.col("b.__part"))
     return both.where(own).select(F.col("a.row").alias("l"), F.col("b.row").alias("r"))
+
+
+def meet_by_base(df: DataFrame, group: list[str], key: str, base: list[str], target: list[str], parts: int, chunk: int = CHUNK) -> DataFrame:
+    """What `meet_within` gives for different keys, as one row for each row of a group (`b_...`, of the columns `base`) with arrays of all it meets
+    there (`t_...`, of the columns `target`), placed by key in `parts` partitions. A number in an array costs its own width in the
+    shuffle, where a row for each pair costs several times that. A cell's arrays hold at most two chunks."""
+    needed = list(dict.fromkeys([key, *base, *target]))
+    cells = _cells(df, group, key, chunk).select(*group, "__low", "__high", "__part", F.struct(*[F.col("row")[c].alias(c) for c in needed]).alias("row"))
+    cells = cells.withColumn("__cell", F.xxhash64(*group, "__low", "__high")).repartition("__cell")
+    listed = cells.groupBy("__cell", *group, "__low", "__high").agg(F.collect_list(F.struct("__part", "row")).alias("all"))
+    each = listed.select("__low", "__high", "all", F.explode("all").alias("b"))
+    met = F.filter("all", lambda x: (x["row"][key] != F.col("b.row")[key]) & ((F.col("__low") == F.col("__high")) | (x["__part"] != F.col("b.__part"))))
+    each = each.select(F.col("b.row").alias("row"), met.alias("met")).where(F.size("met") > 0)
+    each = each.select(*[F.col("row")[c].alias(f"b_{c}") for c in base], *[F.col("met")["row"][c].alias(f"t_{c}") for c in target])
+    return each.repartition(parts, f"b_{base[0]}")
+
+
+def each_pair(rows: DataFrame, *target: str) -> DataFrame:
+    """A row for each pair of `meet_by_base`; stays placed by the base."""
+    return rows.select(*[c for c in rows.columns if c.startswith("b_")], F.inline(F.arrays_zip(*[f"t_{c}" for c in target])))

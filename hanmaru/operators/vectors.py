@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hanmaru.operators.skew import meet_within
+from hanmaru.operators.skew import each_pair, meet_by_base, meet_within
 
 
 def max_merge(rows: DataFrame, owner: str, item: str, weight: Column) -> DataFrame:
@@ -73,6 +73,27 @@ def weighted_jaccard(vectors: DataFrame, block: str | None = None, df_share: flo
     return scored.select(F.explode(ways).alias("w"), "score", "shared").select(F.col("w.b").alias("base_id"), F.col("w.t").alias("target_id"), "score", "shared")
 
 
+#: Entries of a partition of bases.
+BASE_ROWS = 100_000
+
+
+def meet_narrow(vectors: DataFrame, group: list[str], base: list[str], target: list[str]) -> tuple[DataFrame, int | None]:
+    """A row for each pair of entries of different owners that meet in a group, placed by the base's owner: its columns as `b_...`, the
+    target's as `t_...`. Owners go through the shuffle as 4 bytes where their range allows it, less the number that is given besides."""
+    low, high, n = vectors.agg(F.min("owner"), F.max("owner"), F.count(F.lit(1))).first()  # three numbers
+    narrow = isinstance(low, int) and high - low < 2**31
+    if narrow:
+        vectors = vectors.withColumn("owner", (F.col("owner") - F.lit(low)).cast("int"))
+    parts = max(n // BASE_ROWS, vectors.sparkSession.sparkContext.defaultParallelism)
+    return each_pair(meet_by_base(vectors, group, "owner", ["owner", *base], ["owner", *target], parts), "owner", *target), low if narrow else None
+
+
+def best_pairs(pairs: DataFrame, low: int | None, k: int, *order: Column) -> DataFrame:
+    """`top_pairs` of rows by b_owner and t_owner of `meet_narrow`, with the owners as they were (base_id, target_id)."""
+    top = top_pairs(pairs.withColumnRenamed("b_owner", "base_id").withColumnRenamed("t_owner", "target_id"), k, *order)
+    return top if low is None else top.withColumns({c: F.col(c).cast("bigint") + F.lit(low) for c in ("base_id", "target_id")})
+
+
 def top_pairs(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
     """The k best targets of every base with their rank; limited before the shuffle as well (WindowGroupLimit)."""
     w = Window.partitionBy("base_id").orderBy(*order)

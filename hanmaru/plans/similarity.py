@@ -155,6 +155,8 @@ ROLE_FACTOR, IDF_CAP, OFF_CATEGORY = (1.2, 0.55, 0.2), (6.0, 3.5, 2.0), (0.75, 0
 SHARES, FAMILY_SHARE, NO_PRIMARY_CAP = (0.65, 0.20, 0.05), 0.10, 0.35
 HALF = 1e-9  # added before rounding, so that halves go up whatever their last binary digit
 POOL_WEIGHT, SUPPORT_ONLY, FAMILY_CONFLICT = (4.0, 1.2, 0.25), 2.0, 1.5
+#: So many families are bits of an int, beside two for the role.
+BITS = 28
 
 
 def _by_role(role: Column, values: tuple[float, ...]) -> Column:
@@ -165,17 +167,25 @@ def _by_role(role: Column, values: tuple[float, ...]) -> Column:
 
 
 def role_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(owner, item, main, role 0 to 2, family, idf, weight): effective weights of the first measure. The family of an ingredient is its
-    sub category."""
-    from hanmaru.plans.profiles import role_assignment
-
+    """(owner, item, main, role 0 to 2, family, idf, df, weight, families): effective weights of the first measure. The family of an
+    ingredient is its sub category; families: those of the owner's primary ones. The rows are placed by item once, for what an ingredient
+    has, and by owner once."""
     def build() -> DataFrame:
-        roles = role_assignment(spark, d).select(F.col("product_id").alias("owner"), F.col("ingredient").alias("item"), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int").alias("role"))
-        main = main_category_of(spark, d).select("owner", F.col("category").alias("main"))
-        rows = vec(spark, d).join(roles.withColumn("role", F.col("role") - 1), ["owner", "item"]).join(main, "owner").join(imap(spark, d).select("item", "category", F.col("sub").alias("family")), "item").join(vectors.idf(vec(spark, d)), "item")
+        v = vec(spark, d)
+        owners, df = v.agg(F.count_distinct("owner")).first()[0], v.groupBy("item").agg(F.count(F.lit(1)).alias("df"))  # one number
+        known = imap(spark, d).select("item", "category", F.col("sub").alias("family"), (F.col("kind") == "excipient").alias("filler"), F.greatest(F.lit(0.45), F.col("conf")).alias("conf")).join(df, "item")
+        rows = v.join(known, "item").repartition("owner")
+        own, category = Window.partitionBy("owner"), Window.partitionBy("owner", "category")
+        rows = rows.withColumn("score", F.round(F.sum(F.col("weight") * F.col("conf")).over(category), 9)).withColumn("w", F.round("weight", 9))
+        rows = rows.withColumn("main", F.min(F.struct((-F.col("score")).alias("s"), "category")).over(own)["category"]).withColumn("top", F.max("w").over(own))
+        rows = rows.withColumn("role", F.when(F.col("filler"), 2).when((F.col("category") == F.col("main")) & (F.col("w") >= 0.72 * F.col("top")), 0).otherwise(1))
+        rows = rows.withColumn("primaries", F.count_if(F.col("role") == 0).over(own)).withColumn("heaviest", F.min(F.struct((-F.col("w")).alias("w"), "item")).over(own)["item"])
+        rows = rows.withColumn("role", F.when((F.col("primaries") == 0) & (F.col("item") == F.col("heaviest")), 0).otherwise(F.col("role")))
+        rows = rows.withColumn("families", F.collect_set(F.when(F.col("role") == 0, F.col("family"))).over(own))
+        rows = rows.withColumn("idf", F.log((F.lit(1.0) + owners) / (F.lit(1.0) + F.col("df"))) + 1)
         off = F.when(F.col("category") == F.col("main"), 1.0).otherwise(_by_role(F.col("role"), OFF_CATEGORY))
         weight = F.col("weight") * F.least("idf", _by_role(F.col("role"), IDF_CAP)) * _by_role(F.col("role"), ROLE_FACTOR) * off
-        return rows.select("owner", "item", "main", "role", "family", "idf", "df", weight.alias("weight"))
+        return rows.select("owner", "item", "main", "role", "family", "idf", "df", weight.alias("weight"), "families")
 
     return kept_for(spark, "role-vectors", _sources(d), build)
 
@@ -184,20 +194,25 @@ def pool_v1(spark: SparkSession, d: str) -> DataFrame:
     """(base_id, target_id, pool_score, rk): the 20 targets with the highest sum of role weight x idf over shared ingredients, by the role in
     the target. Ingredients in more than 5 % of the products count only as support. Pairs that share support only lose 2, pairs
     without a primary family in common 1.5."""
-    def build() -> DataFrame:
-        v = role_vectors(spark, d)
-        owners = v.agg(F.count_distinct("owner")).first()[0]  # one number
-        counted = v.where((F.col("df") <= max(1, math.floor(0.05 * owners))) | (F.col("role") == 2)).select("owner", "item", "main", "role", (_by_role(F.col("role"), POOL_WEIGHT) * F.col("idf")).alias("weight"))
-        met = meet_within(counted, ["item", "main"], "owner").where("l.owner <> r.owner")
-        sums = met.groupBy(F.col("l.owner").alias("base_id"), F.col("r.owner").alias("target_id")).agg(F.sum("r.weight").alias("s"), F.min(F.least("l.role", "r.role")).alias("best"), F.min(F.greatest("l.role", "r.role")).alias("both"))
-        families = v.where("role = 0").groupBy("owner").agg(F.collect_set("family").alias("f"))
-        a, b = families.select(F.col("owner").alias("base_id"), F.col("f").alias("bf")), families.select(F.col("owner").alias("target_id"), F.col("f").alias("tf"))
-        joined = sums.join(a, "base_id", "left").join(b, "target_id", "left")
-        conflict = ~F.coalesce(F.arrays_overlap("bf", "tf"), F.lit(False))
-        score = F.col("s") - F.when(F.col("best") == 2, SUPPORT_ONLY).otherwise(0.0) - F.when(conflict, FAMILY_CONFLICT).otherwise(0.0)
-        return vectors.top_pairs(joined.select("base_id", "target_id", F.round(score, 6).alias("pool_score")), 20, F.desc("pool_score"), F.col("target_id"))
-
-    return kept_for(spark, "pool-v1", _sources(d), build)
+    v = role_vectors(spark, d)
+    owners = v.agg(F.count_distinct("owner")).first()[0]  # one number
+    names = sorted(r[0] for r in v.where("role = 0").select("family").distinct().limit(BITS + 1).collect() if r[0] is not None)
+    if len(names) <= BITS:  # an owner's families and the role in 4 bytes
+        told = F.col("role")
+        for i, name in enumerate(names, 2):
+            told = told + F.when(F.array_contains("families", name), 1 << i).otherwise(0)
+        fields, role = {"told": told}, lambda side: F.col(f"{side}_told").bitwiseAND(F.lit(3))
+        in_common = F.col("b_told").bitwiseAND(F.col("t_told")) > 3
+    else:
+        fields, role = {"role": F.col("role").cast("tinyint"), "families": F.col("families")}, lambda side: F.col(f"{side}_role")
+        in_common = F.arrays_overlap("b_families", "t_families")
+    counted = v.where((F.col("df") <= max(1, math.floor(0.05 * owners))) | (F.col("role") == 2)).select("owner", "item", "main", "idf", *[c.alias(n) for n, c in fields.items()])
+    met, low = vectors.meet_narrow(counted, ["item", "main"], ["idf", *fields], [*fields])
+    sums = met.groupBy("b_owner", "t_owner").agg(
+        F.sum(_by_role(role("t"), POOL_WEIGHT) * F.col("b_idf")).alias("s"), F.min(F.least(role("b"), role("t"))).alias("best"), F.max(in_common).alias("in_common")
+    )
+    score = F.col("s") - F.when(F.col("best") == 2, SUPPORT_ONLY).otherwise(0.0) - F.when(F.col("in_common"), 0.0).otherwise(FAMILY_CONFLICT)
+    return vectors.best_pairs(sums.select("b_owner", "t_owner", F.round(score, 6).alias("pool_score")), low, 20, F.desc("pool_score"), F.col("target_id"))
 
 
 def candidate_pool_v1(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +57,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Makes Spark remove a query's shuffle files when the query has ended, not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """For queries whose result is written: nothing reads their shuffle files again."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before) if before else spark.conf.unset(FREED)
+
+
 def write_through(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cuts lineage: the rows are written to the shared folder once and read from there, so that a lost executor costs a re-read only."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with shuffles_freed(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +100,9 @@ def kept_for(spark: SparkSession, name: str, sources: list[str], build: Callable
     path = f"{scratch_root(spark)}/{name}-{fingerprint(spark, *sources)}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
+        df = build()
+        with shuffles_freed(spark):
+            df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

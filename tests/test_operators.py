@@ -274,3 +274,59 @@ def test_a_large_looked_up_table_is_not_broadcast(spark, monkeypatch, how):
     met = skew.look_up(spark.range(100).select((F.col("id") % 60).alias("k"), F.col("id").alias("i")), table, ["k"], F.col("i"), how)
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == (100 if how == "left" else 90)
+
+
+@pytest.mark.parametrize("chunk", [7, 4000])
+def test_pairs_by_base_are_those_of_pairs(spark, chunk):
+    from hanmaru.operators import skew
+
+    random.seed(5)
+    drawn = {(random.randrange(-20, 60), random.randrange(6)): float(i) for i in range(150)}
+    df = spark.createDataFrame([(o, i, w) for (o, i), w in drawn.items()] + [(1, None, 1.0)], "owner long, item long, weight double")
+    rows = skew.meet_by_base(df, ["item"], "owner", ["owner", "weight"], ["owner", "weight"], 3, chunk)
+    got = sorted(tuple(r) for r in skew.each_pair(rows, "owner", "weight").collect())
+    assert got == sorted((a, w, b, x) for (a, i), w in drawn.items() for (b, j), x in drawn.items() if i == j and a != b)
+    assert rows.count() <= df.count() * (1 if chunk == 4000 else 10)
+
+
+@pytest.mark.parametrize("at", [0, 2**40])
+def test_owners_of_a_narrow_range_and_of_a_wide_one(spark, at):
+    df = spark.createDataFrame([(-3, 1, 0.5), (7, 1, 0.25), (at, 1, 1.0)], "owner long, item long, weight double")
+    pairs, low = vectors.meet_narrow(df, ["item"], ["weight"], ["weight"])
+    best = vectors.best_pairs(pairs, low, 1, F.desc("t_weight"), F.col("target_id"))
+    assert dict(pairs.dtypes)["t_owner"] == ("bigint" if at else "int")
+    assert sorted((r.base_id, r.target_id) for r in best.collect()) == sorted([(-3, at), (7, at), (at, -3)])
+
+
+def test_no_pairs(spark):
+    pairs, low = vectors.meet_narrow(spark.createDataFrame([], "owner long, item long, weight double"), ["item"], ["weight"], ["weight"])
+    assert vectors.best_pairs(pairs, low, 1, F.desc("t_weight"), F.col("target_id")).count() == 0
+
+
+def test_shuffle_files_go_when_a_result_is_written(spark):
+    import time
+    from pathlib import Path
+
+    from hanmaru.session import FREED, write_through
+
+    def files():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in local for p in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    counts = write_through(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert counts.count() == 7
+    assert spark.conf.get(FREED, "false") == "false"
+
+
+def test_pool_v1_shuffles_no_row_for_each_pair(spark, small):
+    from hanmaru.plans import similarity
+
+    plan = similarity.pool_v1(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("Generate")[0]
+    assert plan.split("Generate inline")[0].count("Exchange") == 0
