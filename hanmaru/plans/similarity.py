@@ -255,12 +255,19 @@ def semantic_jaccard_adjusted(spark: SparkSession, d: str) -> DataFrame:
     core ingredient is shared, all shared are weak, at most two, and fewer than three of the base are left; 0.64 if one core ingredient
     is shared, two in all at most, and three or more of the base are left; 0.64 if no core ingredient is shared, two in all at most,
     and three or more are left; 0.97 if the two are equal and weigh 1.5 or less. `caps` names those that took hold."""
-    sem = kept_semantic(spark, d).select("owner", "item", F.lit(0).alias("role"), "weight")
-    b, t = F.col("b"), F.col("t")
-    both, core_b, core_t = (b > 0) & (t > 0), b >= 0.7, t >= 0.7
-    a = aligned(top_of(spark, d), sem).groupBy("base_id", "target_id").agg(
-        (F.sum(F.least("b", "t")) / F.sum(F.greatest("b", "t"))).alias("raw"), F.count_if(core_b).alias("core"), F.count_if(core_t).alias("core_t"), F.count_if(core_b & core_t).alias("shared_core"),
-        F.count_if(both).alias("shared"), F.count_if(both & (core_b | core_t)).alias("strong"), F.count_if((b > 0) & (t == 0)).alias("left"), F.count_if((t > 0) & (b == 0)).alias("extra"), F.least(F.sum("b"), F.sum("t")).alias("mass"),
+    sem = kept_semantic(spark, d)
+    sizes = sem.groupBy("owner").agg(F.sum("weight").alias("total"), F.count_if(F.col("weight") >= 0.7).alias("core"), F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("owner", "total", F.col("core").cast("int"), F.col("n").cast("int"))
+    met, low = vectors.meet_narrow(sem.select("owner", "item", "main", "weight").join(sizes, "owner"), ["item", "main"], ["weight", "total", "core", "n"], ["weight", "total", "core", "n"])
+    b, t = F.col("b_weight"), F.col("t_weight")
+    sums = met.groupBy("b_owner", "t_owner").agg(
+        F.sum(F.least(b, t)).alias("smin"), F.sum(F.greatest(b, t) - b - t).alias("less"), F.count(F.lit(1)).alias("shared"), F.count_if((b >= 0.7) & (t >= 0.7)).alias("shared_core"),
+        F.count_if((b >= 0.7) | (t >= 0.7)).alias("strong"), *[F.first(f"{side}_{c}").alias(f"{side}_{c}") for side in "bt" for c in ("total", "core", "n")],
+    )
+    sums = sums.withColumn("raw", F.col("smin") / (F.col("less") + F.col("b_total") + F.col("t_total"))).withColumn("score", F.round("raw", 6))
+    a = vectors.best_pairs(sums, low, 10, F.desc("score"), F.col("target_id")).select(
+        "base_id", "target_id", "raw", F.col("b_core").alias("core"), F.col("t_core").alias("core_t"), "shared_core", "shared", "strong", (F.col("b_n") - F.col("shared")).alias("left"),
+        (F.col("t_n") - F.col("shared")).alias("extra"), F.least("b_total", "t_total").alias("mass"),
     )
     cover = F.coalesce(F.try_divide(F.col("shared_core"), F.col("core")), F.lit(0.0))
     mult = F.when((F.col("core") == 0) | (cover >= 1), 1.0).when(cover > 0, 0.85 + 0.15 * cover).otherwise(0.68)

@@ -330,3 +330,10 @@ def test_pool_v1_shuffles_no_row_for_each_pair(spark, small):
     plan = similarity.pool_v1(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("Generate")[0]
     assert plan.split("Generate inline")[0].count("Exchange") == 0
+
+
+def test_the_adjusted_measure_shuffles_no_entry_of_a_pair(spark, small):
+    from hanmaru.plans import similarity
+
+    plan = similarity.semantic_jaccard_adjusted(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Generate inline")[0].count("Exchange") == 0
