@@ -195,7 +195,18 @@ def pool_v1(spark: SparkSession, d: str) -> DataFrame:
     the target. Ingredients in more than 5 % of the products count only as support. Pairs that share support only lose 2, pairs
     without a primary family in common 1.5."""
     v = role_vectors(spark, d)
+    return _pool_v1(v, counts_in_pool(v))
+
+
+def counts_in_pool(v: DataFrame) -> Column:
+    """Whether an entry counts for the pool: ingredients in more than 5 % of the products only as support."""
     owners = v.agg(F.count_distinct("owner")).first()[0]  # one number
+    return (F.col("df") <= max(1, math.floor(0.05 * owners))) | (F.col("role") == 2)
+
+
+def _pool_v1(v: DataFrame, counts: Column, measured: bool = False) -> DataFrame:
+    """The pool; with `measured`, also the components of the first measure (`ROLES`), family and shared, over the entries that count. What either
+    side has besides the shared ingredients is its total less these (the columns total_0 to total_2), so no entry is looked up again."""
     names = sorted(r[0] for r in v.where("role = 0").select("family").distinct().limit(BITS + 1).collect() if r[0] is not None)
     if len(names) <= BITS:  # an owner's families and the role in 4 bytes
         told = F.col("role")
@@ -203,16 +214,28 @@ def pool_v1(spark: SparkSession, d: str) -> DataFrame:
             told = told + F.when(F.array_contains("families", name), 1 << i).otherwise(0)
         fields, role = {"told": told}, lambda side: F.col(f"{side}_told").bitwiseAND(F.lit(3))
         in_common = F.col("b_told").bitwiseAND(F.col("t_told")) > 3
+        family = F.coalesce(F.try_divide(F.bit_count(F.shiftright(F.col("b_told").bitwiseAND(F.col("t_told")), 2)), F.bit_count(F.shiftright(F.col("b_told").bitwiseOR(F.col("t_told")), 2))), F.lit(0.0))
     else:
         fields, role = {"role": F.col("role").cast("tinyint"), "families": F.col("families")}, lambda side: F.col(f"{side}_role")
         in_common = F.arrays_overlap("b_families", "t_families")
-    counted = v.where((F.col("df") <= max(1, math.floor(0.05 * owners))) | (F.col("role") == 2)).select("owner", "item", "main", "idf", *[c.alias(n) for n, c in fields.items()])
+        family = vectors.set_similarity(F.col("b_families"), F.col("t_families"))
+    more = []
+    if measured:
+        fields |= {c: F.col(c) for c in ("weight", "total_0", "total_1", "total_2")}
+        b, t, both = F.col("b_weight"), F.col("t_weight"), F.least(role("b"), role("t"))
+        of = lambda which, r, x: F.sum(F.when(which == r, x).otherwise(0.0))
+        for r, name in enumerate(ROLES):
+            high = of(both, r, F.greatest(b, t)) + (F.first(f"b_total_{r}") - of(role("b"), r, b)) + (F.first(f"t_total_{r}") - of(role("t"), r, t))
+            more.append(F.coalesce(F.try_divide(of(both, r, F.least(b, t)), high), F.lit(0.0)).alias(name))
+        more += [F.first(family).alias("family"), F.count(F.lit(1)).alias("shared")]
+    counted = v.where(counts).select("owner", "item", "main", "idf", *[c.alias(n) for n, c in fields.items()])
     met, low = vectors.meet_narrow(counted, ["item", "main"], ["idf", *fields], [*fields])
     sums = met.groupBy("b_owner", "t_owner").agg(
-        F.sum(_by_role(role("t"), POOL_WEIGHT) * F.col("b_idf")).alias("s"), F.min(F.least(role("b"), role("t"))).alias("best"), F.max(in_common).alias("in_common")
+        F.sum(_by_role(role("t"), POOL_WEIGHT) * F.col("b_idf")).alias("s"), F.min(F.least(role("b"), role("t"))).alias("best"), F.max(in_common).alias("in_common"), *more
     )
     score = F.col("s") - F.when(F.col("best") == 2, SUPPORT_ONLY).otherwise(0.0) - F.when(F.col("in_common"), 0.0).otherwise(FAMILY_CONFLICT)
-    return vectors.best_pairs(sums.select("b_owner", "t_owner", F.round(score, 6).alias("pool_score")), low, 20, F.desc("pool_score"), F.col("target_id"))
+    kept = [*ROLES, "family", "shared"] if measured else []
+    return vectors.best_pairs(sums.select("b_owner", "t_owner", F.round(score, 6).alias("pool_score"), *kept), low, 20, F.desc("pool_score"), F.col("target_id"))
 
 
 def candidate_pool_v1(spark: SparkSession, d: str) -> DataFrame:
@@ -234,19 +257,29 @@ def weighted_jaccard_v1(spark: SparkSession, d: str) -> DataFrame:
     """The first measure on the pairs of its pool: weighted Jaccard by component (the strongest role of an ingredient), 0.65 primary, 0.20
     secondary, 0.05 support and 0.10 the families of the primary ones; at most 0.35 where no primary ingredient or family is shared."""
     v = role_vectors(spark, d)
+    counts = counts_in_pool(v)
+    if v.where(~counts).isEmpty():
+        own = Window.partitionBy("owner")
+        per = _pool_v1(v.withColumns({f"total_{r}": F.sum(F.when(F.col("role") == r, F.col("weight")).otherwise(0.0)).over(own) for r in range(len(ROLES))}), counts, measured=True)
+    else:
+        per = _measured_apart(v, _pool_v1(v, counts))
+    score = SHARES[0] * F.col("primary") + SHARES[1] * F.col("secondary") + FAMILY_SHARE * F.col("family") + SHARES[2] * F.col("support")
+    capped = F.when((F.col("primary") <= 0) & (F.col("family") <= 0), F.least(score, F.lit(NO_PRIMARY_CAP))).otherwise(score)
+    final = F.when(F.col("shared") == 0, 0.0).otherwise(capped)
+    return per.select("base_id", "target_id", *[F.round(F.col(c) + HALF, 6).alias(c) for c in (*ROLES, "family")], F.round(final + HALF, 6).alias("score"))
+
+
+def _measured_apart(v: DataFrame, pool: DataFrame) -> DataFrame:
+    """The components for the pairs of a pool, where ingredients too frequent to count for it count for the measure."""
     low = lambda r: F.sum(F.when(F.col("role") == r, F.least("b", "t")).otherwise(0.0))
     high = lambda r: F.sum(F.when(F.col("role") == r, F.greatest("b", "t")).otherwise(0.0))
-    per = aligned(pool_v1(spark, d), v).groupBy("base_id", "target_id").agg(
+    per = aligned(pool, v).groupBy("base_id", "target_id").agg(
         *[F.coalesce(F.try_divide(low(r), high(r)), F.lit(0.0)).alias(n) for r, n in enumerate(ROLES)], F.count_if((F.col("b") > 0) & (F.col("t") > 0)).alias("shared")
     )
     families = v.where("role = 0").groupBy("owner").agg(F.collect_set("family").alias("f"))
     a, b = families.select(F.col("owner").alias("base_id"), F.col("f").alias("bf")), families.select(F.col("owner").alias("target_id"), F.col("f").alias("tf"))
     none = F.array().cast("array<string>")
-    per = per.join(a, "base_id", "left").join(b, "target_id", "left").withColumn("family", vectors.set_similarity(F.coalesce("bf", none), F.coalesce("tf", none)))
-    score = SHARES[0] * F.col("primary") + SHARES[1] * F.col("secondary") + FAMILY_SHARE * F.col("family") + SHARES[2] * F.col("support")
-    capped = F.when((F.col("primary") <= 0) & (F.col("family") <= 0), F.least(score, F.lit(NO_PRIMARY_CAP))).otherwise(score)
-    final = F.when(F.col("shared") == 0, 0.0).otherwise(capped)
-    return per.select("base_id", "target_id", *[F.round(F.col(c) + HALF, 6).alias(c) for c in (*ROLES, "family")], F.round(final + HALF, 6).alias("score"))
+    return per.join(a, "base_id", "left").join(b, "target_id", "left").withColumn("family", vectors.set_similarity(F.coalesce("bf", none), F.coalesce("tf", none)))
 
 
 def semantic_jaccard_adjusted(spark: SparkSession, d: str) -> DataFrame:

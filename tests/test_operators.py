@@ -328,7 +328,7 @@ def test_pool_v1_shuffles_no_row_for_each_pair(spark, small):
     from hanmaru.plans import similarity
 
     plan = similarity.pool_v1(spark, small)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan.split("Generate")[0]
+    assert "Generate inline" in plan
     assert plan.split("Generate inline")[0].count("Exchange") == 0
 
 
@@ -337,3 +337,20 @@ def test_the_adjusted_measure_shuffles_no_entry_of_a_pair(spark, small):
 
     plan = similarity.semantic_jaccard_adjusted(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Generate inline")[0].count("Exchange") == 0
+
+
+def test_the_first_measure_by_totals_and_by_entries(spark, small):
+    from pyspark.sql import Window
+
+    from hanmaru.plans import similarity
+
+    v = similarity.role_vectors(spark, small)
+    own = Window.partitionBy("owner")
+    totals = {f"total_{r}": F.sum(F.when(F.col("role") == r, F.col("weight")).otherwise(0.0)).over(own) for r in range(3)}
+    names = ["primary", "secondary", "support", "family"]
+    rounded = ["base_id", "target_id", "shared", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in names]]
+    a = similarity._pool_v1(v.withColumns(totals), F.lit(True), measured=True).select(*rounded)
+    b = similarity._measured_apart(v, similarity._pool_v1(v, F.lit(True))).select(*rounded)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = similarity.weighted_jaccard_v1(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and plan.split("Generate inline")[0].count("Exchange") == 0
